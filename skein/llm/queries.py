@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, sharding
+from . import bpe, licenses, quality, sharding
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_bpe": bpe.op9_bpe,
     "op10_sharding": sharding.op10_sharding,
 }
 SQL = {
