@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, quality, sharding
+from . import bpe, decontam, licenses, quality, sharding
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_sharding": sharding.op10_sharding,
 }
 SQL = {
     "op1_license_scan": licenses.OP1_SQL,
+    "op7_decontamination": decontam.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
