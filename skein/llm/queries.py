@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, licenses, quality, sharding
+from . import bpe, decontam, html, licenses, quality, sharding, tokencounts
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op4_html_extraction": html.op4_html_extraction,
+    "op6_token_counts": tokencounts.op6_token_counts,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
