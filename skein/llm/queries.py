@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, licenses, quality, sharding, tokencounts
+from . import bpe, decontam, html, licenses, linededup, quality, sharding, tokencounts
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op4_html_extraction": html.op4_html_extraction,
     "op6_token_counts": tokencounts.op6_token_counts,
     "op7_decontamination": decontam.op7_decontamination,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 SQL = {
     "op1_license_scan": licenses.OP1_SQL,
+    "op2_line_dedup": linededup.OP2_SQL,
     "op7_decontamination": decontam.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
