@@ -63,6 +63,16 @@ def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Ids up to this number (8 MB) may be broadcast; beyond it the join is by exchange.
+BROADCAST_IDS = 1_000_000
+
+
+def semi_join_ids(df: DataFrame, ids: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a long) is among ``ids`` (distinct), broadcast only if counted to be few."""
+    ids = scratch.cut(ids)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(src, dst)`` (longs): ``node, comp`` with comp the smallest node.
 

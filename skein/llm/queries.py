@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, licenses, linededup, ngramjoin, quality, sharding, tokencounts
+from . import bpe, decontam, html, licenses, linededup, ngramjoin, quality, sharding, substrings, tokencounts
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_line_dedup": linededup.op2_line_dedup,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_html_extraction": html.op4_html_extraction,
     "op5_ngram_join": ngramjoin.op5_ngram_join,
     "op6_token_counts": tokencounts.op6_token_counts,
