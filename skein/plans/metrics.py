@@ -36,7 +36,7 @@ def run_source_failure_rate(fetch_run_source: DataFrame, source: DataFrame, as_o
         f"""select f.source_id, coalesce(s.display_name, f.source_id) display_name, s.provider, s.content_kind, to_date(f.created_at) fetch_date,
           count(*) total_fetches, count_if(f.status = 'succeeded') succeeded_fetches, count_if(f.status = 'failed') failed_fetches,
           {_rate("count_if(f.status = 'failed')")} failure_rate_pct,
-          listagg(distinct f.error, '; ') within group (order by f.error) filter (where f.status = 'failed' and f.error is not null) recent_errors
+          nullif(array_join(array_sort(collect_set(case when f.status = 'failed' then f.error end)), '; '), '') recent_errors
         from {{f}} f left join {{s}} s on f.source_id = s.id where f.created_at >= (select * from {{a}}) - interval 30 days
         group by f.source_id, s.display_name, s.provider, s.content_kind, to_date(f.created_at)""",
         f=fetch_run_source, s=source, a=as_of,
