@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import clean_columns, read, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
-#: White-space chunks remembered by a worker; the table is emptied when it holds more.
-MEMO = 300_000
+#: White-space chunks remembered by a worker, in each of two generations.
+MEMO = 400_000
 _ODD = regex.compile("[\x1c-\x1f]")
 _PIECE = regex.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 
@@ -340,6 +340,7 @@ class WordBpe:
         self.machine.prepare({c: b for b, c in enumerate(self.letters)})
         self.number = [str(self.ids[t]) for t in self.machine.names]
         self.memo: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
         self.joined = regex.compile(pattern + r"|\n")
 
     def normal(self, text: str) -> str:
@@ -355,11 +356,16 @@ class WordBpe:
 
     def learn(self, chunks: list[str]) -> dict[str, tuple[int, str, str]]:
         """Encodes pieces without white space: number of tokens, ids and strings, each joined by one space."""
-        plain = [c for c in chunks if len(c) < Transducer.LONG and max(c) < "\u0500" and not _ODD.search(c)]
-        other = set(chunks).difference(plain)
+        text = "\n".join(chunks)
+        if max(text, default="") < "\u0500" and not _ODD.search(text):
+            plain, other = chunks, []
+        else:
+            plain = [c for c in chunks if max(c) < "\u0500" and not _ODD.search(c)]
+            other = list(set(chunks).difference(plain))
+            text = "\n".join(plain)
         found, row = [], []
         if plain:
-            for w in self.joined.findall(self.normal("\n".join(plain)) + "\n"):
+            for w in self.joined.findall(self.normal(text) + "\n"):
                 if w == "\n":
                     found.append(row)
                     row = []
@@ -381,9 +387,14 @@ class WordBpe:
         for c, at in todo:
             if len(at) == 1:
                 out[c] = parts[at[0]]
+            elif len(at) == 2:
+                (n, a, x), (m, b, y) = parts[at[0]], parts[at[1]]
+                out[c] = (n + m, f"{a} {b}", f"{x} {y}")
+            elif at:
+                counts, ids, toks = zip(*[parts[i] for i in at])
+                out[c] = (sum(counts), " ".join(ids), " ".join(toks))
             else:
-                got = [parts[i] for i in at]
-                out[c] = (sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
+                out[c] = (0, "", "")
         return out
 
     def split(self, text: str) -> list[str]:
@@ -399,23 +410,34 @@ class WordBpe:
                     row.append(mark[0])
                     at = mark.end()
             rows.append(row)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = {c for row in rows for part in row if isinstance(part, list) for c in part if c not in memo}
-        fresh = self.learn(list(new)) if new else {}
-        memo.update({c: v for c, v in fresh.items() if len(c) < Transducer.LONG})
-        fresh = {c: v for c, v in fresh.items() if len(c) >= Transducer.LONG}
+        # Two generations: what is met again moves to the young one, so a full table forgets only rare pieces.
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        new = set().union(*[part for row in rows for part in row if isinstance(part, list)]).difference(memo)
+        known = new & old.keys()
+        memo.update({c: old[c] for c in known})
+        new -= known
+        memo.update(self.learn(list(new)) if new else {})
+        long = [c for c in new if len(c) >= Transducer.LONG]
         out = []
         for row in rows:
-            got = []
+            got: list[tuple[int, str, str]] = []
             for part in row:
                 if isinstance(part, list):
-                    got += [fresh[c] if c in fresh else memo[c] for c in part] if fresh else [memo[c] for c in part]
+                    got += map(memo.__getitem__, part)
                 else:
                     got.append((1, str(self.special[part]), part))
-            got = [g for g in got if g[0]]
-            out.append((sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
+            if got:
+                counts, ids, names = zip(*got)
+                if 0 in counts:
+                    got = [g for g in got if g[0]]
+                    counts, ids, names = zip(*got) if got else ((), (), ())
+                out.append((sum(counts), " ".join(ids), " ".join(names)))
+            else:
+                out.append((0, "", ""))
+        for c in long:
+            del memo[c]
         return out
 
     def encode(self, text: str) -> tuple[int, str, str]:
