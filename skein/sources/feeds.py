@@ -10,8 +10,9 @@ from ..functions.text import first_text
 
 _ITEM = "id string, title string, name string, url string, mobileUrl string, link string, `desc` string, description string, summary string, pubDate string, publishedAt string, date string, extra struct<hover:string,date:string>"
 _FIELDS = ",".join(p.strip().replace(" ", ":", 1) for p in _ITEM.split(", "))
-LIST_ONE = f"struct<status:string,items:array<struct<{_FIELDS}>>>"
-LIST_TWO = f"struct<code:int,data:array<struct<{_FIELDS}>>>"
+#: Entries are read as text first: one that is no object must not cost the whole list.
+LIST_ONE = "struct<status:string,items:array<string>>"
+LIST_TWO = "struct<code:int,data:array<string>>"
 
 
 def list_items(bodies: DataFrame, shape: int = 1) -> DataFrame:
@@ -24,7 +25,7 @@ def list_items(bodies: DataFrame, shape: int = 1) -> DataFrame:
         body, ok, items = F.from_json("body", LIST_ONE), F.lower("b.status").isin("success", "cache"), F.col("b.items")
     else:
         body, ok, items = F.from_json("body", LIST_TWO), F.col("b.code").isNull() | (F.col("b.code") == 200), F.col("b.data")
-    rows = bodies.withColumn("b", body).where(ok).select("source_id", "external_id", "content_kind", F.size(items).alias("size"), F.posexplode(items).alias("pos", "x"))
+    rows = bodies.withColumn("b", body).where(ok).select("source_id", "external_id", "content_kind", F.size(items).alias("size"), F.posexplode(items).alias("pos", "raw")).withColumn("x", F.from_json("raw", f"struct<{_FIELDS}>"))
     title = first_text("x.title", "x.name")
     url = first_text("x.url", "x.mobileUrl", "x.link")
     summary = first_text("x.extra.hover") if shape == 1 else first_text("x.desc", "x.description", "x.summary", "x.extra.hover")
