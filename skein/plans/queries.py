@@ -150,7 +150,7 @@ STAGES = ["click", "error", "purchase", "signup", "view"]
 @query(
     f"""with e as (select * from events where ts::date = (select max(ts)::date from events))
     select max(ts)::date::varchar run_id, 'Succeeded' status, count(distinct user_id) source_count, count(*) fetched_item_count, sum(value::decimal(18, 8))::double llm_cost,
-    round(datediff('second', min(ts), max(ts)) / 60.0, 1)::double duration_minutes, {", ".join(f"count(*) filter (event_type = '{s}') {s}_ms" for s in STAGES)} from e"""
+    (((date_sub('second', min(ts), max(ts)) * 10 + 30) // 60) / 10.0)::double duration_minutes, {", ".join(f"count(*) filter (event_type = '{s}') {s}_ms" for s in STAGES)} from e"""
 )
 def m10_latest_pivot(spark, d):
     e = B.table(spark, d, "events")
