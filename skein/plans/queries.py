@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import digest, merging, recall, scoring, state
+from ..operators import digest, merging, recall, runs, scoring, state
 from ..sources.config import Config
 from . import bindings as B
 from . import metrics as M
@@ -643,3 +643,91 @@ def l1_decide(spark, d):
 def i28_slots(spark, d):
     e = B.table(spark, d, "events").where("event_id % 50 = 0")
     return e.select(F.col("user_id").alias("source_item"), F.when(F.col("value") > 50, F.col("value")).alias("v"), F.when(X.first_text("event_type") == "click", "c").otherwise(F.col("event_type")).alias("t"), digest.local_slot(F.col("ts").cast("timestamp"), "Asia/Shanghai").alias("slot"))
+
+
+# Runs ---------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """select ts::date::varchar run_id, event_id content_item_id, row_number() over (partition by ts::date order by upper(event_type), upper(props), coalesce(case when event_id % 3 > 0 then user_id end, 2147483647), event_id)::int visual_order from events"""
+)
+def e3_visual_order(spark, d):
+    e = B.table(spark, d, "events").select(
+        F.to_date("ts").cast("string").alias("run_id"), F.col("event_id").alias("content_item_id"), F.col("event_type").alias("category"), F.col("props").alias("source"),
+        F.when(F.col("event_id") % 3 > 0, F.col("user_id")).alias("rank"), F.lit("").alias("title"),
+    )
+    return runs.visual_order(e).select("run_id", "content_item_id", "visual_order")
+
+
+@query(
+    """select run_id, string_agg(event_type || ':' || n, ', ' order by event_type || ':' || n) rejections from (select ts::date::varchar run_id, event_type, count(*) n from events group by 1, 2) group by 1"""
+)
+def d21_rejections(spark, d):
+    e = B.table(spark, d, "events").select(F.to_date("ts").cast("string").alias("run_id"), F.col("event_type").alias("reason"))
+    return runs.rejection_text(e)
+
+
+@query(
+    """select l_shipdate::date::varchar run_id, count(*) calls, sum(l_extendedprice::decimal(18, 8))::double cost, count(*) filter (l_linenumber >= 5) failed from lineitem group by 1"""
+)
+def d23_usage(spark, d):
+    u = B.usage(B.table(spark, d, "lineitem")).withColumn("run_id", F.to_date("created_at").cast("string"))
+    return runs.usage_summary(u).withColumn("cost", F.col("cost").cast("double"))
+
+
+@query(
+    """with n as (select o_custkey event_id, list(o_orderpriority order by o_orderdate desc, o_orderpriority)[1:3] titles from orders group by 1),
+    t as (select c_custkey event_id, c_name || chr(10) || c_mktsegment || coalesce(chr(10) || array_to_string(titles, chr(10)), '') || case when c_nationkey % 2 = 0 then chr(10) || 'nation-' || c_nationkey else '' end txt from customer left join n on c_custkey = event_id)
+    select event_id, txt as text, sha256(txt) source_text_hash from t"""
+)
+def c5_embedding_inputs(spark, d):
+    c = B.table(spark, d, "customer")
+    ev = c.select(F.col("c_custkey").alias("event_id"), F.col("c_name").alias("canonical_title"), F.col("c_mktsegment").alias("summary"))
+    o = B.table(spark, d, "orders")
+    items = o.select(F.col("o_custkey").alias("event_id"), F.col("o_orderkey").alias("content_item_id"), F.col("o_orderdate").cast("timestamp").alias("matched_at"), F.lit(True).alias("is_active"))
+    content = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
+    tag = c.where("c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("id"), F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("display_name")).distinct()
+    et = c.select(F.col("c_custkey").alias("event_id"), F.col("c_nationkey").alias("tag_id"))
+    return runs.embedding_inputs(ev, items, content, et, tag)
+
+
+@query("select doc_id from documents where sha256(left(text, 20)) <> sha256(left(text, 10)) or doc_id % 4 = 0 order by doc_id limit 50")
+def c4_embedding_todo(spark, d):
+    t = B.table(spark, d, "documents")
+    want = t.select("doc_id", F.sha2(F.left("text", F.lit(20)), 256).alias("source_text_hash"))
+    have = t.where("doc_id % 4 > 0").select("doc_id", F.sha2(F.left("text", F.lit(10)), 256).alias("source_text_hash"))
+    return digest.embedding_todo(want, have, ["doc_id"], 50).select("doc_id")
+
+
+@query("select user_id event_id, arg_max(event_type, (ts, event_id)) title from events where event_id % 4 > 0 group by 1")
+def e10_latest_title(spark, d):
+    e = B.table(spark, d, "events")
+    return runs.latest_title(e.select(F.col("user_id").alias("event_id"), F.when(F.col("event_id") % 4 > 0, F.col("event_type")).otherwise(" ").alias("title"), F.col("ts").alias("matched_at"), F.col("event_id").alias("content_item_id")))
+
+
+@query(
+    """with e as (select o_custkey event_id, max(o_orderdate) l, o_custkey % 3 = 0 b, case when o_custkey % 2 = 0 then 'Active' else 'Stale' end s from orders group by 1), m as (select max(o_orderdate) t from orders)
+    select event_id, s status, not b vector_recall from e, m where (s = 'Active' and l >= t - interval 480 hours) or (s = 'Stale' and l >= t - interval 60 days)"""
+)
+def b4_recall_window(spark, d):
+    o = B.table(spark, d, "orders")
+    c = F.col("event_id")
+    e = o.groupBy(F.col("o_custkey").alias("event_id")).agg(F.max("o_orderdate").alias("last_seen_at")).withColumn("status", F.when(c % 2 == 0, "Active").otherwise("Stale")).withColumn("is_blacklisted", c % 3 == 0)
+    e = e.join(F.broadcast(o.agg(F.max("o_orderdate").alias("now"))), F.lit(True))
+    return recall.recallable(e, F.col("now"), Config(history_hours=480, archive_recall_days=60)).select("event_id", "status", (~F.col("is_blacklisted")).alias("vector_recall"))
+
+
+@query(
+    """select user_id event_id, (min(ts) < max(ts) - interval 20 days) and max(ts) >= timestamp '2024-01-29' and max(ts) <= timestamp '2024-02-01' reactivated, count(*) n from events group by 1"""
+)
+def b17_reactivated(spark, d):
+    e = B.table(spark, d, "events").groupBy(F.col("user_id").alias("event_id")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    ntz = lambda t: F.lit(t).cast("timestamp_ntz")
+    return e.select("event_id", ((F.col("first") < F.timestamp_add("DAY", F.lit(-20), F.col("last"))) & (F.col("last") >= ntz("2024-01-29")) & (F.col("last") <= ntz("2024-02-01"))).alias("reactivated"), "n")
+
+
+@query("select user_id event_id, value score, event_type || ' | ' || replace('first_push', '_', ' ') || ' | ' || printf('score %.1f, heat %.2f, %d sources', (user_id % 100)::double, (user_id % 7)::double, user_id) message from events where event_id % 100 = 0")
+def i39_messages(spark, d):
+    e = B.table(spark, d, "events").where("event_id % 100 = 0")
+    msg = runs.push_message(F.col("event_type"), F.lit("first_push"), (F.col("user_id") % 100).cast("double"), (F.col("user_id") % 7).cast("double"), F.col("user_id"))
+    return e.select(F.col("user_id").alias("event_id"), F.col("value").alias("score"), msg.alias("message"))

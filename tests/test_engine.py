@@ -255,3 +255,70 @@ def test_stream_is_idempotent(spark, tmp_path):
     for _ in range(2):
         run_stream(feed_stream(spark, str(src)), lambda df, i: seen.append(feeds.list_items(df).count()), str(tmp_path / "cp")).awaitTermination()
     assert sum(seen) == 1
+
+
+def test_registry_and_isolated_fetches(spark):
+    from skein.operators import runs
+
+    reg = runs.registry(spark, [runs.Source("p", "c", "1"), runs.Source("p", "c", "2", id="own"), runs.Source("p", "c", "3", enabled=False)])
+    assert sorted(r["id"] for r in reg.collect()) == ["own", "p:c:1"]
+
+    def fetch(row):
+        if row["external_id"] == "2":
+            raise ValueError("down")
+        return "body"
+
+    got = {r["source_id"]: (r["status"], r["error"]) for r in runs.fetch_all(reg, fetch).collect()}
+    assert got == {"p:c:1": ("succeeded", None), "own": ("failed", "ValueError: down")}
+
+
+def test_stages_isolate_failures(spark):
+    from skein.operators import runs
+
+    s = runs.Stages("r")
+    assert s.run("match", lambda: 1 / 0, default=7) == 7 and s.run("score", lambda: 3) == 3
+    with pytest.raises(ZeroDivisionError):
+        s.run("fetch", lambda: 1 / 0)
+    assert [r["status"] for r in s.frame(spark).collect()] == ["failed", "succeeded", "failed"]
+
+
+def test_digest_job_runs_once_a_slot(spark):
+    from datetime import timezone
+
+    from skein.operators import runs
+
+    sent, done, pushed = [], set(), set()
+    t = datetime(2026, 5, 5, 1, 20, tzinfo=timezone.utc)
+    job = lambda: runs.digest_job(lambda: spark.createDataFrame([("e", 88.0)], "event_id string, total double"), t, Config(), done, pushed, lambda m: sent.append(m) or True)
+    assert job()["sent"] and job() is None and len(sent) == 1 and pushed == {"digest:2026-05-05:09:20"}
+    done.clear()
+    assert job() == {"dedup_key": "digest:2026-05-05:09:20", "sent": False} and len(sent) == 1
+
+
+def test_model_replies(spark):
+    from skein.operators import runs
+
+    r = value(spark, runs.judge_reply(F.lit('```json\n{"importance":"High","boostScore":3,"stage":"expanding"}\n```')))
+    assert (r["boost"], r["stage"], r["labels"]) == (1.0, "Expanding", [])
+    assert value(spark, runs.tag_reply(F.lit(" a | b || c"))) == ["a", "b", "c"]
+    assert value(spark, runs.vector_reply(F.lit("[1, 2]"), 2)) == [1.0, 2.0] and value(spark, runs.vector_reply(F.lit("[1]"), 2)) is None
+
+
+def test_pipeline_run(spark):
+    from skein.plans.pipeline import run_once
+
+    t = datetime(2026, 5, 5, 7)
+    ev = spark.createDataFrame(
+        [("evt:old", "OpenAI releases new model", "the model", [], ["OpenAI releases new model"], ["model", "openai"], [], "Active", t, t, t, False, 0, None, None, None)],
+        "event_id string, canonical_title string, summary string, entities array<string>, representative_titles array<string>, key_terms array<string>, aliases array<string>, status string, first_seen_at timestamp, last_seen_at timestamp, last_activated_at timestamp, is_blacklisted boolean, push_count int, last_push_source_count int, last_push_rank_score double, last_push_score double",
+    )
+    items = spark.createDataFrame(
+        [("i1", "OpenAI releases new model", "the model", "s1", "1", 1), ("i2", "storm hits coast", "", "s1", "2", 2), ("i3", "storm hits coast", "", "s2", "9", 1)],
+        "item_id string, title string, summary string, source string, source_item_id string, rank int",
+    )
+    seen = spark.createDataFrame([(i, f"s{i}", "ranked_news", 1, 0.9, 0.0) for i in ("i1", "i2", "i3")], "item_id string, source string, content_kind string, rank int, normalized_rank_score double, freshness_score double")
+    out = run_once(items, ev, seen, spark.createDataFrame([], "event_id string, calculated_at timestamp, heat_value double"), at(), CFG)
+    m = {r["item_id"]: r["event_id"] for r in out.mapping.collect()}
+    assert m["i1"] == "evt:old" and m["i2"] == m["i3"] != "evt:old"
+    assert out.events.count() == 2
+    assert {r["event_id"]: r["sources"] for r in out.scores.collect()} == {"evt:old": 1, m["i2"]: 2}
