@@ -108,7 +108,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
     return (
-        rows.join(per_doc, "__rid", "left")
+        # Texts move once, by exchange, whatever the size of the other side, which grows with the input.
+        rows.join(per_doc.hint("merge"), "__rid", "left")
         .withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
         .withColumn("text", F.when(F.size(F.coalesce("removed", F.array().cast("array<int>"))) > 0, kept).otherwise(F.col("text")))
         .withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
