@@ -58,9 +58,10 @@ def _order():
     return F.struct("doc_id", "rid", "seq")
 
 
-def repeated_runs(rows: DataFrame, scratch: Scratch, min_lines: int = 2):
+def repeated_runs(rows: DataFrame, scratch: Scratch, min_lines: int = 2, measure: bool = True):
     """(later, longest): ``later`` has ``rid, line, first`` for each line of a later copy; ``longest`` has ``rid, run``,
-    the length (a power of two) of the document's longest repeated run found by doubling."""
+    the length (a power of two) of the document's longest repeated run found by doubling. Without ``measure`` the
+    doubling ends at ``min_lines``, which is all that deletion needs."""
     lines = scratch.cut(line_table(rows))
     classes = lines.groupBy("h1", "h2").agg(F.count("*").alias("cnt")).where("cnt > 1")
     ranked = _scan(classes, [], F.shiftright("h1", 54), ["h1", "h2"]).select("h1", "h2", F.col("before").alias("r"))
@@ -83,7 +84,7 @@ def repeated_runs(rows: DataFrame, scratch: Scratch, min_lines: int = 2):
         if k == 0:
             active_lines = active
         n = active.count()
-        if n == 0 or size > (1 << 40):
+        if n == 0 or (size >= min_lines and not measure):
             break
         after = active.select("rid", (F.col("seq") - size).alias("seq"), F.col("r").alias("r2"))
         pairs = active.join(after, ["rid", "seq"])
@@ -97,12 +98,12 @@ def repeated_runs(rows: DataFrame, scratch: Scratch, min_lines: int = 2):
     return later, longest.groupBy("rid").agg(F.max("run").alias("run"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 2, measure: bool = True) -> DataFrame:
     """The input's columns, with the lines of later copies cut out of ``text``, and ``n_lines``, ``removed`` (array of
-    line numbers) and ``longest_run``."""
+    line numbers) and ``longest_run`` (capped at ``min_lines`` without ``measure``)."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows = numbered(docs)
-    later, longest = repeated_runs(rows.select("__rid", "doc_id", "text"), scratch, min_lines)
+    later, longest = repeated_runs(rows.select("__rid", "doc_id", "text"), scratch, min_lines, measure)
     gone = later.groupBy("rid").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     per_doc = scratch.cut(gone.join(longest, "rid", "full").select(F.col("rid").alias("__rid"), "removed", F.col("run").alias("longest_run")))
     lines = F.split("text", "\n")
