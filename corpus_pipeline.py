@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of later copies of repeated runs go, and with them documents that consist of nothing else."""
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, measure=False)
     changed = F.size("removed") > 0
     blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(WS_CHARS)) == ""
     out = out.where(~(changed & blank))
