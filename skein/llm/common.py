@@ -53,7 +53,7 @@ class Scratch:
                 at.getFileSystem(conf).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
+def small_batches(spark: SparkSession, rows: int = 128) -> None:
     """Arrow batches of few rows: texts may be very long, and a batch must fit in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -19,6 +19,7 @@ QUERIES = {
 SQL = {
     "op1_license_scan": licenses.OP1_SQL,
     "op2_line_dedup": linededup.OP2_SQL,
+    "op5_ngram_join": ngramjoin.OP5_SQL,
     "op7_decontamination": decontam.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
