@@ -204,8 +204,9 @@ def other_hubs(placed: DataFrame, seed: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``rid, doc_id, n_shingles, component_id, links`` for every row, rid being its number in reading order; ``links``
-    counts verified links of its class."""
+    """``rid, doc_id, n_shingles, comp, component_id, links`` for every row, rid being its number in reading order;
+    ``comp`` is the component's first class, which null or repeated doc_ids can't confuse; ``links`` counts verified
+    links of its class."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
@@ -242,17 +243,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     links = edges.unionByName(more).distinct().select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
-    named = scratch.cut(named.join(names, "comp").join(links, "c", "left").select("key", "n", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
+    named = scratch.cut(named.join(names, "comp").join(links, "c", "left").select("key", "n", "comp", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
     out = made.select("rid", "doc_id", "key").join(named, "key")
     alone = F.col("n") == 0
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "links")
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), "comp", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "links")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """One document of each component stays: that of the smallest doc_id (then the first row); documents without
     shingles all stay. The columns are the input's."""
     found = jaccard_components(docs)
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("f"))
+    first = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "rid")).alias("f"))
     keep = first.select("f.rid").unionByName(found.where("n_shingles = 0").select("rid"))
     rows = docs.withColumn("__rid", F.monotonically_increasing_id())
     return semi_join_ids(rows, keep.withColumnRenamed("rid", "__rid"), "__rid", Scratch(docs.sparkSession, "kept")).drop("__rid")

@@ -211,6 +211,13 @@ def test_ngram_join_odd_rows(docs, spark):
     assert rows_of(ngramjoin.jaccard_components(spark.createDataFrame([], SCHEMA))) == []
 
 
+def test_unrelated_documents_of_null_or_repeated_ids_all_stay(docs):
+    rng = random.Random(17)
+    texts = [prose(rng, 40) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[4]), (10, texts[5])]
+    assert sorted(r["text"] for r in rows_of(ngramjoin.dedup_documents(docs(rows)))) == sorted(texts)
+
+
 # 6 token counts -------------------------------------------------------------------------------------------------------
 
 
