@@ -4,10 +4,11 @@
    that name a role), or a text by its hash. A token's occurrence vector is its count on each page of its host.
 2. Vectors are compared by a commutative digest (XOR of hashes of (page, count)), which Spark aggregates by host and
    token before anything is shuffled, so a host with a third of all pages is no hot task. Tokens of a host with one
-   digest are an equivalence class; classes of at least two tokens on ``min_pages`` pages or more are valid.
+   digest are an equivalence class; classes of at least two tokens on ``min_pages`` pages or more are valid. Pages of
+   a host with equal html count once.
 3. Element classes nest by path: the largest class that occurs once on every page is the host's skeleton, and
    classes within its slots are the parts it repeats. A host's template is one small row: its skeleton's paths with
-   the text that they hold, and its constant texts.
+   the text that they hold, and its constant texts: those on nearly all pages of the host (``CONSTANT`` percent).
 4. The main slot is the skeleton element that holds the article: an ``article``/``main`` element of the skeleton,
    else the innermost one with half of all text outside menus, headers, footers, sidebars, notices, adverts, forms
    and comments. A page yields what fills that slot, without those; constant texts outside an article go too.
@@ -16,7 +17,8 @@
 Blocks begin and end at block elements; character references are decoded; white space in a block becomes one
 space; blocks are trimmed and joined by a newline. Defined results: null or empty html gives an empty text; a page
 that misses its host's main slot is treated as under 5; a null or odd url is a host of its own name ("");
-repeated pages are extracted each for itself; extra columns are dropped; unclosed and stray tags are tolerated.
+repeated pages are extracted each for itself; extra columns are dropped; unclosed and stray tags are tolerated. The
+input must be a deterministic scan, because pages are numbered in reading order.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, clean_columns, read, small_batches
+from .common import BROADCAST_IDS, Scratch, clean_columns, read, small_batches
+
+#: Share of a host's distinct pages, in percent, that a text must stand on to be part of the template.
+CONSTANT = 90
 
 # Element and class names with a role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -230,13 +235,25 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return pages.select("host", "key", "t").mapInArrow(run, "host string, token bigint, path string, held bigint, mark bigint, n bigint")
 
 
-def templates(pages: DataFrame, min_pages: int = 3) -> DataFrame:
+def distinct_pages(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pages without later copies of equal html on one host, ``host, total``: their number)."""
+    prints = scratch.cut(pages.select("host", "key", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2")))
+    firsts = scratch.cut(prints.groupBy("host", "h1", "h2").agg(F.min("key").alias("first"), F.count("*").alias("copies")))
+    copies = scratch.cut(prints.join(firsts.where("copies > 1"), ["host", "h1", "h2"]).where("key <> first").select("key"))
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    return pages.join(copies, "key", "left_anti"), firsts.groupBy("host").agg(F.count("*").alias("total"))
+
+
+def templates(pages: DataFrame, scratch: Scratch, min_pages: int = 3) -> DataFrame:
     """``host, skeleton (array of path, held), constant (array of hashes)``; hosts without valid classes are absent."""
+    pages, totals = distinct_pages(pages, scratch)
     tokens = occurrences(pages).groupBy("host", "token").agg(
         F.first("path").alias("path"), F.sum("held").alias("held"), F.bit_xor("mark").alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("times")
     )
     # One-page tokens can't be in a valid class; texts of single pages, the bulk of all tokens, end here.
-    tokens = tokens.where(F.col("pages") >= min_pages)
+    tokens = tokens.where(F.col("pages") >= min_pages).join(totals, "host")
+    # A text that recurs on some pages only is content.
+    tokens = tokens.where(F.col("path").isNotNull() | (100 * F.col("pages") >= CONSTANT * F.col("total")))
     classes = tokens.groupBy("host", "vector", "pages", "times").agg(
         F.count("*").alias("members"),
         F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "held"))).alias("paths"),
@@ -256,9 +273,10 @@ def extract_pages(pages: DataFrame, min_pages: int = 3) -> DataFrame:
     small_batches(spark, 64)
     src = clean_columns(pages, "page_id", "url", "html").select(
         "page_id", "url", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")).alias("host"),
-        F.xxhash64("page_id", "url").alias("key"), F.col("html").cast("binary").alias("t"),
+        F.monotonically_increasing_id().alias("key"), F.col("html").cast("binary").alias("t"),
     )
-    known = Scratch(spark, "html").cut(templates(src, min_pages))
+    scratch = Scratch(spark, "html")
+    known = scratch.cut(templates(src, scratch, min_pages))
     # One row a host; the hot host's pages are the streamed side of the join.
     with_template = src.drop("key").join(known, "host", "left")
 

@@ -147,6 +147,17 @@ def test_template_of_a_host_without_article(spark):
     assert {r["text"] for r in got} == {f"Body text number {i} is long enough." for i in range(5)}
 
 
+def test_recurring_texts_and_copies_are_no_template(spark):
+    body = "<div class=box><h2>{head}</h2><p>Body text number {i} is long enough.</p></div><div><p>Same words on every page.</p></div>"
+    rows = [(i, f"http://t.example/{i}", PAGE.format(main=body.format(head="Summary" if i < 3 else f"Head {i}", i=i))) for i in range(8)]
+    rows += [(20 + i, f"http://copy.example/{i}", PAGE.format(main=body.format(head="Copied", i=20))) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in rows_of(html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got == {
+        **{i: f"{'Summary' if i < 3 else f'Head {i}'}\nBody text number {i} is long enough." for i in range(8)},
+        **{20 + i: "Copied\nBody text number 20 is long enough.\nSame words on every page." for i in range(3)},
+    }
+
+
 # 5 n-gram join --------------------------------------------------------------------------------------------------------
 
 
