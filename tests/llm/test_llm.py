@@ -122,6 +122,11 @@ def test_passages_odd_rows(docs, spark):
     assert rows_of(substrings.passages(spark.createDataFrame([], SCHEMA))) == []
 
 
+def test_a_far_match_does_not_break_a_chain():
+    near = [(100, 100, 8), (115, 115, 8), (130, 130, 8)]
+    assert near in substrings.chains([(0, 0, 50), *near])
+
+
 # 4 HTML ---------------------------------------------------------------------------------------------------------------
 
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li>menu</li></ul></nav><div class="ad">buy</div>{main}<div id="comments"><p>me too</p></div><form><p>mail</p></form><footer>&copy; f</footer></body></html>'
