@@ -122,6 +122,33 @@ def test_passages_odd_rows(docs, spark):
     assert rows_of(substrings.passages(spark.createDataFrame([], SCHEMA))) == []
 
 
+def test_fuzzy_passages_within_the_claim_are_found(docs):
+    rng = random.Random(19)
+    rows, n = [], 0
+    for size, edits in ((50, 10), (60, 6), (60, 3), (100, 15), (200, 36)):
+        for _ in range(6):
+            passage = prose(rng, size).split()
+            fuzzy = list(passage)
+            for i in rng.sample(range(size), edits):
+                fuzzy[i] = f"edit{rng.randrange(10**6)}"
+            rows += [(n, f"{prose(rng, 120)} {' '.join(passage)} {prose(rng, 120)}"), (n + 1, f"{prose(rng, 90)} {' '.join(fuzzy)} {prose(rng, 120)}")]
+            n += 2
+    got = {(r["doc_id"], r["first_doc_id"]) for r in rows_of(substrings.passages(docs(rows, 1)))}
+    assert {tuple(sorted(p)) for p in got} == {(i, i + 1) for i in range(0, n, 2)}
+
+
+def test_passages_of_a_repeated_line_are_found(docs):
+    rng = random.Random(23)
+    rows, n = [], 0
+    for words, times in ((9, 10), (11, 15), (5, 15)):
+        for _ in range(4):
+            passage = " ".join([prose(rng, words)] * times)
+            rows += [(n, f"{prose(rng, 120)} {passage} {prose(rng, 90)}"), (n + 1, f"{prose(rng, 70)} {passage} {prose(rng, 120)}")]
+            n += 2
+    got = {(r["doc_id"], r["first_doc_id"]) for r in rows_of(substrings.passages(docs(rows, 1)))}
+    assert {tuple(sorted(p)) for p in got} == {(i, i + 1) for i in range(0, n, 2)}
+
+
 def test_a_far_match_does_not_break_a_chain():
     near = [(100, 100, 8), (115, 115, 8), (130, 130, 8)]
     assert near in substrings.chains([(0, 0, 50), *near])
