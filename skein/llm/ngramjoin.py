@@ -1,4 +1,4 @@
-"""Self-join of documents by n-gram Jaccard similarity, with prefix filters under two global orders.
+"""Self-join of documents by n-gram Jaccard similarity, with prefix filters under several global orders.
 
 Sets are the distinct 5-word shingles, as 64-bit hashes; equal sets are one class, and classes are joined.
 
@@ -11,12 +11,17 @@ order the first p(n) shingles of both hold the same first l = p(n) - n + ceil(t
   one of the first p(n) - m + 1 under order 2. Shingles that nobody else posts come first and can't be shared: a
   set with more of them than p(n) - m links with nothing, and leaves without any pair being formed. Passages that
   many documents share stand last and are not reached, unless a set consists of little else.
+- Order 3 is the hash from its upper end. A pair shares one of its last n - ceil(t n) + 1 shingles.
 
-A candidate shares a prefix shingle under order 2 inside its prefix under order 1 and passes the length filter.
-Pairs are tried in rounds, because only components are asked for: first every class with one hub (the smallest
-class met most often in its lists), then, over lists that still hold several components, every pair of classes of
-different components - so every link that could join two components is tested, and no group of copies is
-expanded into all its pairs. Candidates are verified exactly on their sets, which are made again from the text.
+A candidate shares a prefix shingle under order 2 inside its prefix under order 1, passes the length filter, and shares
+a prefix shingle under order 3; what is left is verified exactly on the sets, which are made again from the text.
+
+Only components are asked for, so no group of copies is expanded into all its pairs. First every class is tried with
+one hub (the smallest class met most often in its lists). Lists that then still hold several components are refined:
+their classes' whole sets are counted, and a shingle that no other component holds can't be part of a further link. A
+set of n with k other shingles needs a partner of 2.25 k - n at most, which rules out the copies that have strayed too
+far from all others, before any pair is formed. The rest is ordered anew by rarity (order 2 over whole sets, with its
+prefix, length and position filters), tried with further hubs, and what still holds several components pair by pair.
 
 Defined results: null, empty or wordless text has an empty set and is linked with nothing; with fewer than five
 words the whole sequence is one shingle; repeated rows fall into one class; a component's id is the smallest doc_id
@@ -70,8 +75,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def shingles(text: bytes | None, n: int = N) -> np.ndarray:
-    """The sorted set of hashes of ``n`` consecutive words (bytes.split cuts at exactly the six ASCII spaces)."""
-    words = text.split() if text else []
+    """The sorted set of hashes of ``n`` consecutive words (of bytes, lower changes only A-Z, and split cuts at exactly
+    the six ASCII spaces)."""
+    words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     h = word_hashes(words)
@@ -154,45 +160,106 @@ def candidates_lists(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs ``a, b`` (classes) whose sets are similar; a class's set is made from its first row's text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    """The pairs ``a, b`` of classes whose sets are similar; a class's set is made from its first row's text. Pairs
+    without a shared prefix shingle under order 3 can't be and aren't compared."""
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "rid")
 
     def make(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["rid", "s"])
+            made = [shingles(t.as_py()) for t in batch.column(1)]
+            last = [x[least_shared(len(x)) - 1 :].view(np.int64) if len(x) else x.view(np.int64) for x in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(last, pa.list_(pa.int64())), pa.array([x.tobytes() for x in made], pa.binary())], names=["rid", "last", "s"])
 
-    made = scratch.cut(semi_join_ids(rows.select("rid", "t"), ids, "rid", scratch).mapInArrow(make, "rid bigint, s binary"))
+    made = scratch.cut(semi_join_ids(rows.select("rid", "t"), ids, "rid", scratch).mapInArrow(make, "rid bigint, last array<bigint>, s binary"))
     # Pairs grow with the input: sets meet them by exchange at every size, and AQE splits hot hubs.
-    side = lambda c, s: made.select(F.col("rid").alias(c), F.col("s").alias(s)).hint("merge")
-    both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
+    side = lambda c: made.select(F.col("rid").alias(c), F.col("last").alias(f"l{c}"), F.col("s").alias(f"s{c}")).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("la", "lb"))
 
     def test(batches):
         import pyarrow as pa
 
         for batch in batches:
             get = lambda x: np.frombuffer(x.as_py(), np.uint64)
-            keep = [similar(get(x), get(y)) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            keep = pa.array([similar(get(x), get(y)) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     out = scratch.cut(both.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint"))
     scratch.drop(made)
     return out
 
 
+#: The length filter of a pair.
+FITS = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
 #: Rounds of hubs beyond the first, hubs that a list offers in each, and hubs that a class tries in each.
 ROUNDS, OFFERS, TRIES = 2, 4, 3
 
 
-def still_open(lists: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``tok, c, n, comp``: the lists whose classes aren't yet in one component."""
-    comp = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
-    placed = lists.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+def comps_of(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``c, comp`` of the linked classes."""
+    return components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch).withColumnRenamed("node", "c")
+
+
+def still_open(lists: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """The lists (with ``comp``) whose classes aren't yet in one component."""
+    placed = lists.drop("comp").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     open_ = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     return scratch.cut(placed.join(open_, "tok", "left_semi"))
 
 
+#: Passes over the refined lists that drop what the passes before have made hopeless (any number is right).
+PEELS = 3
+
+
+def refined(placed: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``tok, c, n, comp, df, cap, least_low``: the shingles that several components hold, of the whole sets of the
+    classes in open lists. ``cap`` is the largest partner that a class's shingles here allow, ``least_low`` the smallest
+    one that it meets, ``df`` the number of classes with the shingle."""
+    open_ = scratch.cut(placed.groupBy("c").agg(F.first("n").alias("n"), F.first("comp").alias("comp")))
+
+    def make(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["c", "toks"])
+
+    texts = semi_join_ids(rows.select("rid", "t"), open_.select(F.col("c").alias("rid")), "rid", scratch)
+    full = scratch.cut(texts.mapInArrow(make, "c bigint, toks array<bigint>").join(open_, "c").select("c", "n", "comp", F.explode("toks").alias("tok")))
+    least = F.ceil(F.lit(PERCENT) * F.col("n") / 100)
+    for _ in range(PEELS):
+        lists = full.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("low"), F.count("*").alias("df"))
+        cross = full.join(lists.where("lo < hi").select("tok", "low", "df"), "tok")
+        fate = cross.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("shared"), F.min("low").alias("least_low"))
+        fate = fate.withColumn("cap", F.floor(F.lit(100 + PERCENT) * F.col("shared") / PERCENT) - F.col("n")).where(F.col("cap") >= F.greatest(least, F.col("least_low")))
+        kept = scratch.cut(cross.join(fate.select("c", "cap", "least_low"), "c").where("low <= cap").drop("low"))
+        scratch.drop(full)
+        full = kept.select("tok", "c", "n", "comp")
+    return kept
+
+
+def least_size():
+    """The smallest partner that a class can have."""
+    return F.greatest("least_low", F.ceil(F.lit(PERCENT) * F.col("n") / 100))
+
+
+def prefixes(kept: DataFrame, scratch: Scratch) -> DataFrame:
+    """Prefix lists under order 2 over whole sets: adds ``k``, the class's shingles in ``kept``, and the place ``i``."""
+    by_class = Window.partitionBy("c")
+    need = F.ceil(F.lit(PERCENT) * (F.col("n") + least_size()) / (100 + PERCENT))
+    ranked = kept.withColumn("k", F.count("*").over(by_class)).withColumn("i", F.row_number().over(by_class.orderBy("df", "tok")))
+    return scratch.cut(ranked.where(F.col("i") <= F.col("k") - need + 1))
+
+
+def pairs_across(lists: DataFrame) -> DataFrame:
+    """``a, b``: pairs of different components in open lists that pass the length and position filters."""
+    lists = lists.withColumn("left", F.expr("k - i + 1"))
+    x, y = (lists.select("tok", *[F.col(o).alias(n) for o, n in zip(("c", "n", "comp", "cap", "left"), names)]) for names in (("a", "na", "ca", "capa", "la"), ("b", "nb", "cb", "capb", "lb")))
+    reach = f"nb <= capa and na <= capb and {100 + PERCENT} * least(la, lb) >= {PERCENT} * (na + nb)"
+    return x.join(y, "tok").where("ca < cb").where(FITS).where(reach).select("a", "b").distinct()
+
+
 def other_hubs(placed: DataFrame, seed: int) -> DataFrame:
     """``a, b``: each class with the hubs of lower components that it meets most often, a fixed number of them."""
     hash_ = lambda j: F.xxhash64(F.lit(seed * OFFERS + j), "c")
@@ -216,33 +283,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = scratch.cut(made.groupBy("key").agg(F.min("rid").alias("c"), F.min("doc_id").alias("least"), F.first("n").alias("n")))
     firsts = semi_join_ids(made, classes.where("n > 0").select(F.col("c").alias("rid")), "rid", scratch).withColumnRenamed("rid", "c")
     lists = candidates_lists(firsts, scratch)
-    fits = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
-
     hubs = lists.groupBy("tok").agg(F.min(F.struct("c", "n")).alias("h"))
-    star = lists.join(hubs, "tok").select("c", "n", F.col("h.c").alias("hub"), F.col("h.n").alias("hn")).where("c <> hub")
-    star = star.where(f"100 * least(n, hn) >= {PERCENT} * greatest(n, hn)").groupBy("c", "hub").count()
+    star = lists.join(hubs, "tok").select("c", F.col("n").alias("na"), F.col("h.c").alias("hub"), F.col("h.n").alias("nb")).where("c <> hub")
+    star = star.where(FITS).groupBy("c", "hub").count()
     best = star.groupBy("c").agg(F.max(F.struct("count", F.col("hub").alias("a"))).alias("x"))
     edges = verified(best.select("x.a", F.col("c").alias("b")), rows, scratch)
 
     # Copies of one text differ from each other more than from it, so one hub doesn't join them all: classes that
-    # are still apart try the hubs that other hashes pick from their lists, as many as TRIES a round.
+    # are still apart, and not ruled out, try the hubs that other hashes pick from their lists, TRIES a round.
+    comp = comps_of(edges, scratch)
+    kept = refined(still_open(lists, comp, scratch), rows, scratch)
+    lists = prefixes(kept, scratch)
     for seed in range(ROUNDS):
-        placed = still_open(lists, edges, scratch)
+        placed = still_open(lists, comp, scratch)
         if placed.isEmpty():
             break
         more = verified(scratch.cut(other_hubs(placed, seed)), rows, scratch)
         edges = scratch.cut(edges.unionByName(more))
-    # Lists that even then hold several components: every pair across them that passes the filters.
-    placed = still_open(lists, edges, scratch)
-    x = placed.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = placed.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    across = x.join(y, "tok").where("ca < cb").where(fits).select("a", "b").distinct()
-    more = verified(scratch.cut(across), rows, scratch)
-    comp = components(edges.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
-
-    named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        comp = comps_of(edges, scratch)
+    # What even then is open is tried pair by pair.
+    across = pairs_across(still_open(lists, comp, scratch))
+    edges = scratch.cut(edges.unionByName(verified(scratch.cut(across), rows, scratch)))
+    edges = edges.distinct()
+    comp = comps_of(edges, scratch)
+
+    named = classes.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    links = edges.unionByName(more).distinct().select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
+    links = edges.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
     named = scratch.cut(named.join(names, "comp").join(links, "c", "left").select("key", "n", "comp", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
     out = made.select("rid", "doc_id", "key").join(named, "key")
     alone = F.col("n") == 0
@@ -264,7 +331,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-with recursive d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+with recursive d as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
 s as (select distinct doc_id, g from (select doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda k: array_to_string(ws[k:k+4], ' '))) g from d where len(ws) > 0)),
 n as (select doc_id, count(*) n from s group by 1),
 p as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
