@@ -201,10 +201,14 @@ def comps_of(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch).withColumnRenamed("node", "c")
 
 
-def still_open(lists: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
-    """The lists (with ``comp``) whose classes aren't yet in one component."""
+def still_open(lists: DataFrame, comp: DataFrame, tried: DataFrame, scratch: Scratch) -> DataFrame:
+    """The lists (with ``comp``) whose classes aren't yet in one component, but for those of two classes that have been
+    tried with each other (``tried`` has a < b)."""
     placed = lists.drop("comp").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    open_ = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
+    open_ = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("size")).where("lo < hi")
+    # Lists of more classes stay open: they get a null pair, which nothing equals.
+    pair = [F.when(F.col("size") == 2, F.col(x)).alias(x) for x in "ab"]
+    open_ = open_.select("tok", *pair).join(tried, ["a", "b"], "left_anti").select("tok")
     return scratch.cut(placed.join(open_, "tok", "left_semi"))
 
 
@@ -257,7 +261,7 @@ def pairs_across(lists: DataFrame) -> DataFrame:
     lists = lists.withColumn("left", F.expr("k - i + 1"))
     x, y = (lists.select("tok", *[F.col(o).alias(n) for o, n in zip(("c", "n", "comp", "cap", "left"), names)]) for names in (("a", "na", "ca", "capa", "la"), ("b", "nb", "cb", "capb", "lb")))
     reach = f"nb <= capa and na <= capb and {100 + PERCENT} * least(la, lb) >= {PERCENT} * (na + nb)"
-    return x.join(y, "tok").where("ca < cb").where(FITS).where(reach).select("a", "b").distinct()
+    return x.join(y, "tok").where("ca < cb").where(FITS).where(reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def other_hubs(placed: DataFrame, seed: int) -> DataFrame:
@@ -267,7 +271,7 @@ def other_hubs(placed: DataFrame, seed: int) -> DataFrame:
     met = placed.join(offers, "tok").select("c", "n", "comp", F.explode("o").alias("o")).where("o.ca < comp")
     met = met.where(f"100 * least(n, o.na) >= {PERCENT} * greatest(n, o.na)").groupBy("c", "o.a").count()
     w = Window.partitionBy("c").orderBy(F.desc("count"), "a")
-    return met.withColumn("i", F.row_number().over(w)).where(f"i <= {TRIES}").select("a", F.col("c").alias("b"))
+    return met.withColumn("i", F.row_number().over(w)).where(f"i <= {TRIES}").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -287,24 +291,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     star = lists.join(hubs, "tok").select("c", F.col("n").alias("na"), F.col("h.c").alias("hub"), F.col("h.n").alias("nb")).where("c <> hub")
     star = star.where(FITS).groupBy("c", "hub").count()
     best = star.groupBy("c").agg(F.max(F.struct("count", F.col("hub").alias("a"))).alias("x"))
-    edges = verified(best.select("x.a", F.col("c").alias("b")), rows, scratch)
+    tried = scratch.cut(best.select("x.a", F.col("c").alias("b")))
+    edges = verified(tried, rows, scratch)
 
     # Copies of one text differ from each other more than from it, so one hub doesn't join them all: classes that
     # are still apart, and not ruled out, try the hubs that other hashes pick from their lists, TRIES a round.
     comp = comps_of(edges, scratch)
-    kept = refined(still_open(lists, comp, scratch), rows, scratch)
+    kept = refined(still_open(lists, comp, tried, scratch), rows, scratch)
     lists = prefixes(kept, scratch)
     for seed in range(ROUNDS):
-        placed = still_open(lists, comp, scratch)
+        placed = still_open(lists, comp, tried, scratch)
         if placed.isEmpty():
             break
-        more = verified(scratch.cut(other_hubs(placed, seed)), rows, scratch)
-        edges = scratch.cut(edges.unionByName(more))
+        more = scratch.cut(other_hubs(placed, seed).join(tried, ["a", "b"], "left_anti"))
+        edges = scratch.cut(edges.unionByName(verified(more, rows, scratch)))
+        tried = scratch.cut(tried.unionByName(more))
         comp = comps_of(edges, scratch)
     # What even then is open is tried pair by pair.
-    across = pairs_across(still_open(lists, comp, scratch))
+    across = pairs_across(still_open(lists, comp, tried, scratch)).join(tried, ["a", "b"], "left_anti")
     edges = scratch.cut(edges.unionByName(verified(scratch.cut(across), rows, scratch)))
-    edges = edges.distinct()
     comp = comps_of(edges, scratch)
 
     named = classes.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
