@@ -22,14 +22,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of later copies of repeated runs go, and with them documents that consist of nothing else."""
-    out = linededup.dedup_lines(docs, measure=False)
+    out = linededup.dedup_lines(docs)
     changed = F.size("removed") > 0
-    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(WS_CHARS)) == ""
+    blank = F.btrim(F.coalesce("row.text", F.lit("")), F.lit(WS_CHARS)) == ""
     out = out.where(~(changed & blank))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("row", F.when(changed, F.col("row").withField("n_chars", F.length("row.text").cast(kind))).otherwise(F.col("row")))
+    return out.select("row.*")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
