@@ -1,24 +1,29 @@
 """HTML main-text extraction by equivalence-class template deduction.
 
-1. Every page is cut into tags and texts. A template token is an element by its path (tag names, and the classes
-   that name a role), or a text by its hash. A token's occurrence vector is its count on each page of its host.
+1. Every page is cut into tags and texts. A template token is an element by its path (tag names, with a class or id that
+   has no digits; containers without one are numbered among their siblings), or a text by its hash. A token's
+   occurrence vector is its count on each page of its host.
 2. Vectors are compared by a commutative digest (XOR of hashes of (page, count)), which Spark aggregates by host and
    token before anything is shuffled, so a host with a third of all pages is no hot task. Tokens of a host with one
-   digest are an equivalence class; classes of at least two tokens on ``min_pages`` pages or more are valid. Pages of
-   a host with equal html count once.
-3. Element classes nest by path: the largest class that occurs once on every page is the host's skeleton, and
-   classes within its slots are the parts it repeats. A host's template is one small row: its skeleton's paths with
-   the text that they hold, and its constant texts: those on nearly all pages of the host (``CONSTANT`` percent).
-4. The main slot is the skeleton element that holds the article: an ``article``/``main`` element of the skeleton,
-   else the innermost one with half of all text outside menus, headers, footers, sidebars, notices, adverts, forms
-   and comments. A page yields what fills that slot, without those; constant texts outside an article go too.
-5. Hosts with fewer pages than ``min_pages`` have no valid classes; there the same choice is made on the page alone.
+   digest are an equivalence class; element classes of at least two tokens on ``min_pages`` pages or more are valid.
+   Pages of a host with equal html count once.
+3. Valid classes are nested into a template: the skeleton is the largest class that stands once on nearly all pages
+   (``CONSTANT`` percent); a class goes into the innermost element of the skeleton that holds all of its elements, and
+   what occurs there once a page refines the skeleton. Texts on nearly all pages of a host of ``SURE`` pages or more are
+   template, too. A host's template is one small row.
+4. What the template doesn't hold are its slots. Each has the characters that vary in it over all pages, outside
+   menus, headers, footers, sidebars, notices, adverts, forms and comments as far as names tell. The main slot is the
+   innermost container with half of them or more, or its parent if a heading that varies stands directly in that.
+   No tag name is needed for it. A page yields what fills the main slot, without parts named as above; template texts
+   outside an ``article`` go too.
+5. Pages of hosts without a template (fewer than ``min_pages`` pages), and pages that lack their host's main slot, are
+   judged alone: by their ``article`` or ``main`` element, else whole.
 
 Blocks begin and end at block elements; character references are decoded; white space in a block becomes one
-space; blocks are trimmed and joined by a newline. Defined results: null or empty html gives an empty text; a page
-that misses its host's main slot is treated as under 5; a null or odd url is a host of its own name ("");
-repeated pages are extracted each for itself; extra columns are dropped; unclosed and stray tags are tolerated. The
-input must be a deterministic scan, because pages are numbered in reading order.
+space; blocks are trimmed and joined by a newline. Defined results: null or empty html gives an empty text; a null or
+odd url is a host of its own name (""); repeated pages are extracted each for itself; extra columns are dropped;
+unclosed and stray tags are tolerated; an empty table gives no rows. The input must be a deterministic scan, because
+pages are numbered in reading order.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from .common import BROADCAST_IDS, Scratch, clean_columns, read, small_batches
 
 #: Share of a host's distinct pages, in percent, that a text must stand on to be part of the template.
 CONSTANT = 90
+#: Distinct pages from which on a text can be part of the template (a few pages may well be copies of one article).
+SURE = 10
 
 # Element and class names with a role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +58,8 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 CLOSES_P = BLOCK - frozenset("html head body title td th tr tbody thead tfoot caption".split())
 SELF_NEST = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: Elements that can be a main slot.
+CONTAINERS = frozenset("article body center div main section table tbody td".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"(class|id|role|aria-hidden|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[\s_-]+")
@@ -59,10 +68,12 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "main")
+    __slots__ = ("tag", "path", "dropped", "main", "inside")
 
     def __init__(self, tag, path, dropped, main):
         self.tag, self.path, self.dropped, self.main = tag, path, dropped, main
+        #: Containers without a name, by tag, that began directly in this one.
+        self.inside: dict[str, int] = {}
 
 
 def parse(page: str):
@@ -140,7 +151,10 @@ def parse(page: str):
         main = up.main or tag in ("article", "main") or role == "main"
         odd = names & DROP_NAMES
         drop = up.dropped or hidden or role in DROP_ROLES or (tag in DROP and not (tag == "header" and up.main)) or (bool(odd) and tag not in ("html", "body", "article", "main"))
-        path = f"{up.path}/{tag}" + (f".{min(odd)}" if odd else "")
+        name = min(odd) if odd else min((x for x in names if x.isalpha()), default="")
+        if not name and tag in CONTAINERS and tag != "body":
+            up.inside[tag] = name = up.inside.get(tag, 0) + 1
+        path = f"{up.path}/{tag}" + (f".{name}" if name else "")
         yield "open", path
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -162,16 +176,55 @@ def digest(text: str) -> int:
 
 
 MAIN_TAGS = re.compile(r"/(article|main)\b[^/]*$")
+HEADING = re.compile(r"/h[1-6][^/]*$")
 
 
-def choose(paths: list[tuple[str, int]]) -> str:
-    """The main slot among (path, characters that it holds), from the outermost in; "" if there is none."""
-    named = [p for p, _ in paths if MAIN_TAGS.search(p)]
-    if named:
-        return min(named, key=lambda p: (p.count("/"), p))
-    total = max((n for _, n in paths), default=0)
-    half = [(p, n) for p, n in paths if total and 2 * n >= total]
-    return max(half, key=lambda x: (x[0].count("/"), x[0]))[0] if half else ""
+def tag_of(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".", 1)[0]
+
+
+def parent_of(path: str) -> str:
+    return path.rsplit("/", 1)[0]
+
+
+def nested(classes: list[dict], total: int) -> list[tuple[str, int]]:
+    """The template's elements that stand once on a page, (path, characters held on all pages): the skeleton, and the
+    once-a-page classes that nest in one of its elements. ``classes`` have pages, times and elements (path, held)."""
+    once = [c for c in classes if c["times"] == c["pages"] and c["elements"]]
+    frame = [c for c in once if 100 * c["pages"] >= CONSTANT * total]
+    if not frame:
+        return []
+    skeleton = max(frame, key=lambda c: (c["pages"], len(c["elements"]), c["elements"][0]))
+    out = dict(skeleton["elements"])
+    for c in sorted(frame, key=lambda c: min(p.count("/") for p, _ in c["elements"])):
+        # All of the class must stand in one element of the template built so far.
+        if c is not skeleton and any(all(within(p, e) for p, _ in c["elements"]) for e in out):
+            out.update(c["elements"])
+    return sorted(out.items())
+
+
+def choose(paths: list[tuple[str, int]], constant: dict[str, int]) -> str:
+    """The main slot among a template's elements (path, characters held); ``constant``: characters of template texts by
+    the path that holds them. "" if there is none."""
+    still = {p: sum(n for q, n in constant.items() if within(q, p)) for p, _ in paths}
+    vary = {p: n - still[p] for p, n in paths}
+    whole = max(vary.values(), default=0)
+    inner = [p for p, n in vary.items() if whole > 0 and 2 * n >= whole and tag_of(p) in CONTAINERS]
+    if not inner:
+        return ""
+    slot = max(inner, key=lambda p: (p.count("/"), p))
+    up = parent_of(slot)
+    if up in vary and tag_of(up) != "body" and any(HEADING.search(p) and parent_of(p) == up and n > 0 for p, n in vary.items()):
+        slot = up
+    return slot
+
+
+def main_slot(classes: list[dict], constant: list[dict], total: int) -> str:
+    paths = nested([{**c, "elements": [(x["path"], x["held"]) for x in c["elements"]]} for c in classes], total)
+    still: dict[str, int] = {}
+    for x in constant:
+        still[x["path"]] = still.get(x["path"], 0) + x["held"]
+    return choose(paths, still)
 
 
 def within(path: str, slot: str) -> bool:
@@ -187,13 +240,7 @@ def extract(page: str, slot: str, constant: frozenset[int] = frozenset()) -> str
         else:
             found.append(rest)
     if slot not in opened:
-        held: dict[str, int] = {}
-        for path, dropped, _, text in found:
-            if not dropped:
-                for p in ancestors(path):
-                    held[p] = held.get(p, 0) + len(text)
-        named = [p for p in opened if MAIN_TAGS.search(p)]
-        slot = choose([(p, held.get(p, 0)) for p in named]) if named else ""
+        slot = min((p for p in opened if MAIN_TAGS.search(p)), key=lambda p: (p.count("/"), p), default="")
     return "\n".join([t for path, dropped, main, t in found if not dropped and (not slot or within(path, slot)) and (main or not constant or digest(t) not in constant)])
 
 
@@ -203,17 +250,18 @@ def ancestors(path: str) -> list[str]:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """``host, token, path, held, mark``: each page's tokens; ``mark`` is the page's part of the token's vector."""
+    """``host, token, path, is_text, held, mark, n``: each page's tokens; ``mark`` is the page's part of the token's
+    vector, ``held`` the characters of text in it (for a text: its own)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for host, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 count: dict[str, int] = {}
                 held: dict[str, int] = {}
-                texts: dict[int, int] = {}
+                texts: dict[tuple[int, str], list[int]] = {}
                 for kind, *rest in parse((data or b"").decode("utf-8", "replace")):
                     if kind == "open":
                         count[rest[0]] = count.get(rest[0], 0) + 1
@@ -223,16 +271,16 @@ def occurrences(pages: DataFrame) -> DataFrame:
                             for p in ancestors(path):
                                 held[p] = held.get(p, 0) + len(text)
                             if not main:
-                                k = digest(text)
-                                texts[k] = texts.get(k, 0) + 1
-                rows = [(digest(p), p, held.get(p, 0), c) for p, c in count.items()] + [(k, None, 0, c) for k, c in texts.items()]
-                for token, path, n, c in rows:
-                    for col, v in zip(out, (host, token, path, n, digest(f"{key}:{c}"), c)):
+                                x = texts.setdefault((digest(text), path), [0, 0])
+                                x[:] = x[0] + 1, x[1] + len(text)
+                rows = [(digest(p), p, False, held.get(p, 0), c) for p, c in count.items()] + [(k, p, True, n, c) for (k, p), (c, n) in texts.items()]
+                for token, path, is_text, n, c in rows:
+                    for col, v in zip(out, (host, token, path, is_text, n, digest(f"{key}:{c}"), c)):
                         col.append(v)
-            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["host", "token", "path", "held", "mark", "n"])
+            types = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["host", "token", "path", "is_text", "held", "mark", "n"])
 
-    return pages.select("host", "key", "t").mapInArrow(run, "host string, token bigint, path string, held bigint, mark bigint, n bigint")
+    return pages.select("host", "key", "t").mapInArrow(run, "host string, token bigint, path string, is_text boolean, held bigint, mark bigint, n bigint")
 
 
 def distinct_pages(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -245,26 +293,19 @@ def distinct_pages(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
 
 
 def templates(pages: DataFrame, scratch: Scratch, min_pages: int = 3) -> DataFrame:
-    """``host, skeleton (array of path, held), constant (array of hashes)``; hosts without valid classes are absent."""
+    """``host, total, classes, constant``: the host's number of distinct pages, its valid element classes and its
+    template texts; hosts without valid classes are absent."""
     pages, totals = distinct_pages(pages, scratch)
-    tokens = occurrences(pages).groupBy("host", "token").agg(
-        F.first("path").alias("path"), F.sum("held").alias("held"), F.bit_xor("mark").alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("times")
-    )
+    tokens = occurrences(pages).groupBy("host", "token", "path", "is_text").agg(F.sum("held").alias("held"), F.bit_xor("mark").alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("times"))
     # One-page tokens can't be in a valid class; texts of single pages, the bulk of all tokens, end here.
     tokens = tokens.where(F.col("pages") >= min_pages).join(totals, "host")
     # A text that recurs on some pages only is content.
-    tokens = tokens.where(F.col("path").isNotNull() | (100 * F.col("pages") >= CONSTANT * F.col("total")))
-    classes = tokens.groupBy("host", "vector", "pages", "times").agg(
-        F.count("*").alias("members"),
-        F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "held"))).alias("paths"),
-        F.collect_list(F.when(F.col("path").isNull(), F.col("token"))).alias("texts"),
-    )
-    valid = classes.where("members >= 2 or size(texts) > 0")
-    skeleton = F.max_by(
-        F.when((F.col("times") == F.col("pages")) & (F.size("paths") >= 2), F.col("paths")),
-        F.when((F.col("times") == F.col("pages")) & (F.size("paths") >= 2), F.struct("pages", "members", "vector")),
-    )
-    return valid.groupBy("host").agg(skeleton.alias("skeleton"), F.flatten(F.collect_list("texts")).alias("constant"))
+    tokens = tokens.where(~F.col("is_text") | ((F.col("total") >= SURE) & (100 * F.col("pages") >= CONSTANT * F.col("total"))))
+    element = F.when(~F.col("is_text"), F.struct("path", "held"))
+    text = F.when(F.col("is_text"), F.struct("token", "path", "held"))
+    classes = tokens.groupBy("host", "total", "vector", "pages", "times").agg(F.sort_array(F.collect_list(element)).alias("elements"), F.collect_list(text).alias("texts"))
+    valid = classes.where("size(elements) >= 2 or size(texts) > 0")
+    return valid.groupBy("host", "total").agg(F.collect_list(F.struct("pages", "times", "elements")).alias("classes"), F.flatten(F.collect_list("texts")).alias("constant"))
 
 
 def extract_pages(pages: DataFrame, min_pages: int = 3) -> DataFrame:
@@ -286,18 +327,19 @@ def extract_pages(pages: DataFrame, min_pages: int = 3) -> DataFrame:
         slots: dict[str, tuple[str, frozenset[int]]] = {}
         for batch in batches:
             texts = []
-            for host, data, skeleton, constant in zip(*(batch.column(n).to_pylist() for n in ("host", "t", "skeleton", "constant"))):
+            for i, (host, data) in enumerate(zip(batch.column("host").to_pylist(), batch.column("t").to_pylist())):
                 if host not in slots:
                     if len(slots) > 1000:
                         slots.clear()
-                    slots[host] = choose([(x["path"], x["held"]) for x in skeleton or []]), frozenset(constant or ())
+                    total, classes, constant = (batch.column(n)[i].as_py() for n in ("total", "classes", "constant"))
+                    slots[host] = main_slot(classes or [], constant or [], total or 0), frozenset(x["token"] for x in constant or [])
                 texts.append(extract((data or b"").decode("utf-8", "replace"), *slots[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return with_template.select("page_id", "url", "host", "t", "skeleton", "constant").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return with_template.select("page_id", "url", "host", "t", "total", "classes", "constant").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
