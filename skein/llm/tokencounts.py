@@ -1,12 +1,14 @@
 """Token counts of sections by offset-mapped attribution.
 
-Each document is encoded once, whole; the byte spans of its tokens follow from the tokens' byte lengths. The spans
+Each document is encoded once, whole; the byte spans of its tokens follow from the tokens' byte lengths (a token can
+cut a character, so spans are in bytes; sections begin at characters, and their spans are given in both). The spans
 are joined with the sections' intervals by binary search on the sorted bounds. A token that crosses a bound goes to
 one section by an explicit rule: ``first`` (where its first byte is), ``last`` (where its last byte is) or
 ``most`` (where most of its bytes are; the earlier of equals). So the sections' counts add up to the document's.
 
 A section is a line with the newline that ends it. Defined results: null or empty text is one empty section without
-tokens; repeated rows and doc_ids are counted each for itself; invalid UTF-8 is read with replacement characters; extra columns are dropped.
+tokens; repeated rows and doc_ids are counted each for itself; invalid UTF-8
+is read with replacement characters; extra columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,7 +72,8 @@ def attribute(sizes: np.ndarray, bounds: np.ndarray, rule: str = "first") -> tup
 
 
 def token_counts(docs: DataFrame, path: str | None = None, rule: str = "first") -> DataFrame:
-    """``doc_id, section, start_byte, n_bytes, n_tokens, n_crossing``, a row for each section of each document."""
+    """``doc_id, section, start_byte, n_bytes, start_char, n_chars, n_tokens, n_crossing``, a row for each section of
+    each document."""
     if rule not in ("first", "last", "most"):
         raise ValueError(f"no such rule: {rule}")
     small_batches(docs.sparkSession)
@@ -82,7 +85,7 @@ def token_counts(docs: DataFrame, path: str | None = None, rule: str = "first")
         enc, size_of = encoding(where)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            take, sections, starts, lengths, counts, crossing = [], [], [], [], [], []
+            take, sections, starts, lengths, first_chars, chars, counts, crossing = [], [], [], [], [], [], [], []
             for i, data in enumerate(texts):
                 text = (data or b"").decode("utf-8", "replace")
                 data = text.encode("utf-8")
@@ -93,17 +96,21 @@ def token_counts(docs: DataFrame, path: str | None = None, rule: str = "first")
                 sections.append(np.arange(n))
                 starts.append(bounds[:-1])
                 lengths.append(np.diff(bounds))
+                # Bytes that begin a character, before each bound.
+                before = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))[bounds]
+                first_chars.append(before[:-1])
+                chars.append(np.diff(before))
                 counts.append(got)
                 crossing.append(cross)
             if texts:
-                cols = [pa.array(np.concatenate(x).astype(np.int64)) for x in (sections, starts, lengths, counts, crossing)]
+                cols = [pa.array(np.concatenate(x).astype(np.int64)) for x in (sections, starts, lengths, first_chars, chars, counts, crossing)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(np.concatenate(take).astype(np.int64))).cast(pa.int64()), *cols],
-                    names=["doc_id", "section", "start_byte", "n_bytes", "n_tokens", "n_crossing"],
+                    names=["doc_id", "section", "start_byte", "n_bytes", "start_char", "n_chars", "n_tokens", "n_crossing"],
                 )
 
     src = clean_columns(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("t"))
-    return src.mapInArrow(run, "doc_id bigint, section bigint, start_byte bigint, n_bytes bigint, n_tokens bigint, n_crossing bigint")
+    return src.mapInArrow(run, "doc_id bigint, section bigint, start_byte bigint, n_bytes bigint, start_char bigint, n_chars bigint, n_tokens bigint, n_crossing bigint")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
