@@ -6,8 +6,10 @@ window (13 words, or a whole shorter item), the window's words are hit. Words th
 only runs of known words at least as long as the shortest window are streamed.
 
 The automaton is sent to every task, so its size is bounded: the items are dealt into as many automata as
-``shard_words`` asks for, each is collected and sent on its own, and documents pass one after another, carrying
-their spans.
+``shard_words`` asks for (a kilobyte of a worker's memory a word was measured, so the default takes 0.25 GB). With
+one, documents pass it and are done. With more, each is collected, sent, scanned with in a job of its own, whose few
+hits are written, and given up before the next, so only one is alive at any time; the hits of all are merged and
+joined to the documents.
 
 Defined results: null text or text without words has no hits; null or wordless items are ignored; items with equal
 texts all count; a null item_id counts as no item in ``n_items`` but its windows hit; repeated documents are judged
@@ -18,13 +20,13 @@ string where no item occurs.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_columns, read, small_batches
+from .common import Scratch, clean_columns, read, small_batches
 
 WINDOW = 13
 #: A-Z to a-z; every other ASCII character but a-z and 0-9 to a blank; the bytes of other characters stay.
@@ -109,7 +111,7 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
-    def matches(self, codes: list[int], start: int) -> Iterator[tuple[int, int, int]]:
+    def matches(self, codes: list[int], start: int) -> Iterable[tuple[int, int, int]]:
         """Streams known words that begin at ``start``: (position, state, longest matching length) at each."""
         nxt, link, length = self.next, self.link, self.length
         s = n = 0
@@ -157,46 +159,83 @@ class SuffixAutomaton:
         return spans, seen
 
 
-def item_shards(items: DataFrame, shard_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The items in groups of about ``shard_words`` words, one group at a time on the driver."""
+def item_shards(items: DataFrame, shard_words: int) -> list[DataFrame]:
+    """The items (``i``, ``t``) in groups of about ``shard_words`` words."""
     items = clean_columns(items, "item_id", "text").select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-size // (6 * shard_words)))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r["i"], w) for r in part.collect() if (w := words_of(r["t"]))]
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
 
 
-def contamination(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, shard_words: int = 2_000_000) -> DataFrame:
+def scanner(spark: SparkSession, items: DataFrame, window: int) -> tuple[Callable, Callable[[], None]]:
+    """(a function of a text that gives its number of words, spans and items, to be called in tasks; a function that
+    gives the items up)."""
+    sent, name = spark.sparkContext.broadcast([(r["i"], w) for r in items.collect() if (w := words_of(r["t"]))]), uuid.uuid4().hex
+
+    def scan(text: bytes | None) -> tuple[int, list[list[int]], list[str]]:
+        auto, words = _automaton(name, sent, window), words_of(text)
+        spans, seen = auto.scan(words)
+        return len(words), spans, sorted({auto.items[k] for k in seen if auto.items[k] is not None})
+
+    return scan, lambda: sent.destroy()
+
+
+_FOUND = "n_words bigint, spans array<array<bigint>>, items array<string>"
+
+
+def _columns(got: list[tuple]) -> list:
+    import pyarrow as pa
+
+    types = (pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
+    return [pa.array([g[i] for g in got], t) for i, t in enumerate(types)]
+
+
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, shard_words: int = 250_000) -> DataFrame:
     """For every document ``row`` (a struct of its columns ``keep``), ``n_words``, ``spans`` (array of [start, end)
-    in words) and ``items`` (ids of the items that occur). Columns ride along, so nothing is joined back."""
+    in words) and ``items`` (ids of the items that occur)."""
+    import pyarrow as pa
+
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("`text`").cast("binary").alias("t"), F.lit(0).cast("bigint").alias("n_words"),
-        F.expr("cast(array() as array<array<bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    schema = out.schema
-    for group in item_shards(items, shard_words):
-        sent, name = spark.sparkContext.broadcast(group), uuid.uuid4().hex
-
-        def run(batches, sent=sent, name=name):
-            import pyarrow as pa
-
-            auto = _automaton(name, sent, window)
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    text = F.col("`text`").cast("binary").alias("t")
+    shards = item_shards(items, shard_words)
+    if len(shards) == 1:
+        # Columns ride along, so nothing is joined back.
+        scan, _ = scanner(spark, shards[0], window)
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_columns([scan(t.as_py()) for t in batch.column(1)])], names=["row", "n_words", "spans", "items"])
+
+        src = docs.select(row, text)
+        return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, {_FOUND}" if keep else _FOUND)
+
+    scratch = Scratch(spark, "decontam")
+    src = docs.select(F.monotonically_increasing_id().alias("rid"), row, text)
+    found = None
+    for shard in shards:
+        scan, give_up = scanner(spark, shard, window)
+
+        def hits(batches, scan=scan):
             for batch in batches:
-                n_words, spans, names = [], [], []
-                for t, old, ids in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                    words = words_of(t.as_py())
-                    got, seen = auto.scan(words)
-                    n_words.append(len(words))
-                    spans.append(merged(old + got) if old else got)
-                    names.append(sorted({*ids, *(auto.items[k] for k in seen if auto.items[k] is not None)}))
-                cols = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out.drop("t")
+                got = [(rid, g) for rid, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (g := scan(t.as_py()))[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in got], pa.int64()), *_columns([g for _, g in got])], names=["rid", "n_words", "spans", "items"])
+
+        part = scratch.cut(src.select("rid", "t").mapInArrow(hits, f"rid bigint, {_FOUND}"))
+        give_up()
+        found = part if found is None else found.unionByName(part)
+    # A document has a row of each shard at most.
+    found = found.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def finish(batches):
+        for batch in batches:
+            texts, spans, ids = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            got = [(len(words_of(t)), merged(s or []), sorted(i or [])) for t, s, i in zip(texts, spans, ids)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(got)], names=["row", "n_words", "spans", "items"])
+
+    both = src.join(found.hint("merge"), "rid", "left").select("row", "t", "spans", "items")
+    return both.mapInArrow(finish, f"row {src.schema['row'].dataType.simpleString()}, {_FOUND}")
 
 
 _BUILT: dict[str, SuffixAutomaton] = {}
