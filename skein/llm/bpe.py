@@ -7,15 +7,20 @@ starts within the last ``lookahead`` characters, where ``lookahead`` is the long
 make. Tokens on which the encodings of all those starts agree can't change any more: they are emitted and
 forgotten. The state is a window of a few lookaheads, however long the word is.
 
-Decoder. A state machine over bytes holds at most three pending bytes of an unfinished UTF-8 sequence, so that
-tokens that cut a character still give whole text; for vocabularies without a decoder the token strings are joined
-by one space, as their library does.
+A text passes in segments of bounded size, cut at white space, and segments in windows of bounded size, whatever the
+length of the text; ids and decoded text go into running digests. Words of a window are many and mostly short, so
+words that fit into the machine's own window run through it in lockstep, one letter position of all of them at a
+time; longer ones are pushed letter by letter. Words repeat, so finished white-space chunks are memoised in a table of
+bounded size.
 
-Words repeat, so finished white-space chunks are memoised in a table of bounded size.
+Decoder. A state machine takes token strings as they come and gives text. Where the tokenizer file names no decoder its
+library joins the strings by a blank: the state is whether one was given. For the text itself, end marks become
+blanks and letters bytes, and the state is the at most three pending bytes of an unfinished UTF-8 sequence.
 
 Defined results: null text is empty and gives no tokens (both hashes are those of the empty string); invalid UTF-8
 is read with replacement characters; strings of special tokens in a text become those tokens; repeated rows are
-encoded each for itself; an empty table gives no rows; extra columns are dropped.
+encoded each for itself; an empty table gives no rows; extra columns are dropped. A run without any white space is
+one segment.
 """
 
 from __future__ import annotations
@@ -36,7 +41,10 @@ from .common import clean_columns, read, small_batches
 VOCABULARY = "word_bpe_49k.json"
 #: White-space chunks remembered by a worker, in each of two generations.
 MEMO = 400_000
+#: Characters of a segment of a text, and of a window of segments.
+SEGMENT, WINDOW = 1 << 16, 1 << 20
 _ODD = regex.compile("[\x1c-\x1f]")
+_SPACE = regex.compile(r"(?![\x1c-\x1f])\s")
 _PIECE = regex.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 
 
@@ -322,12 +330,62 @@ class Utf8Decoder:
         return data[: len(data) - keep].decode("utf-8", "replace")
 
 
+class Decoder:
+    """Token strings to text as they come, in the library's way for a file without a decoder: joined by one blank."""
+
+    def __init__(self):
+        self.begun = False
+
+    def push(self, tokens: str) -> str:
+        """``tokens``: one or more token strings, joined by one blank."""
+        if not tokens:
+            return ""
+        out = f" {tokens}" if self.begun else tokens
+        self.begun = True
+        return out
+
+
+class TextDecoder:
+    """Token strings to the (normalised) text that they stand for, as they come."""
+
+    def __init__(self, back: dict[str, int], end: str):
+        self.back, self.end, self.state = back, end, Utf8Decoder()
+
+    def push(self, token: str) -> str:
+        ended = bool(self.end) and token.endswith(self.end)
+        out = self.state.push(bytes([self.back[c] for c in (token[: -len(self.end)] if ended else token)]), ended)
+        return f"{out} " if ended else out
+
+    def close(self) -> str:
+        return self.state.push(b"", True)
+
+
+class Encoding:
+    """The running result of one text."""
+
+    def __init__(self, with_ids: bool = False):
+        self.n, self.ids, self.decoded, self.decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder()
+        self.raw: list[int] | None = [] if with_ids else None
+
+    def add(self, n: int, ids: str, names: str) -> None:
+        if n:
+            self.ids.update((f" {ids}" if self.n else ids).encode())
+            self.decoded.update(self.decoder.push(names).encode())
+            self.n += n
+            if self.raw is not None:
+                self.raw += map(int, ids.split())
+
+
 class WordBpe:
     """The tokenizer file's pipeline: special tokens, normalisation, words, bytes, merges."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ids = dict(model["vocab"])
@@ -336,8 +394,9 @@ class WordBpe:
         self.words = regex.compile(pattern)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.letters = byte_letters()
+        self.back = {c: b for b, c in enumerate(self.letters)}
         self.machine = Transducer(self.ids, merges, model["end_of_word_suffix"] or "")
-        self.machine.prepare({c: b for b, c in enumerate(self.letters)})
+        self.machine.prepare(self.back)
         self.number = [str(self.ids[t]) for t in self.machine.names]
         self.memo: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
@@ -347,12 +406,10 @@ class WordBpe:
         # Each character is lowered by itself: no final sigma.
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def words_of(self, chunk: str) -> list[str]:
-        """Words of one piece. Letters that only newer Unicode versions know count as signs, as in the library, and
-        so do the separators U+001C to U+001F, which Python takes for white space."""
-        text = self.normal(chunk)
-        shadow = "".join(["\uf8ff" if "\x1c" <= c <= "\x1f" or c > "\u0500" and unicodedata.category(c) == "Cn" else c for c in text])
-        return [text[m.start() : m.end()] for m in self.words.finditer(shadow)]
+    def words_of(self, chunk: str) -> list[bytes]:
+        """Words of one piece, by the library's own normalisation and word cutting: Python's tables are of another
+        Unicode version, and its white space has the separators U+001C to U+001F."""
+        return [bytes([self.back[c] for c in w]) for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
 
     def learn(self, chunks: list[str]) -> dict[str, tuple[int, str, str]]:
         """Encodes pieces without white space: number of tokens, ids and strings, each joined by one space."""
@@ -370,10 +427,10 @@ class WordBpe:
                     found.append(row)
                     row = []
                 else:
-                    row.append(w)
+                    row.append(w.encode("utf-8"))
         pieces = [*zip(plain, found), *((c, self.words_of(c)) for c in other)]
         index: dict[bytes, int] = {}
-        todo = [(c, [index.setdefault(w.encode("utf-8"), len(index)) for w in ws]) for c, ws in pieces]
+        todo = [(c, [index.setdefault(w, len(index)) for w in ws]) for c, ws in pieces]
         words = list(index)
         short = [w if len(w) <= Transducer.LONG else b"" for w in words]
         coded = self.machine.encode_words(short)
@@ -400,9 +457,23 @@ class WordBpe:
     def split(self, text: str) -> list[str]:
         return _PIECE.findall(text) if _ODD.search(text) else text.split()
 
-    def encode_many(self, texts: list[str]) -> list[tuple[int, str, str]]:
+    def segments(self, text: str) -> Iterable[str]:
+        """The text in order, cut before white space."""
+        at = 0
+        while at < len(text):
+            end = at + SEGMENT
+            if end < len(text):
+                end = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
+                if end < 0:
+                    found = _SPACE.search(text, at + SEGMENT)
+                    end = found.start() if found else len(text)
+            yield text[at:end] if at or end < len(text) else text
+            at = end
+
+    def encode_window(self, segments: list[str]) -> list[tuple[int, str, str]]:
+        """Number of tokens, ids and strings (each joined by one blank) of each segment."""
         rows = []
-        for text in texts:
+        for text in segments:
             row, at = [], 0
             for mark in [*(self.cut.finditer(text) if "<|" in text else ()), None]:
                 row.append(self.split(text[at : mark.start() if mark else len(text)]))
@@ -440,19 +511,37 @@ class WordBpe:
             del memo[c]
         return out
 
+    def encode_many(self, texts: Iterable[str], with_ids: bool = False) -> list[Encoding]:
+        out: list[Encoding] = []
+        window: list[tuple[Encoding, str]] = []
+        size = 0
+
+        def flush():
+            for (to, _), got in zip(window, self.encode_window([x for _, x in window])):
+                to.add(*got)
+            window.clear()
+
+        for text in texts:
+            out.append(Encoding(with_ids))
+            for segment in self.segments(text):
+                window.append((out[-1], segment))
+                size += len(segment)
+                if size >= WINDOW:
+                    flush()
+                    size = 0
+        flush()
+        return out
+
     def encode(self, text: str) -> tuple[int, str, str]:
-        return self.encode_many([text])[0]
+        """Number of tokens, ids and strings of a text, whole."""
+        got = [self.encode_window([x])[0] for x in self.segments(text)]
+        counts, ids, names = zip(*[g for g in got if g[0]]) if any(g[0] for g in got) else ((), (), ())
+        return sum(counts), " ".join(ids), " ".join(names)
 
     def to_text(self, tokens: Iterable[str]) -> str:
-        """Token strings back to normalised text: end marks become spaces, letters bytes, bytes characters."""
-        back, state, end = {c: b for b, c in enumerate(self.letters)}, Utf8Decoder(), self.machine.end
-        out = []
-        for t in tokens:
-            ended = bool(end) and t.endswith(end)
-            out.append(state.push(bytes([back[c] for c in (t[: -len(end)] if ended else t)])))
-            if ended:
-                out.append(state.push(b"", True) + " ")
-        return "".join([*out, state.push(b"", True)])
+        """Token strings back to normalised text."""
+        machine = TextDecoder(self.back, self.machine.end)
+        return "".join([*map(machine.push, tokens), machine.close()])
 
 
 @lru_cache(maxsize=2)
@@ -471,23 +560,39 @@ def bpe_encode(docs: DataFrame, path: str | None = None, with_ids: bool = False)
 
         bpe = tokenizer(where)
         for batch in batches:
-            n, ids, dec, raw = [], [], [], []
-            texts = [x.decode("utf-8", "replace") if x else "" for x in batch.column(1).to_pylist()]
-            for count, a, b in bpe.encode_many(texts):
-                n.append(count)
-                ids.append(hashlib.sha256(a.encode()).hexdigest())
-                dec.append(hashlib.sha256(b.encode()).hexdigest())
-                if with_ids:
-                    raw.append([int(x) for x in a.split()])
-            cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())]
+            texts = (x.as_py().decode("utf-8", "replace") if x.is_valid else "" for x in batch.column(1))
+            got = bpe.encode_many(texts, with_ids)
+            cols = [batch.column(0).cast(pa.int64()), pa.array([e.n for e in got], pa.int64()), *(pa.array([d.hexdigest() for d in x], pa.string()) for x in ([e.ids for e in got], [e.decoded for e in got]))]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols, names = [*cols, pa.array(raw, pa.list_(pa.int32()))], [*names, "ids"]
+                cols, names = [*cols, pa.array([e.raw for e in got], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     src = clean_columns(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("t"))
     return src.mapInArrow(run, schema)
 
 
+def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, text``: the normalised text that the ``ids`` of each row stand for (null ids: empty)."""
+    where = path or default_path()
+
+    def run(batches):
+        import pyarrow as pa
+
+        bpe = tokenizer(where)
+        name = {i: t for t, i in (bpe.ids | bpe.special).items()}
+        for batch in batches:
+            special = set(bpe.special.values())
+            texts = []
+            for ids in batch.column(1).to_pylist():
+                machine, out = TextDecoder(bpe.back, bpe.machine.end), []
+                for i in ids or ():
+                    out.append(f"{machine.close()}{name[i]}" if i in special else machine.push(name[i]))
+                texts.append("".join([*out, machine.close()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return clean_columns(encoded, "doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read(spark, sf_dir, "documents"))
