@@ -2,7 +2,8 @@
 
 A uniformly random permutation of N rows cut into shards of exact sizes is drawn in four steps:
 
-1. rows fall into blocks by a hash of their identity; blocks are counted;
+1. rows fall into blocks by a hash of id, text and place in the input, so that neither a hot id nor rows that are
+   repeated a million times fill one block; blocks are counted;
 2. the matrix "rows of block b that go to shard s" is drawn from the multivariate hypergeometric law whose
    margins are the block counts and the exact shard sizes;
 3. inside each block, rows are ordered by a keyed hash and cut by the block's matrix row (local permutation);
@@ -10,11 +11,12 @@ A uniformly random permutation of N rows cut into shards of exact sizes is drawn
    without gaps by a two-level scan.
 
 Only block counts (at most ``max_blocks``) and slice counts (shards * ``slices``) reach the driver or a
-broadcast; a hot group of equal texts has no effect, because identity is ``doc_id`` and not the text.
+broadcast. Documents are read once; what is dealt is a written table of ids, sizes and hashes.
 
 Defined results: null or empty text has 8 bytes and crc32 0; repeated rows (same id and text) are all kept and
 take different slots; a null ``doc_id`` is hashed as an id of its own; an empty table gives no rows; extra
-columns are dropped. The same input and seed give the same shards on every run and after any retry.
+columns are dropped. The same input (files or a local table) and seed give the same shards on every run and after any
+retry.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clean_columns, read
+from .common import Scratch, clean_columns, read
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -76,17 +78,22 @@ def shard_rows(
     docs: DataFrame, shards: int = 24, seed: int = 20240229, rows_per_block: int = 4_000_000, max_blocks: int = 65_536, slices: int = 64
 ) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``: law ``rows``, so counts differ by one at most."""
+    if slices < 1 or slices & (slices - 1) or shards < 1:
+        raise ValueError("slices must be a power of two, shards 1 or more")
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     base = clean_columns(docs, "doc_id", "text").select(
         F.col("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("at"),
     )
-    n = docs.count()
+    keys = [F.xxhash64(F.lit(seed + i), "doc_id", "text_crc32", "size", "at").alias(f"k{i}") for i in range(3)]
+    keyed = Scratch(spark, "shards").cut(base.select("doc_id", "size", "text_crc32", *keys))
+    n = keyed.count()
     n_blocks = min(max_blocks, max(64, -(-n // rows_per_block)))
-    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(n_blocks)).cast("int")
-    counts = {r["b"]: r["c"] for r in clean_columns(docs, "doc_id").groupBy(block.alias("b")).agg(F.count("*").alias("c")).collect()}
+    keyed = keyed.withColumn("block", F.pmod("k0", F.lit(n_blocks)).cast("int"))
+    counts = {r["block"]: r["c"] for r in keyed.groupBy("block").agg(F.count("*").alias("c")).collect()}
     per_block = [counts.get(b, 0) for b in range(n_blocks)]
     sizes = [n // shards + (s < n % shards) for s in range(shards)]
     matrix = communication_matrix(per_block, sizes, seed)
@@ -99,15 +106,13 @@ def shard_rows(
         ends.append(cum)
     table = spark.createDataFrame([(b, e) for b, e in enumerate(ends) if per_block[b]] or [(0, ends[0])], "block int, ends array<bigint>")
 
-    keyed = base.withColumn("block", block).withColumn("k1", F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32"))
-    keyed = keyed.withColumn("k2", F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32", "size"))
     local = Window.partitionBy("block").orderBy("k1", "doc_id", "text_crc32", "size")
     # The matrix has at most max_blocks rows of `shards` counts: a fixed bound, so it may be broadcast.
     dealt = (
         keyed.withColumn("r", F.row_number().over(local))
         .join(F.broadcast(table), "block")
         .withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("r"))).cast("int"))
-        .withColumn("slice", F.shiftrightunsigned("k2", 64 - int(math.log2(slices))).cast("int"))
+        .withColumn("slice", (F.shiftrightunsigned("k2", 64 - int(math.log2(slices))) if slices > 1 else F.lit(0)).cast("int"))
     )
     tie = Window.partitionBy("shard", "slice").orderBy("k2", "doc_id", "text_crc32", "size")
     ranked = dealt.withColumn("i", F.row_number().over(tie))
