@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a local one of our own only where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="skein-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,13 +36,13 @@ class Scratch:
     ``cut`` writes and rereads; ``drop`` deletes tables that nothing reads any more.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex[:12]}", 0
+    def __init__(self, spark: SparkSession, name: str, codec: str = "zstd"):
+        self.spark, self.base, self.n, self.codec = spark, f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex[:12]}", 0, codec
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", self.codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._skein_path = path
         return out

@@ -48,13 +48,12 @@ def _scan(classes: DataFrame, part: list[str], bucket, order: list[str]) -> Data
 
 
 def line_table(rows: DataFrame) -> DataFrame:
-    """``rid, doc_id, seq, line, words, h1, h2`` of every line with a word (``rows``: rid, doc_id, text); seq counts
-    only those."""
+    """``rid, doc_id, seq, line, h1, h2`` of every line with a word (``rows``: rid, doc_id, text); seq counts only
+    those."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("s")))
     worded = F.filter(lines, lambda x: F.rlike(x["s"], F.lit(f"[^{WS_CLASS}]")))
-    count = lambda x: F.size(F.split(F.btrim(x, F.lit(WS_CHARS)), f"[{WS_CLASS}]+"))
-    ids = F.transform(worded, lambda x: F.struct(x["line"].alias("line"), count(x["s"]).alias("words"), F.xxhash64(x["s"]).alias("h1"), F.xxhash64(F.lit(7), x["s"]).alias("h2")))
-    return rows.select("rid", "doc_id", F.posexplode(ids).alias("seq", "x")).select("rid", "doc_id", "seq", "x.line", "x.words", "x.h1", "x.h2")
+    ids = F.transform(worded, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["s"]).alias("h1"), F.xxhash64(F.lit(7), x["s"]).alias("h2")))
+    return rows.select("rid", "doc_id", F.posexplode(ids).alias("seq", "x")).select("rid", "doc_id", "seq", "x.line", "x.h1", "x.h2")
 
 
 def _order():
@@ -62,10 +61,10 @@ def _order():
 
 
 def suffix_ranks(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """For each k: ``rid, doc_id, seq, r`` (k = 0: also line, words) of the suffixes whose first 2^k lines are repeated."""
+    """For each k: ``rid, doc_id, seq, r`` (k = 0: also line) of the suffixes whose first 2^k lines are repeated."""
     classes = lines.groupBy("h1", "h2").agg(F.count("*").alias("cnt")).where("cnt > 1")
     ranked = _scan(classes, [], F.shiftright("h1", 54), ["h1", "h2"]).select("h1", "h2", F.col("before").alias("r"))
-    levels = [scratch.cut(lines.join(ranked, ["h1", "h2"]).select("rid", "doc_id", "seq", "line", "words", "r"))]
+    levels = [scratch.cut(lines.join(ranked, ["h1", "h2"]).select("rid", "doc_id", "seq", "line", "r"))]
     while n := levels[-1].count():
         size = 1 << (len(levels) - 1)
         active = levels[-1].select("rid", "doc_id", "seq", "r")
@@ -79,17 +78,18 @@ def suffix_ranks(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
 
 
 def repeated_runs(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rid, seq, line, words, run``: every line with the length of the longest run that begins there and earlier, if
+    """``rid, seq, line, run``: every line with the length of the longest run that begins there and earlier, if
     it has one. ``rows`` has rid, doc_id, text."""
     lines = scratch.cut(line_table(rows))
     levels = suffix_ranks(lines, scratch)
     scratch.drop(lines)
     if not levels:
-        return rows.select("rid", *[F.lit(0).alias(x) for x in ("seq", "line", "words", "run")]).where("false")
+        return rows.select("rid", *[F.lit(0).alias(x) for x in ("seq", "line", "run")]).where("false")
     ranks = levels[0].select(F.lit(0).alias("k"), "rid", "doc_id", "seq", "r")
     for k, level in enumerate(levels[1:], 1):
         ranks = ranks.unionByName(level.select(F.lit(k).alias("k"), "rid", "doc_id", "seq", "r"))
-    first = ranks.groupBy("k", "r").agg(F.min(_order()).alias("first"))
+    # Written, so that the join is one that AQE may split: a hot line's class is one row on this side.
+    first = scratch.cut(ranks.groupBy("k", "r").agg(F.min(_order()).alias("first")))
     later = ranks.join(first, ["k", "r"]).where(_order() > F.col("first"))
     deepest = later.groupBy("rid", "seq").agg(F.max(F.struct("k", "r")).alias("x"))
     runs = scratch.cut(deepest.select("rid", "seq", "x.k", "x.r", F.lit(0).alias("d")))
@@ -99,13 +99,13 @@ def repeated_runs(rows: DataFrame, scratch: Scratch) -> DataFrame:
         asked = tries.select("k", "r", "t").distinct()
         pairs = ranks.join(asked, ["k", "r"]).withColumn("at", F.col("seq") + F.col("t")).join(there, ["k", "rid", "at"])
         pairs = scratch.cut(pairs.select("k", "r", "t", "r2", "rid", "doc_id", "seq"))
-        first = pairs.groupBy("k", "r", "t", "r2").agg(F.min(_order()).alias("first"), F.count("*").alias("cnt")).where("cnt > 1")
+        first = scratch.cut(pairs.groupBy("k", "r", "t", "r2").agg(F.min(_order()).alias("first"), F.count("*").alias("cnt")).where("cnt > 1").drop("cnt"))
         copies = pairs.join(first, ["k", "r", "t", "r2"]).where(_order() > F.col("first")).select("rid", "seq", "k", "t")
         grown = tries.join(copies, ["rid", "seq", "k", "t"], "left_semi").select("rid", "seq", "t")
         nxt = scratch.cut(runs.join(grown, ["rid", "seq"], "left").select("rid", "seq", "k", "r", F.coalesce("t", "d").alias("d")))
         scratch.drop(pairs, runs)
         runs = nxt
-    out = scratch.cut(levels[0].select("rid", "seq", "line", "words").join(runs.select("rid", "seq", (F.expr("shiftleft(1, k)") + F.col("d")).alias("run")), ["rid", "seq"]))
+    out = scratch.cut(levels[0].select("rid", "seq", "line").join(runs.select("rid", "seq", (F.expr("shiftleft(1, k)") + F.col("d")).alias("run")), ["rid", "seq"]))
     scratch.drop(*levels, runs)
     return out
 
@@ -115,33 +115,38 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     ``removed`` (array of line numbers), ``n_runs`` and ``longest_run`` (maximal runs that were deleted)."""
     if min_lines < 1 or min_words < 0:
         raise ValueError("min_lines must be 1 or more, min_words 0 or more")
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch = Scratch(docs.sparkSession, "lines", "snappy")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     runs = repeated_runs(rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), scratch)
     # Every line of a later copy begins a later copy itself, so all of a run's lines are in this table.
     by_row = Window.partitionBy("rid").orderBy("seq")
-    goes = (F.col("run") >= min_lines) | (F.col("words") >= min_words)
-    runs = runs.withColumn("goes", goes).withColumn("stop", F.when(F.col("goes"), F.col("seq") + F.when(F.col("run") >= min_lines, F.col("run")).otherwise(1)))
-    runs = runs.withColumn("covered", F.max("stop").over(by_row.rowsBetween(Window.unboundedPreceding, 0)) > F.col("seq"))
+    long = F.col("run") >= min_lines
+    runs = runs.withColumn("stop", F.when(long, F.col("seq") + F.col("run")))
+    runs = runs.withColumn("covered", F.coalesce(F.max("stop").over(by_row.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) > F.col("seq"))
     before = F.max("stop").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("maximal", F.col("goes") & (F.coalesce(before, F.lit(0)) < F.col("stop")))
+    runs = runs.withColumn("maximal", long & (F.coalesce(before, F.lit(0)) < F.col("stop")))
     per_doc = runs.groupBy("rid").agg(
-        F.sort_array(F.collect_set(F.when(F.col("covered"), F.col("line")))).alias("removed"),
-        F.count_if("maximal").alias("n_runs"),
-        F.max(F.when(F.col("maximal"), F.col("stop") - F.col("seq"))).cast("long").alias("longest_run"),
+        F.collect_set(F.when(F.col("covered"), F.col("line"))).alias("covered"),
+        F.collect_set(F.when(~F.col("covered"), F.col("line"))).alias("singles"),
+        F.count_if("maximal").alias("n_long"),
+        F.max(F.when(F.col("maximal"), F.col("run"))).cast("long").alias("longest"),
     )
-    per_doc = scratch.cut(per_doc.where(F.size("removed") > 0))
-    text = F.col("row.text")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    return (
-        # Texts move once, by exchange, whatever the size of the other side, which grows with the input.
-        rows.join(per_doc.hint("merge"), "rid", "left").select(
-            F.when(F.col("removed").isNull(), F.col("row")).otherwise(F.col("row").withField("text", kept)).alias("row"),
-            F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long").alias("n_lines"),
-            F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-            F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"),
-            F.coalesce("longest_run", F.lit(0)).cast("long").alias("longest_run"),
-        )
+    per_doc = scratch.cut(per_doc)
+    none = F.array().cast("array<int>")
+    lines = F.split(F.col("row.text"), "\n")
+    words = lambda x: F.size(F.split(F.btrim(x, F.lit(WS_CHARS)), f"[{WS_CLASS}]+"))
+    # Texts move once, by exchange, whatever the size of the other side, which grows with the input.
+    out = rows.join(per_doc.hint("merge"), "rid", "left")
+    out = out.withColumn("alone", F.when(F.size("singles") > 0, F.filter("singles", lambda i: words(F.get(lines, i)) >= min_words)).otherwise(none))
+    out = out.withColumn("removed", F.when(F.col("rid").isNotNull() & F.col("covered").isNotNull(), F.sort_array(F.concat("covered", "alone"))).otherwise(none))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    some = F.size("alone") > 0
+    return out.select(
+        F.when(F.size("removed") > 0, F.col("row").withField("text", kept)).otherwise(F.col("row")).alias("row"),
+        F.size(F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n")).cast("long").alias("n_lines"),
+        "removed",
+        (F.coalesce("n_long", F.lit(0)) + F.size("alone")).cast("long").alias("n_runs"),
+        F.coalesce("longest", F.when(some, F.lit(1).cast("long")), F.lit(0).cast("long")).alias("longest_run"),
     )
 
 
@@ -163,8 +168,10 @@ OP2_SQL = r"""
 with d as (select doc_id, coalesce(text, '') t, string_split(coalesce(text, ''), chr(10)) ls from documents),
 l as (select doc_id, unnest(range(0, len(ls))) line, unnest(ls) s from d),
 w as (
-  select doc_id, line, s, row_number() over (partition by doc_id order by line) - 1 seq, len(regexp_extract_all(s, '[^ 	-]+')) words
-  from l where regexp_matches(s, '[^ 	-]')),
+  select doc_id, line, s, row_number() over (partition by doc_id order by line) - 1 seq, len(regexp_extract_all(s, '[^ 	-
+]+')) words
+  from l where regexp_matches(s, '[^ 	-
+]')),
 m as (select a.doc_id, a.seq, b.doc_id other, a.seq - b.seq diagonal from w a join w b on a.s = b.s and (b.doc_id, b.seq) < (a.doc_id, a.seq)),
 i as (select *, seq - row_number() over (partition by doc_id, other, diagonal order by seq) island from m),
 n as (select doc_id, seq, max(seq) over (partition by doc_id, other, diagonal, island) - seq + 1 run from i),
