@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,14 +37,15 @@ def letters_and_digits(text) -> Column:
 
 
 def char_ngrams(text, sizes: tuple[int, ...] = (2, 3)) -> Column:
-    """The set of character n-grams of the letters and digits."""
-    s = letters_and_digits(text)
+    """The set of character n-grams of the letters and digits; the text is cut into characters once."""
 
-    def grams(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))
-        return F.when(F.length(s) >= n, F.transform(at, lambda i: F.substring(s, i, F.lit(n)))).otherwise(strings([]))
+    def grams(chars: Column, n: int) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        return F.when(F.size(chars) >= n, F.transform(at, lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))).otherwise(strings([]))
 
-    return F.array_distinct(F.concat(*[grams(n) for n in sizes]))
+    s = letters_and_digits(text)
+    cut = F.when(s == "", strings([])).otherwise(F.split(s, ""))
+    return F.get(F.transform(F.array(cut), lambda c: F.array_distinct(F.concat(*[grams(c, n) for n in sizes]))), F.lit(0))
 
 
 def jaccard(a, b) -> Column:
@@ -89,8 +92,14 @@ def distinct_ci(values) -> Column:
 
 
 def prepend_unique(old, new, cap: int) -> Column:
-    """New values first, then the old ones (an update by a matched item)."""
-    return F.slice(distinct_ci(F.concat(_col(new), _col(old))), 1, cap)
+    """New values go to the front one by one, those that are there stay where they are, the oldest beyond ``cap`` are
+    forgotten (an update by a matched item)."""
+
+    def add(acc: Column, x: Column) -> Column:
+        there = x.isNull() | (F.trim(x) == "") | F.exists(acc, lambda y: F.lower(y) == F.lower(F.trim(x)))
+        return F.when(there, acc).otherwise(F.slice(F.concat(F.array(F.trim(x)), acc), 1, cap))
+
+    return F.aggregate(F.coalesce(_col(new), strings([])), F.coalesce(_col(old), strings([])), add)
 
 
 def append_unique(old, new, cap: int) -> Column:
@@ -151,7 +160,9 @@ def safe_id_part(text) -> Column:
 
 
 def anchors_of(*texts: str | None, cap: int = 8) -> list[str]:
-    """Stable anchors: names, numbers and mixed-case or CJK terms; consecutive ones also joined by a space."""
+    """Stable anchors: names, numbers and mixed-case or CJK terms, each when it is met, and runs of neighbours joined by
+    a space when they end. A new one goes to the front and the oldest beyond ``cap`` is forgotten, so a text's last
+    anchors stay, newest first."""
     import regex
 
     word = regex.compile(r"\b[\p{L}\p{N}][\p{L}\p{N}'&.-]*\b")
@@ -163,30 +174,36 @@ def anchors_of(*texts: str | None, cap: int = 8) -> list[str]:
         n = len(cjk.findall(t))
         if n:
             return n >= 2 or (len(t) <= 4 and any(c.isascii() and c.isalnum() for c in t))
-        upper = sum(c.isupper() for c in t)
-        return any(c.isdigit() for c in t) or upper >= 2 or (upper and t[1:] != t[1:].lower()) or (t[0].isupper() and len(t) >= 3)
+        kinds = [unicodedata.category(c) for c in t]
+        return "Nd" in kinds or kinds.count("Lu") >= 2 or ("Lu" in kinds and "Ll" in kinds)
 
     out: list[str] = []
 
     def add(x: str) -> None:
-        if x.lower() not in {y.lower() for y in out}:
-            out.append(x)
+        if all(x.lower() != y.lower() for y in out):
+            out.insert(0, x)
+            del out[cap:]
 
     for text in texts:
         run: list[str] = []
         for m in [*word.finditer(text or ""), None]:
             if m and stable(m[0]):
                 run.append(m[0])
+                add(m[0])
                 continue
             if len(run) >= 2:
                 add(" ".join(run))
-            for x in run:
-                add(x)
             run = []
-    return out[:cap]
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def anchors(text: pd.Series) -> pd.Series:
     """``anchors_of`` for a column; runs of neighbours can't be told with built-in functions."""
     return text.map(lambda t: anchors_of(t))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def anchors_all(texts: pd.Series) -> pd.Series:
+    """``anchors_of`` over the texts of an array, in order."""
+    return texts.map(lambda ts: anchors_of(*([] if ts is None else ts)))

@@ -8,7 +8,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_text, tag_display, tag_name, weak_tag
+from ..functions.text import distinct_ci, first_text, tag_display, tag_name, weak_tag
 from .state import latest
 
 
@@ -21,6 +21,42 @@ def digest_candidates(score: DataFrame, event: DataFrame, since: Column, k: int)
     return last.orderBy(F.desc("total_score"), F.desc("calculated_at"), F.desc("last_seen_at"), "event_id").limit(k)
 
 
+def report_events(score: DataFrame, event: DataFrame, since: Column, until: Column, k: int) -> DataFrame:
+    """The report's events: latest score inside the window (bounded at both ends) of each live event that was last seen
+    in it, the ``k`` best by total, heat, last sighting and id."""
+    inside = lambda c: (F.col(c) >= since) & (F.col(c) <= until)
+    live = event.where("status = 'Active' and not is_blacklisted").where(inside("last_seen_at"))
+    last = latest(score.where(inside("calculated_at")).join(live, "event_id"), ["event_id"], F.desc("calculated_at"), F.desc("total_score"), F.asc("score_id"))
+    return last.orderBy(F.desc("total_score"), F.desc("heat_value"), F.desc("last_seen_at"), "event_id").limit(max(1, k))
+
+
+def one_line(text) -> Column:
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "暂无摘要").otherwise(F.trim(F.regexp_replace(c, r"\r\n|[\n\r\f\x85\u2028\u2029]", " ")))
+
+
+def digest_entry() -> Column:
+    """One event of a digest: title, summary, stage, progress, figures, sources and terms. Needs ``place, canonical_title,
+    summary, current_stage, score_stage, progress_summary, milestones (time, label, source, summary), key_terms, entities,
+    total_score, heat_value, sources, avg_rank``."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    newest = F.slice(F.reverse(F.array_sort(F.transform("milestones", lambda m: F.struct(m["time"].alias("t"), F.concat(m["label"], F.lit(": "), one_line(m["summary"])).alias("x"))))), 1, 2)
+    progress = F.when(some("progress_summary").isNotNull(), one_line("progress_summary")).when(F.size(newest) == 0, "暂无进程摘要").otherwise(F.array_join(F.transform(newest, lambda x: x["x"]), "；"))
+    few = lambda values, n, none: (lambda v: F.when(F.size(v) == 0, none).otherwise(F.array_join(v, ", ")))(F.slice(distinct_ci(values), 1, n))
+    return F.concat(
+        F.col("place").cast("string"), F.lit(". "), F.col("canonical_title"), F.lit("\n摘要："), one_line("summary"), F.lit("\n阶段："), F.coalesce(some("current_stage"), F.col("score_stage"), F.lit("Initial")),
+        F.lit("\n进程："), progress, F.lit("\n热度：总分 "), F.format_string("%.1f", "total_score"), F.lit("，Heat "), F.format_string("%.2f", "heat_value"), F.lit("，来源数 "), F.col("sources").cast("string"),
+        F.lit("，平均排名 "), F.format_string("%.1f", "avg_rank"), F.lit("。\n来源/术语："), few(F.transform("milestones", lambda m: m["source"]), 3, "未记录来源"), F.lit("；"),
+        few(F.concat(F.coalesce("key_terms", F.array().cast("array<string>")), F.coalesce("entities", F.array().cast("array<string>"))), 5, "未记录术语"),
+    )
+
+
+def digest_text(date: str, slot: str, entries: list[str], link: str | None = None) -> str:
+    """The digest of a slot from its entries (a top-k, so few)."""
+    head = f"{date} {slot} 舆情摘要，共 {len(entries)} 个事件："
+    return "\n".join([head, *([f"静态报告：{link}"] if link and link.strip() else []), *(f"\n{e}" for e in entries)]).rstrip()
+
+
 def report(events: DataFrame, tags: DataFrame, contents: DataFrame, per_event: int = 8) -> DataFrame:
     """Events with their tags (by confidence, then name) and first ``per_event`` contents (latest, best rank, title)."""
     t = tags.groupBy("event_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "name"))), lambda x: x["name"]).alias("tags"))

@@ -93,6 +93,19 @@ def fingerprint(candidates: Column) -> Column:
     return F.sha2(F.array_join(F.transform(candidates, lambda c: F.concat_ws("|", c["event_id"], c["score"].cast("string"), F.array_join(c["features"], ","))), ";"), 256)
 
 
+def revalidate(before: DataFrame, after: DataFrame, matched: DataFrame) -> DataFrame:
+    """``item_id``: matches to be decided again before they are committed. Those that would found a new event are, if
+    their candidates have changed since (``before`` and ``after``: item_id, event_id, score, features)."""
+
+    def prints(c: DataFrame, name: str) -> DataFrame:
+        rows = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "event_id", "features"))), lambda x: F.struct(x["event_id"].alias("event_id"), (-x["s"]).alias("score"), F.array_sort(x["features"]).alias("features")))
+        return c.groupBy("item_id").agg(fingerprint(rows).alias(name))
+
+    open_ = matched.where("event_id is null").select("item_id")
+    both = open_.join(prints(before, "p"), "item_id", "left").join(prints(after, "q"), "item_id", "left")
+    return both.where(~F.col("p").eqNullSafe(F.col("q"))).select("item_id")
+
+
 def decide(items: DataFrame, candidates: DataFrame, cfg: Config, replies: DataFrame | None = None) -> DataFrame:
     """``item_id, event_id (null: new event), confidence, decision, by``.
 

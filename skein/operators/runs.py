@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cap_text, first_text
+from ..functions.text import cap_text, distinct_ci, first_text
 from ..sources.config import Config
 from .digest import digest_key, due_slot
 
@@ -60,15 +60,26 @@ def fetch_all(sources: DataFrame, fetch: Callable[[dict], str], parallel: int =
 
 
 def visual_order(snapshot: DataFrame, run: str = "run_id") -> DataFrame:
-    """Adds the running number of each snapshot in its run: by category, source, rank (none last) and title, case aside."""
-    w = Window.partitionBy(run).orderBy(F.upper("category"), F.upper("source"), F.coalesce("rank", F.lit(2147483647)), F.upper("title"), "content_item_id")
-    return snapshot.withColumn("visual_order", F.row_number().over(w))
+    """Adds the running number of each snapshot in its run: by category, source, rank (none last) and title, case aside.
+
+    Numbered on two levels: within (run, category, source), and by those groups' counts, so a run of any size isn't
+    sorted in one task.
+    """
+    part = [F.upper("category").alias("__c"), F.upper("source").alias("__s")]
+    rows = snapshot.select("*", *part)
+    inner = Window.partitionBy(run, "__c", "__s").orderBy(F.coalesce("rank", F.lit(2147483647)), F.upper("title"), "content_item_id")
+    outer = Window.partitionBy(run).orderBy("__c", "__s").rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy(run, "__c", "__s").agg(F.count("*").alias("__n"))
+    groups = groups.select(F.col(run).alias("__r"), F.col("__c").alias("__gc"), F.col("__s").alias("__gs"), F.coalesce(F.sum("__n").over(outer), F.lit(0)).alias("__o"))
+    same = F.col(run).eqNullSafe(F.col("__r")) & F.col("__c").eqNullSafe(F.col("__gc")) & F.col("__s").eqNullSafe(F.col("__gs"))
+    out = rows.withColumn("__i", F.row_number().over(inner)).join(groups, same)
+    return out.withColumn("visual_order", (F.col("__o") + F.col("__i")).cast("int")).drop("__c", "__s", "__i", "__o", "__r", "__gc", "__gs")
 
 
 def embedding_inputs(event: DataFrame, event_item: DataFrame, content: DataFrame, event_tag: DataFrame, tag: DataFrame, cap: int = 2000, titles: int = 3) -> DataFrame:
     """``event_id, text, source_text_hash`` from title, summary, latest item titles and tag names."""
     t = event_item.where("is_active").join(content.select(F.col("id").alias("content_item_id"), "title"), "content_item_id")
-    newest = F.transform(F.sort_array(F.collect_list(F.struct((-F.unix_micros("matched_at")).alias("t"), "title"))), lambda x: x["title"])
+    newest = F.transform(F.sort_array(F.collect_list(F.struct((-F.unix_micros(F.col("matched_at").cast("timestamp"))).alias("t"), "title"))), lambda x: x["title"])
     t = t.groupBy("event_id").agg(F.slice(newest, 1, titles).alias("titles"))
     g = event_tag.join(tag.select(F.col("id").alias("tag_id"), "display_name"), "tag_id").groupBy("event_id").agg(F.array_sort(F.collect_set("display_name")).alias("tags"))
     df = event.join(t, "event_id", "left").join(g, "event_id", "left")
@@ -102,9 +113,18 @@ def rejection_text(decisions: DataFrame, key: str = "run_id", reason: str = "rea
     return n.groupBy(key).agg(F.array_join(parts, ", ").alias("rejections"))
 
 
-def push_message(title, reason, total, heat, sources) -> Column:
-    """One line: title, spelled reason, figures."""
-    return F.concat_ws(" | ", title, F.replace(reason, F.lit("_"), F.lit(" ")), F.format_string("score %.1f, heat %.2f, %d sources", total, heat, sources.cast("int")))
+def push_message(stage, summary, fallback, reason, sources, total, heat) -> Column:
+    """The pushed line: stage, summary (or the event's own), spelled reason, up to three sources, figures."""
+    first = lambda c, other: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", other).otherwise(c)
+    names = F.array_join(F.slice(distinct_ci(sources), 1, 3), ", ")
+    return F.concat(
+        F.lit("["), first(stage, F.lit("Initial")), F.lit("] "), F.coalesce(first(summary, fallback), F.lit("")), F.lit(" WhyNow="), F.replace(reason, F.lit("_"), F.lit(" ")),
+        F.lit(",Source="), names, F.lit(",Score="), F.format_string("%.1f", total), F.lit(",Heat="), F.format_string("%.2f", heat), F.lit("。"),
+    )
+
+
+def push_key(event_id, run_id, reason) -> Column:
+    return F.concat_ws(":", F.lit("instant"), event_id, run_id, reason)
 
 
 def judge_reply(content) -> Column:
@@ -148,6 +168,10 @@ class Stages:
             raise error
         return out
 
+    def skip(self, name: str, why: str) -> None:
+        now = datetime.now()
+        self.rows.append((self.run_id, name, now, now, 0, "skipped", why))
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "run_id string, stage string, started_at timestamp, finished_at timestamp, duration_ms bigint, status string, error string")
 

@@ -31,7 +31,12 @@ def evidence_totals(evidence: DataFrame, key: str, cfg: Config, weights: DataFra
     flash, src = kind == "flash_feed", F.lower("source")
     fresh = S.clamp("freshness_score")
     if weights is not None:
-        evidence = evidence.join(F.broadcast(weights), "source", "left")
+        # Named by a source's id or else by its name; Spark broadcasts the list if its size allows that.
+        by = lambda c, n: weights.select(F.col("source").alias(c), F.col("weight").alias(n))
+        evidence = evidence.join(by("source", "w_name"), "source", "left")
+        if "source_id" in evidence.columns:
+            evidence = evidence.join(by("source_id", "w_id"), "source_id", "left")
+        evidence = evidence.withColumn("weight", F.coalesce(*[F.col(c) for c in ("w_id", "w_name") if c in evidence.columns]))
     weight = F.coalesce(F.max("weight"), F.lit(1.0)) if weights is not None else F.lit(1.0)
     dec = lambda c: c.cast("decimal(20,10)")
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
@@ -109,9 +114,20 @@ def near_eligible(cfg: Config) -> Column:
     return (F.col("sources") >= max(1, cfg.source_count - 1)) | (F.col("heat") >= cfg.min_trend_heat) | (F.col("flash") >= cfg.rank_threshold)
 
 
+def judge_gate_reason(cfg: Config) -> Column:
+    """Why a judge may be asked about an event, or why not."""
+    return (
+        F.when(F.col("reactivated"), "reactivated")
+        .when(F.col("sources") < cfg.source_count, "source_count_below_threshold")
+        .when(eligible(), "eligible_before_judge")
+        .when(near_eligible(cfg), "near_eligibility")
+        .otherwise("not_near_eligibility")
+    )
+
+
 def judge_gate(cfg: Config) -> Column:
     """Which events a judge may be asked about."""
-    return F.col("reactivated") | ((F.col("sources") >= max(1, cfg.source_count - 1)) & (eligible() | near_eligible(cfg)))
+    return judge_gate_reason(cfg).isin("reactivated", "eligible_before_judge", "near_eligibility")
 
 
 def judge_promotes(importance: str, boost: str) -> Column:
@@ -120,7 +136,7 @@ def judge_promotes(importance: str, boost: str) -> Column:
 
 def push_reason(cfg: Config) -> Column:
     """The reason that a push is due for, or null: first push, then what improved since the last one."""
-    first = F.col("push_count") == 0
+    first = (F.col("push_count") == 0) | F.col("last_pushed_at").isNull()
     any_flash = F.arrays_overlap("reasons", strings([r for r in S.REASON_PRIORITY if r.startswith("flash_")]))
     return (
         F.when(F.col("is_blacklisted") | ~eligible(), None)
@@ -145,25 +161,20 @@ def stage(cfg: Config, judged: str | None = None) -> Column:
     return F.coalesce(F.col(judged), own) if judged else own
 
 
-def milestones(cfg: Config) -> Column:
-    """Up to three: first seen, spread, return, rise."""
-    return F.slice(
-        F.array_compact(
-            F.array(
-                F.lit("first_seen"), F.when(F.col("sources") >= cfg.source_count, "source_expansion"),
-                F.when(F.col("reactivated"), "reactivation"), F.when(F.array_contains("reasons", "rising_trend"), "heat_rising"),
-            )
-        ), 1, 3,
-    )
+def milestones() -> Column:
+    """Up to three: first seen, spread over more than one source, return, and a rise where there is room for it."""
+    sure = F.array_compact(F.array(F.lit("first_seen"), F.when(F.col("sources") > 1, "source_expansion"), F.when(F.col("reactivated"), "reactivation")))
+    rising = (F.size(sure) < 3) & (F.col("trend") > 0)
+    return F.slice(F.when(rising, F.array_append(sure, F.lit("heat_rising"))).otherwise(sure), 1, 3)
 
 
 def score_run(evidence: DataFrame, events: DataFrame, prior: DataFrame, at: Column, cfg: Config, weights: DataFrame | None = None) -> DataFrame:
     """All of the above for every event with evidence; one shuffle by event for the totals, joins by event after it.
 
-    ``events`` needs ``event_id, first_seen_at, reactivated, is_blacklisted, push_count, last_push_*``.
+    ``events`` needs ``event_id, first_seen_at, reactivated, is_blacklisted, push_count, last_pushed_at, last_push_*``.
     """
     totals = evidence_totals(evidence, "event_id", cfg, weights)
     df = heat_series(totals, prior, "event_id", at, cfg).join(events, "event_id")
     df = components(df, at, cfg).withColumn("reasons", triggers(cfg))
-    df = df.withColumn("push_reason", push_reason(cfg)).withColumn("stage", stage(cfg)).withColumn("milestones", milestones(cfg))
-    return df.withColumn("eligible", eligible()).withColumn("near_eligible", near_eligible(cfg)).withColumn("reason", S.pick_reason(F.when(F.col("push_reason").isNotNull(), F.array_append("reasons", F.col("push_reason"))).otherwise(F.col("reasons"))))
+    df = df.withColumn("push_reason", push_reason(cfg)).withColumn("stage", stage(cfg)).withColumn("milestones", milestones())
+    return df.withColumn("eligible", eligible()).withColumn("near_eligible", near_eligible(cfg)).withColumn("judge_gate", judge_gate_reason(cfg)).withColumn("reason", S.pick_reason(F.when(F.col("push_reason").isNotNull(), F.array_append("reasons", F.col("push_reason"))).otherwise(F.col("reasons"))))

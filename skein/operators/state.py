@@ -38,9 +38,10 @@ def merge_frames(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[st
     return df.select(*keys, *[value(c).alias(c) for c in old.columns if c not in keys])
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows, and the new ones whose key is not there yet (the first of each key)."""
-    first = new.dropDuplicates(keys)
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Old rows, and the new ones whose key is not there yet: the first of each key under ``order``, which must be
+    given where keys can repeat."""
+    first = latest(new, keys, *order) if order else new
     return old.unionByName(first.join(old.select(*keys).distinct(), keys, "left_anti"))
 
 

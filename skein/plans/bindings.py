@@ -83,6 +83,6 @@ def snapshots(events: DataFrame) -> DataFrame:
 def event_state(events: DataFrame) -> DataFrame:
     u = F.col("event_id")
     return events.groupBy(F.col("user_id").alias("event_id")).agg(F.min("ts").alias("first_seen_at")).select(
-        "event_id", "first_seen_at", (u % 7 == 0).alias("reactivated"), (u % 11 == 0).alias("is_blacklisted"), (u % 3).alias("push_count"),
+        "event_id", "first_seen_at", F.when(u % 9 > 0, F.col("first_seen_at")).alias("last_pushed_at"), (u % 7 == 0).alias("reactivated"), (u % 11 == 0).alias("is_blacklisted"), (u % 3).alias("push_count"),
         F.when(u % 5 > 0, u % 4).alias("last_push_source_count"), F.when(u % 2 == 0, F.lit(0.5)).alias("last_push_rank_score"), F.when(u % 3 > 0, F.lit(60.0)).alias("last_push_score"),
     )

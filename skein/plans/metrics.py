@@ -141,14 +141,18 @@ def latest_run_summary(fetch_run: DataFrame, fetch_run_stage: DataFrame, stages:
 def health_snapshot(fetch_run: DataFrame, llm_usage: DataFrame, event: DataFrame, push_log: DataFrame, as_of: DataFrame) -> DataFrame:
     """M11: one row of totals over 7 days, there even if every table is empty."""
     since = "(select * from {a}) - interval 7 days"
+    per_run = lambda x, d: f"cast(coalesce(round({x}, {d}), 0) as double)"
     return _sql(
-        f"""with r as (select count(*) total_runs, count_if(lower(status) = 'succeeded') ok_runs, count_if(lower(status) = 'failed') failed_runs,
-              {_rate("count_if(lower(status) in ('succeeded', 'partial'))")} success_rate_pct, sum(fetched_item_count) items from {{r}} where finished_at >= {since}),
-          l as (select count(*) llm_calls, cast(coalesce(sum(estimated_cost), 0) as double) llm_cost, count_if(not success) failed_calls from {{l}} where created_at >= {since}),
+        f"""with r as (select count(*) total_runs, {_rate("count_if(lower(status) in ('succeeded', 'partial'))")} success_rate_pct, coalesce(sum(estimated_llm_cost), 0) cost,
+              avg(cast(timestampdiff(microsecond, started_at, finished_at) as decimal(28, 0))) mean_us, min(finished_at) window_start, max(finished_at) window_end
+              from {{r}} where finished_at is not null and finished_at >= {since}),
+          l as (select count(*) llm_calls, count_if(not success) llm_failures from {{l}} where created_at >= {since}),
           e as (select count(*) new_events from {{e}} where status != 'Merged' and first_seen_at >= {since}),
           x as (select count_if(status = 'Active') active_events from {{e}}),
-          p as (select count(*) pushes, count_if(not success) failed_pushes from {{p}} where pushed_at >= {since})
-        select total_runs, ok_runs, failed_runs, success_rate_pct, coalesce(items, 0) fetched_items, llm_calls, llm_cost, failed_calls, new_events, active_events, pushes, failed_pushes
+          p as (select count(*) total_pushes, count_if(push_type = 'Instant') instant_pushes, count_if(push_type = 'Digest') digest_pushes from {{p}} where pushed_at >= {since})
+        select total_runs, success_rate_pct, cast(cost as double) total_llm_cost, {per_run("cost / nullif(total_runs, 0)", 6)} avg_llm_cost_per_run,
+          {per_run("mean_us / 60000000", 1)} avg_run_duration_minutes, new_events, active_events, {per_run("cast(new_events as decimal(28, 6)) / nullif(total_runs, 0)", 1)} avg_new_events_per_run,
+          total_pushes, instant_pushes, digest_pushes, llm_calls, llm_failures, window_start, window_end
         from r cross join l cross join e cross join x cross join p""",
         r=fetch_run, l=llm_usage, e=event, p=push_log, a=as_of,
     )

@@ -1,19 +1,41 @@
-"""One run over state: recall, decision, clustering of what is left, scoring. Models are pluggable callables; the
-defaults are the unconfigured ones (new event, neutral judge, no tags, no vectors)."""
+"""One run over state, in ten stages: fetch, ingest, enrich, embed contents, match, tag, embed events, score (and push),
+push (part of score, recorded as skipped), secondary merge. Models are pluggable callables over rows; without one, a
+stage does what an unconfigured model means (a new event, a neutral judge, no tags, no vectors, nothing pushed)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import score as S
 from ..functions.score import hex_id
-from ..functions.text import key_terms
-from ..operators.recall import decide, recallable, rule_recall
+from ..functions.text import anchors_all, first_text, key_terms, need_enrichment, prepend_unique, strings
+from ..operators import digest, merging, records, runs
+from ..operators.models import call_all
+from ..operators.recall import composite, decide, recallable, rule_recall, top_per, vector_topk
 from ..operators.scoring import score_run
-from ..operators.state import mark_stale, touch
+from ..operators.state import ingest, mark_stale, merge_frames, refresh_event_tags, touch
 from ..sources.config import Config
+from ..sources.feeds import cluster_reply, list_items, web_extract
+
+EVENT = (
+    "event_id string, type string, canonical_title string, summary string, status string, entities array<string>, aliases array<string>, places array<string>, key_terms array<string>, "
+    "representative_titles array<string>, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, last_activated_at timestamp_ntz, is_blacklisted boolean, current_stage string, progress_summary string, "
+    "milestones array<string>, push_count int, last_pushed_at timestamp_ntz, last_push_source_count bigint, last_push_rank_score double, last_push_score double, merged_into_event_id string"
+)
+CONTENT = "dedup_key string, id string, title string, url string, summary string, enrichment_status string, created_at timestamp_ntz, last_seen_at timestamp_ntz, last_seen_run_id string, last_seen_rank bigint"
+SNAPSHOT = (
+    "run_id string, content_item_id string, source string, source_id string, content_kind string, rank int, source_list_size int, normalized_rank_score double, freshness_score double, "
+    "captured_at timestamp_ntz, category string, title string"
+)
+EVENT_ITEM = "event_id string, content_item_id string, confidence double, matched_at timestamp_ntz, match_reason string, is_active boolean, created_by_merge_id string"
+SCORE = "id string, event_id string, run_id string, calculated_at timestamp_ntz, total_score double, heat_value double, coverage double, rank_score double, trend double, persistence double, flash double, sources bigint, current_stage string, trigger_reasons array<string>"
+HISTORY = "id string, source_id string, target_id string, confidence double, reason string, similarity double, created_at timestamp_ntz"
+VECTOR = "owner string, model string, version string, dimensions int, v array<float>, source_text_hash string, updated_at timestamp_ntz"
+STAGE = "run_id string, stage string, started_at timestamp, finished_at timestamp, duration_ms bigint, status string, error string"
 
 
 @dataclass
@@ -23,26 +45,289 @@ class RunResult:
     scores: DataFrame
 
 
-def match_run(items: DataFrame, events: DataFrame, at: Column, cfg: Config, replies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, mapping): events age first, then items are recalled against existing events, set-based; items left
-    over with equal normalised keys found one event together, under the id of the first by (rank, source, title)."""
+@dataclass
+class Models:
+    """What a run may call; each takes a row as a dict and returns the reply's body."""
+
+    fetch: Callable[[dict], str] | None = None
+    extract: Callable[[dict], str] | None = None
+    embed: Callable[[dict], str] | None = None
+    cluster: Callable[[dict], str] | None = None
+    tag: Callable[[dict], str] | None = None
+    merge: Callable[[dict], str] | None = None
+    push: Callable[[dict], bool] | None = None
+
+
+def update_matched(events: DataFrame, matched: DataFrame) -> DataFrame:
+    """Events take in the items that were matched with them, in order of (rank, source, title): a reply's title and
+    summary replace the event's, titles, terms, entities and aliases go to the front of their lists.
+
+    ``matched``: event_id, title, summary, rank, source, reply_title, reply_summary.
+    """
+    order = F.struct(F.coalesce("rank", F.lit(2147483647)).alias("o"), "source", "title", "summary", first_text("reply_title").alias("rt"), first_text("reply_summary").alias("rs"))
+    rows = matched.withColumns({"a": anchors_all(F.array("title", "summary")), "k": key_terms(F.concat_ws(" ", first_text("title"), first_text("summary")))})
+    got = rows.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "a", "k"))).alias("x"))
+    df = events.join(got, "event_id", "left")
+    each = lambda f: F.transform("x", f)
+    last = lambda f: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(each(f), lambda y: y.isNotNull())), -1)
+    title = F.coalesce(last(lambda x: x["o"]["rt"]), F.col("canonical_title"))
+    # The title's and replies' anchors are aliases.
+    df = df.withColumn("__alias", anchors_all(F.when(F.col("x").isNotNull(), F.concat(each(lambda x: x["o"]["title"]), F.array(last(lambda x: x["o"]["rt"]), last(lambda x: x["o"]["rs"]), title)))))
+    new = {
+        "canonical_title": title,
+        "summary": F.coalesce(last(lambda x: x["o"]["rs"]), F.col("summary")),
+        "representative_titles": prepend_unique("representative_titles", each(lambda x: x["o"]["title"]), 3),
+        "key_terms": prepend_unique("key_terms", F.flatten(each(lambda x: x["k"])), 12),
+        "entities": prepend_unique("entities", F.flatten(each(lambda x: x["a"])), 8),
+        "aliases": prepend_unique("aliases", F.col("__alias"), 8),
+    }
+    return df.select(*[F.when(F.col("x").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in events.columns])
+
+
+def match_run(items: DataFrame, events: DataFrame, at: Column, cfg: Config, replies: DataFrame | None = None, vectors: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, mapping): events age first, then items are recalled against existing events, set-based; matched events
+    take their items in; items left over with equal normalised keys found one event together, under the id of the first
+    by (rank, source, title). ``vectors`` are (item vectors, event vectors) for the second recall."""
     events = mark_stale(events, at, cfg.stale_hours)
-    found = decide(items, rule_recall(items, recallable(events, at, cfg), at, cfg), cfg, replies)
+    old = recallable(events, at, cfg)
+    cand = rule_recall(items, old, at, cfg)
+    if vectors is not None:
+        mine = vectors[1].join(recallable(events, at, cfg, skip_blacklisted=True).select("event_id", "last_seen_at"), "event_id")
+        near = vector_topk(vectors[0].select(F.col("item_id").alias("query_id"), "v"), mine, cfg.vector_limit, cfg.vector_similarity)
+        cand = composite(cand, near.withColumnRenamed("query_id", "item_id"))
+        cand = top_per("item_id", cand, cfg.candidate_limit, F.desc("score"), F.asc("event_id"))
+    found = decide(items, cand, cfg, replies)
     fresh = items.join(found.where("event_id is null").select("item_id"), "item_id", "left_semi")
     fresh = fresh.withColumn("k", F.array_join(F.array_sort(key_terms(F.concat_ws(" ", "title"))), "|"))
     head = fresh.groupBy("k").agg(F.min(F.struct(F.coalesce("rank", F.lit(2147483647)).alias("r"), "source", "title", "source_item_id", "summary")).alias("h"))
-    born = head.select("k", hex_id("evt", 20, "h.source", "h.source_item_id", "h.title").alias("event_id"), "h.title", "h.summary")
-    mapped = found.where("event_id is not null").select("item_id", "event_id", "confidence").unionByName(fresh.join(born, "k").select("item_id", "event_id", F.lit(1.0).alias("confidence")))
-    old = touch(events, found.where("event_id is not null").select("event_id"), at, cfg.stale_hours)
+    born = head.select("k", hex_id("evt", 20, "h.source", "h.source_item_id", "h.title").alias("event_id"), first_text("h.title", "h.summary", F.lit("未命名事件")).alias("title"), first_text("h.summary", "h.title").alias("summary"))
+    mapped = found.where("event_id is not null").select("item_id", "event_id", "confidence", F.col("decision").alias("match_reason"))
+    mapped = mapped.unionByName(fresh.join(born, "k").select("item_id", "event_id", F.lit(1.0).alias("confidence"), F.lit("create_new").alias("match_reason")))
+    aged = touch(events, found.where("event_id is not null").select("event_id"), at, cfg.stale_hours)
+    reply = [F.lit(None).cast("string").alias(c) for c in ("reply_title", "reply_summary")]
+    if replies is not None and {"reply_title", "reply_summary"} <= set(replies.columns):
+        matched = found.where("event_id is not null").join(replies.select("item_id", "reply_title", "reply_summary"), "item_id", "left").join(items, "item_id").select("event_id", "title", "summary", "rank", "source", "reply_title", "reply_summary")
+    else:
+        matched = found.where("event_id is not null").join(items, "item_id").select("event_id", "title", "summary", "rank", "source", *reply)
+    lists = {"entities", "aliases", "key_terms", "representative_titles", "canonical_title", "summary"} <= set(aged.columns)
+    aged = update_matched(aged, matched) if lists else aged
     new = born.select(
-        "event_id", F.col("title").alias("canonical_title"), "summary", F.lit("Active").alias("status"), at.alias("first_seen_at"), at.alias("last_seen_at"), at.alias("last_activated_at"),
+        "event_id", F.lit("NewsEvent").alias("type"), F.col("title").alias("canonical_title"), "summary", F.lit("Active").alias("status"), at.alias("first_seen_at"), at.alias("last_seen_at"), at.alias("last_activated_at"),
         F.lit(False).alias("is_blacklisted"), key_terms(F.concat_ws(" ", "title", "summary")).alias("key_terms"), F.array("title").alias("representative_titles"), F.lit(False).alias("reactivated"),
+        anchors_all(F.array("title", "summary")).alias("entities"), anchors_all(F.array("title")).alias("aliases"), strings([]).alias("places"), F.lit(0).alias("push_count"),
     )
-    return old.unionByName(new, allowMissingColumns=True), mapped
+    new = new.select(*[c for c in new.columns if c in aged.columns])
+    return aged.unionByName(new, allowMissingColumns=True), mapped
 
 
 def run_once(items: DataFrame, events: DataFrame, evidence: DataFrame, prior: DataFrame, at: Column, cfg: Config, replies: DataFrame | None = None) -> RunResult:
     """Match, then score: ``evidence`` is by ``item_id``; the mapping gives it its events."""
     events, mapping = match_run(items, events, at, cfg, replies)
-    state = events.select("event_id", "first_seen_at", F.coalesce("reactivated", F.lit(False)).alias("reactivated"), "is_blacklisted", *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c == "push_count" else F.col(c) for c in ("push_count", "last_push_source_count", "last_push_rank_score", "last_push_score")])
-    return RunResult(events, mapping, score_run(evidence.join(mapping.select("item_id", "event_id"), "item_id"), state, prior, at, cfg))
+    return RunResult(events, mapping, score_run(evidence.join(mapping.select("item_id", "event_id"), "item_id"), _scoring_state(events), prior, at, cfg))
+
+
+def _scoring_state(events: DataFrame) -> DataFrame:
+    have = set(events.columns)
+    pushed = [F.coalesce("push_count", F.lit(0)).alias("push_count"), *[F.col(c) for c in ("last_push_source_count", "last_push_rank_score", "last_push_score")]]
+    last = F.col("last_pushed_at") if "last_pushed_at" in have else F.col("first_seen_at")
+    return events.select("event_id", "first_seen_at", F.coalesce("reactivated", F.lit(False)).alias("reactivated"), "is_blacklisted", last.alias("last_pushed_at"), *pushed)
+
+
+def snapshot_rows(batch: DataFrame, run_id: str, at: Column) -> DataFrame:
+    """A run's snapshot of each item: rank and its place between 0 and 1 for ranked lists, freshness for flashes."""
+    return batch.select(
+        F.lit(run_id).alias("run_id"), hex_id("ci", 16, "source", "source_item_id").alias("content_item_id"), "source", "source_id", "content_kind", F.col("rank").cast("int").alias("rank"),
+        F.col("source_list_size").cast("int").alias("source_list_size"), F.when(F.col("rank").isNotNull(), S.normalized_rank("rank", "source_list_size")).alias("normalized_rank_score"),
+        S.freshness(F.col("content_kind"), "published_at", at).alias("freshness_score"), at.alias("captured_at"), F.col("source").alias("category"), "title",
+    )
+
+
+def run_fetch(spark: SparkSession, store: records.Store, sources: list[runs.Source], models: Models, at: str, run_id: str, cfg: Config = Config()) -> dict:  # noqa: B008
+    """A whole run on the tables of ``store``; returns its counts. All but fetch and ingest may fail alone."""
+    now = F.lit(at).cast("timestamp_ntz")
+    registry = runs.registry(spark, sources)
+    stages = runs.Stages(run_id)
+    enabled = sum(s.enabled for s in sources)
+    start = spark.createDataFrame([(run_id, enabled)], "id string, source_count int").withColumn("started_at", F.lit(at).cast("timestamp"))
+    store.update("fetch_run", records.RUN, lambda t: records.run_started(t, start))
+    count: dict = {}
+
+    def fetch() -> DataFrame:
+        if models.fetch is None:
+            return spark.createDataFrame([], "source_id string, status string, body string, error string, duration_ms bigint")
+        got = store.write("run_body", runs.fetch_all(registry, models.fetch))
+        count.update(ok=got.where("status = 'succeeded'").count(), failed=got.where("status = 'failed'").count())
+        count["errors"] = [f"{r['source_id']}: {r['error']}" for r in got.where("status = 'failed'").select("source_id", "error").collect()]
+        return got
+
+    def read_items(bodies: DataFrame) -> DataFrame:
+        s = registry.select(F.col("id").alias("source_id"), "external_id", "content_kind", F.col("display_name").alias("source"))
+        items = list_items(bodies.where("status = 'succeeded'").join(s.drop("source"), "source_id"))
+        items = items.join(s.select("source_id", "source"), "source_id").withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+        key = F.lower(F.concat_ws("|", "source_id", "source_item_id"))
+        need = need_enrichment("source", "title", F.coalesce("summary", F.lit("")), min_title=cfg.min_title_length)
+        return items.withColumns({"dedup_key": key, "need_enrichment": need, "order": F.coalesce("rank", F.lit(0))}).dropDuplicates(["dedup_key"])
+
+    def take_in(bodies: DataFrame) -> DataFrame:
+        batch = store.write("run_item", read_items(bodies))
+        cols = ("order", "dedup_key", "source", "source_item_id", "title", "url", "summary", "rank", "need_enrichment")
+        store.update("content", CONTENT, lambda t: ingest(t, batch.select(*cols), run_id, now).drop("action").select(*[f.name for f in t.schema]))
+        store.update("snapshot", SNAPSHOT, lambda t: t.unionByName(snapshot_rows(batch, run_id, now)))
+        count["items"] = batch.count()
+        return batch
+
+    def enrich(batch: DataFrame) -> None:
+        if models.extract is None:
+            return
+        todo = batch.where("need_enrichment and url is not null").orderBy("order", "source", "title", "dedup_key").limit(max(0, cfg.enrichment_budget)).select("dedup_key", "url")
+        got = web_extract(call_all(todo, "dedup_key", models.extract).where("success")).where("ok and summary is not null").select("dedup_key", "summary", F.lit("Succeeded").alias("enrichment_status"))
+        got = store.write("run_extract", got)
+        store.update("content", CONTENT, lambda t: records.updated(t, got, "dedup_key").select(*t.columns))
+        count["enriched"] = got.count()
+
+    def embed(kind: str, texts: DataFrame, budget: int) -> int:
+        """Vectors of texts whose hash has changed, ``budget`` of them; returns how many were asked for."""
+        if models.embed is None or budget < 1:
+            return 0
+        name = f"{kind}_vector"
+        todo = store.write(f"run_{name}", digest.embedding_todo(texts.withColumn("source_text_hash", F.sha2("text", 256)), store.read(name, VECTOR), ["owner"], budget))
+        got = call_all(todo.select("owner", "text"), "owner", models.embed).where("success")
+        got = got.select("owner", runs.vector_reply(F.col("body"), cfg.dimensions).alias("v")).where("v is not null").join(todo.select("owner", "source_text_hash"), "owner")
+        got = got.select("owner", F.lit("model").alias("model"), F.lit("v1").alias("version"), F.lit(cfg.dimensions).alias("dimensions"), "v", "source_text_hash", now.alias("updated_at"))
+        store.update(name, VECTOR, lambda t: records.embedding_rows(t, got, "owner").select(*t.columns))
+        return todo.count()
+
+    def run_items(batch: DataFrame) -> DataFrame:
+        c = store.read("content", CONTENT).where(F.col("last_seen_run_id") == run_id).select("dedup_key", F.col("id").alias("item_id"), F.col("summary").alias("s"))
+        return batch.join(c, "dedup_key").select("item_id", "title", F.coalesce("s", F.lit("")).alias("summary"), "rank", "source", "source_item_id", "url")
+
+    def match(batch: DataFrame) -> DataFrame:
+        items = run_items(batch)
+        mapped = store.read("event_item", EVENT_ITEM).where("is_active").select(F.col("content_item_id").alias("item_id")).distinct()
+        items = store.write("run_match", items.join(mapped, "item_id", "left_anti"))
+        events = store.read("event", EVENT)
+        replies, vectors = None, None
+        if models.embed is not None:
+            vec = lambda t, key: store.read(t, VECTOR).select(F.col("owner").alias(key), "v")
+            vectors = (vec("content_vector", "item_id"), vec("event_vector", "event_id"))
+        if models.cluster is not None:
+            cand = rule_recall(items, recallable(mark_stale(events, now, cfg.stale_hours), now, cfg), now, cfg)
+            per = cand.groupBy("item_id").agg(F.sort_array(F.collect_list("event_id")).alias("candidates"))
+            asked = items.select("item_id", "title", "summary").join(per, "item_id")
+            got = call_all(asked.withColumn("candidates", F.array_join("candidates", ",")), "item_id", models.cluster).where("success").join(per, "item_id")
+            reply = cluster_reply(F.col("body"), F.col("candidates"))
+            replies = store.write("run_reply", got.select("item_id", reply.alias("r")).select("item_id", "r.decision", "r.event_id", "r.confidence"))
+        changed, mapping = match_run(items, events, now, cfg, replies, vectors)
+        changed = store.write("run_event", changed)
+        mapping = store.write("run_mapping", mapping)
+        store.write("event", changed.select(*events.columns))
+        rows = mapping.select("event_id", F.col("item_id").alias("content_item_id"), "confidence", now.alias("matched_at"), "match_reason", F.lit(True).alias("is_active"), F.lit(None).cast("string").alias("created_by_merge_id"))
+        store.update("event_item", EVENT_ITEM, lambda t: t.unionByName(rows))
+        count["matched"] = mapping.count()
+        return changed.select("event_id", "reactivated")
+
+    def tag(batch: DataFrame) -> None:
+        if models.tag is None:
+            return
+        got = call_all(run_items(batch).select("item_id", "title", "summary"), "item_id", models.tag).where("success")
+        names = digest.assign_tags(got.select("item_id", runs.tag_reply(F.col("body")).alias("tags")), "item_id", "tags", "llm")
+        names = store.write("run_tag", names)
+        tags = store.update("tag", records.TAG, lambda t: records.tag_dimension(t, names, F.lit(at).cast("timestamp")))
+        rows = names.join(tags.select("name", F.col("id").alias("tag_id")), "name").select(F.col("item_id").alias("content_item_id"), "tag_id", "confidence", "source")
+        content_tags = store.update("content_tag", "content_item_id string, tag_id string, confidence double, source string", lambda t: merge_frames(t, rows, ["content_item_id", "tag_id"]))
+        links = store.read("event_item", EVENT_ITEM)
+        store.update("event_tag", "event_id string, tag_id string, confidence double, source string", lambda t: refresh_event_tags(links, content_tags, t))
+
+    def score(returned: DataFrame | None) -> None:
+        events = store.read("event", EVENT)
+        back = events.select("event_id", F.lit(False).alias("reactivated")) if returned is None else returned
+        snap = store.read("snapshot", SNAPSHOT).where(F.col("run_id") == run_id)
+        links = store.read("event_item", EVENT_ITEM).where("is_active").select("content_item_id", "event_id")
+        prior = store.read("score", SCORE)
+        scored = score_run(snap.join(links, "content_item_id"), _scoring_state(events.join(back, "event_id", "left")), prior, now, cfg, registry.select(F.col("id").alias("source"), "weight"))
+        scored = store.write("run_score", scored)
+        rows = scored.select("event_id", F.col("total").alias("total_score"), F.col("heat").alias("heat_value"), "coverage", "rank_score", "trend", "persistence", "flash", "sources", F.col("stage").alias("current_stage"), F.col("reasons").alias("trigger_reasons"))
+        store.update("score", SCORE, lambda t: records.score_snapshots(t, rows, run_id, now))
+        marks = scored.select("event_id", F.col("stage").alias("current_stage"), "milestones")
+        events = store.update("event", EVENT, lambda t: records.updated(t, marks, "event_id").select(*t.columns))
+        due = scored.where("push_reason is not null").join(events.select("event_id", "canonical_title", "summary", "progress_summary"), "event_id")
+        names = snap.join(links, "content_item_id").groupBy("event_id").agg(F.array_sort(F.collect_set("source")).alias("names"))
+        text = runs.push_message(F.col("stage"), F.col("progress_summary"), F.col("summary"), F.col("reason"), F.col("names"), F.col("total"), F.col("heat"))
+        messages = due.join(names, "event_id").select(
+            F.col("event_id").cast("string").alias("event_id"), F.lit("Instant").alias("push_type"), F.lit(at).cast("timestamp").alias("pushed_at"), F.col("canonical_title").alias("title"), F.col("reason"),
+            text.alias("content"), runs.push_key(F.col("event_id"), F.lit(run_id), F.col("reason")).alias("dedup_key"),
+        )
+        log, todo = records.push_attempts(store.read("push_log", records.PUSH), messages)
+        todo = store.write("run_push", todo)
+        store.write("push_log", log)
+        sent = [] if models.push is None else [(m["dedup_key"], bool(models.push(m.asDict()))) for m in todo.orderBy("dedup_key").toLocalIterator()]
+        count["pushed"] = sum(ok for _, ok in sent)
+        done = spark.createDataFrame([(k, ok, None if ok else "push failed") for k, ok in sent], "dedup_key string, success boolean, error string")
+        store.update("push_log", records.PUSH, lambda t: records.push_results(t, done))
+        # An attempt that was recorded counts, whether it succeeded or not.
+        tried = todo.select("event_id").join(scored.select("event_id", "sources", "rank_score", "total"), "event_id")
+        after = events.select("event_id", "push_count").join(tried, "event_id").select(
+            "event_id", (F.coalesce("push_count", F.lit(0)) + 1).alias("push_count"), now.alias("last_pushed_at"), F.col("sources").alias("last_push_source_count"),
+            F.col("rank_score").alias("last_push_rank_score"), F.col("total").alias("last_push_score"),
+        )
+        if models.push is not None:
+            store.update("event", EVENT, lambda t: records.updated(t, after, "event_id").select(*t.columns))
+
+    def merge() -> int:
+        if models.embed is None:
+            return 0
+        events, history = store.read("event", EVENT), store.read("merge_history", HISTORY)
+        live = recallable(events, now, cfg, skip_blacklisted=True).join(store.read("event_vector", VECTOR).select(F.col("owner").alias("event_id"), "v"), "event_id")
+        pairs = store.write("run_pair", merging.similar_pairs(live, cfg, history.select("source_id", "target_id")))
+        replies = None
+        if models.merge is not None:
+            text = events.select("event_id", F.concat_ws("\n", "canonical_title", "summary").alias("text"))
+            asked = pairs.join(text.withColumnsRenamed({"event_id": "source_id", "text": "source_text"}), "source_id").join(text.withColumnsRenamed({"event_id": "target_id", "text": "target_text"}), "target_id")
+            asked = asked.withColumn("pair", F.concat_ws("|", "source_id", "target_id")).drop("target_last_seen_at")
+            got = call_all(asked, "pair", models.merge).where("success")
+            reply = cluster_reply(F.col("body"), F.array(F.element_at(F.split("pair", r"\|"), 2)))
+            replies = got.select(F.element_at(F.split("pair", r"\|"), 1).alias("source_id"), F.element_at(F.split("pair", r"\|"), 2).alias("target_id"), reply.alias("r"))
+            replies = store.write("run_verdict", replies.select("source_id", "target_id", "r.decision", "r.confidence", F.lit("model").alias("reason")))
+        chosen = store.write("run_merge", merging.secondary_merge(live, pairs, cfg, replies))
+        if chosen.isEmpty():
+            return 0
+        rows = chosen.select(merging.merge_id(F.col("source_id"), F.col("target_id"), now).alias("id"), "source_id", "target_id", "confidence", "reason", "similarity", now.alias("created_at"))
+        store.update("merge_history", HISTORY, lambda t: merge_frames(t, rows, ["id"]))
+        store.update("event", EVENT, lambda t: merging.fold_events(t, chosen))
+        store.update("event_item", EVENT_ITEM, lambda t: merging.deactivate_items(merging.migrate_evidence(t, chosen, now), chosen))
+        store.update("event_tag", "event_id string, tag_id string, confidence double, source string", lambda t: merging.fold_tags(t, chosen))
+        store.update("score", SCORE, lambda t: records.merged_snapshots(t, chosen, run_id, now, F.timestamp_add("HOUR", F.lit(-max(1, cfg.trend_window_hours)), now)))
+        return chosen.count()
+
+    def event_texts() -> DataFrame:
+        c = store.read("content", CONTENT).select("id", "title")
+        e = store.read("event", EVENT).where("status <> 'Merged'")
+        tags, links = store.read("tag", records.TAG), store.read("event_tag", "event_id string, tag_id string, confidence double, source string")
+        return runs.embedding_inputs(e, store.read("event_item", EVENT_ITEM), c, links, tags).select(F.col("event_id").alias("owner"), "text")
+
+    status, error = "Failed", None
+    try:
+        bodies = stages.run("fetch", fetch)
+        batch = stages.run("ingest", lambda: take_in(bodies))
+        stages.run("enrich", lambda: enrich(batch))
+        content = store.read("content", CONTENT).where(F.col("last_seen_run_id") == run_id).select(F.col("id").alias("owner"), F.concat_ws("\n", "title", "summary").alias("text"))
+        used = stages.run("embedding", lambda: embed("content", content, cfg.embedding_budget), 0)
+        returned = stages.run("match", lambda: match(batch))
+        stages.run("tagging", lambda: tag(batch))
+        stages.run("embedding", lambda: embed("event", event_texts(), max(0, cfg.embedding_budget - used)), 0)
+        stages.run("score", lambda: score(returned))
+        stages.skip("push", "part of score")
+        count["merged"] = stages.run("secondary_merge", merge, 0)
+        ok, failed = count.get("ok", 0), count.get("failed", 0)
+        status = "Succeeded" if ok and not failed else "Partial" if ok else "Failed"
+    except Exception as e:  # noqa: BLE001  the run is completed as failed, then the error goes on
+        error = e
+    store.update("fetch_run_stage", STAGE, lambda t: t.unionByName(stages.frame(spark)))
+    done = spark.createDataFrame(
+        [(run_id, status, count.get("ok", 0), count.get("failed", 0), count.get("items", 0), count.get("enriched", 0), count.get("matched", 0), count.get("pushed", 0), count.get("errors", []) + ([str(error)] if error else []))],
+        "id string, status string, success_source_count int, failure_source_count int, fetched_item_count bigint, enriched_item_count bigint, matched_event_count bigint, pushed_event_count bigint, errors array<string>",
+    ).withColumn("finished_at", F.current_timestamp())
+    store.update("fetch_run", records.RUN, lambda t: records.updated(t, done, "id").select(*t.columns))
+    if error:
+        raise error
+    return count | {"status": status, "stages": {(r[1], r[5]) for r in stages.rows}}

@@ -159,16 +159,18 @@ def m10_latest_pivot(spark, d):
 
 @query(
     f"""with a as (select max(o_orderdate) - interval 7 days since from orders),
-    r as (select count(*) total_runs, count(*) filter (o_orderstatus = 'F') ok_runs, count(*) filter (o_orderstatus = 'P') failed_runs, {_rate("count(*) filter (o_orderstatus in ('F', 'O'))")} success_rate_pct,
-      coalesce(sum(o_custkey % 50), 0)::bigint fetched_items from orders, a where o_orderdate >= since),
-    l as (select count(*) llm_calls, coalesce(sum(l_extendedprice::decimal(18, 8)), 0)::double llm_cost, count(*) filter (l_linenumber >= 5) failed_calls from lineitem, a where l_shipdate >= since),
+    r as (select count(*) total_runs, {_rate("count(*) filter (o_orderstatus in ('F', 'O'))")} success_rate_pct, coalesce(sum(o_totalprice::decimal(18, 8)), 0) cost, min(o_orderdate + interval (o_orderkey % 3000) second) window_start,
+      max(o_orderdate + interval (o_orderkey % 3000) second) window_end, sum(o_orderkey % 3000) secs from orders, a where o_orderdate + interval (o_orderkey % 3000) second >= since),
+    l as (select count(*) llm_calls, count(*) filter (l_linenumber >= 5) llm_failures from lineitem, a where l_shipdate >= since),
     e as (select count(*) filter (event_type = 'signup' and user_id % 13 <> 0 and ts >= since) new_events, count(*) filter (event_type in ('signup', 'purchase') and user_id % 13 <> 0) active_events,
-      count(*) filter (event_type in ('click', 'view') and ts >= since) pushes, count(*) filter (event_type in ('click', 'view') and ts >= since and user_id % 4 = 0) failed_pushes from events, a)
-    select * from r, l, e"""
+      count(*) filter (event_type in ('click', 'view') and ts >= since) total_pushes, count(*) filter (event_type = 'click' and ts >= since) instant_pushes, count(*) filter (event_type = 'view' and ts >= since) digest_pushes from events, a)
+    select total_runs, success_rate_pct, cost::double total_llm_cost, (floor(cost::double / total_runs * 1e6 + 0.5) / 1e6)::double avg_llm_cost_per_run, (floor(secs::double / total_runs / 60 * 10 + 0.5) / 10)::double avg_run_duration_minutes,
+      new_events, active_events, ((20 * new_events + total_runs) // (2 * total_runs) / 10.0)::double avg_new_events_per_run, total_pushes, instant_pushes, digest_pushes, llm_calls, llm_failures, window_start, window_end from r, l, e"""
 )
 def m11_health(spark, d):
     e, o = B.table(spark, d, "events"), B.table(spark, d, "orders")
-    return M.health_snapshot(B.fetch_runs(o), B.usage(B.table(spark, d, "lineitem")), B.news_events(e), B.pushes(e), _as_of(o, "o_orderdate"))
+    run = B.fetch_runs(o).withColumn("finished_at", F.timestamp_add("SECOND", (F.col("id") % 3000).cast("int"), F.col("started_at")))
+    return M.health_snapshot(run, B.usage(B.table(spark, d, "lineitem")), B.news_events(e), B.pushes(e), _as_of(o, "o_orderdate"))
 
 
 @query(
@@ -214,10 +216,28 @@ def d22_run_status(spark, d):
 # Expressions --------------------------------------------------------------------------------------------------------
 
 
-@query("""select event_id, (json_extract(props, '$.k'))::int k, event_type || ':' || coalesce(json_extract_string(props, '$.k'), 'none') label from events""")
+@query(
+    """with x as (select event_id e, user_id u, event_id % 4 = 0 flash, json_extract_string(props, '$.k') k from events where event_id % 5 <> 4),
+    i as (select *, unnest([1, 2, 3]) pos from x)
+    select 's' || e source_id, case when flash then 'flash_feed' else 'ranked_news' end content_kind, case when pos = 1 then 'a' || e else sha256('x' || (u % 7) || '|' || case when pos = 2 then 'https://h.example/' || u else 'only ' || coalesce(k, '') end) end source_item_id,
+      case pos when 1 then 'title ' || e when 2 then '' else 'only ' || coalesce(k, '') end title, case when pos = 2 then 'https://h.example/' || u end url, case when pos = 1 then 'hover ' || u end summary,
+      case when not flash then case pos when 3 then 4 else pos end end::int "rank", case when not flash then 4 end::int source_list_size from i"""
+)
 def a1_json_parse(spark, d):
-    k = F.from_json("props", "struct<k:int>")["k"]
-    return B.table(spark, d, "events").select("event_id", k.alias("k"), F.concat_ws(":", "event_type", F.coalesce(k.cast("string"), F.lit("none"))).alias("label"))
+    """List bodies of four entries, of which one has neither title nor url; every fifth source has failed."""
+    from ..sources.feeds import list_items
+
+    e = B.table(spark, d, "events")
+    s = lambda c: F.col(c).cast("string")
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))
+    entries = F.concat(
+        F.lit('[{"id": "a'), s("event_id"), F.lit('", "title": " title '), s("event_id"), F.lit('", "extra": {"hover": "hover '), s("user_id"), F.lit('"}}, {"mobileUrl": "https://h.example/'), s("user_id"),
+        F.lit('"}, {"id": "none"}, {"name": "only '), k, F.lit('"}]'),
+    )
+    body = F.concat(F.lit('{"status": "'), F.when(F.col("event_id") % 5 == 4, "error").otherwise("success"), F.lit('", "items": '), entries, F.lit("}"))
+    kind = F.when(F.col("event_id") % 4 == 0, "flash_feed").otherwise("ranked_news")
+    bodies = e.select(F.concat(F.lit("s"), s("event_id")).alias("source_id"), F.concat(F.lit("x"), (F.col("user_id") % 7).cast("string")).alias("external_id"), kind.alias("content_kind"), body.alias("body"))
+    return list_items(bodies).select("source_id", "content_kind", "source_item_id", "title", "url", "summary", "rank", "source_list_size")
 
 
 @query(
@@ -251,10 +271,10 @@ _LETTERS = "regexp_replace(lower(title), '[^\\p{L}\\p{Nd}]', '', 'g')"
 _GRAMS = "list_distinct(list_concat(list_transform(range(1, length(l)), lambda i: substring(l, i, 2)), list_transform(range(1, length(l) - 1), lambda i: substring(l, i, 3))))"
 
 
-@query(f"with t as (select doc_id, left(text, 60) title from documents), l as (select doc_id, {_LETTERS} l from t) select doc_id, l normal, len({_GRAMS})::int n_grams from l")
+@query(f"with t as (select doc_id, coalesce(text, '') title from documents), l as (select doc_id, {_LETTERS} l from t) select doc_id, l normal, len({_GRAMS})::int n_grams from l")
 def i3_ngrams(spark, d):
-    t = B.table(spark, d, "documents").select("doc_id", F.left("text", F.lit(60)).alias("title"))
-    return t.select("doc_id", X.letters_and_digits("title").alias("normal"), F.size(X.char_ngrams("title")).alias("n_grams"))
+    t = B.table(spark, d, "documents")
+    return t.select("doc_id", X.letters_and_digits("text").alias("normal"), F.size(X.char_ngrams("text")).alias("n_grams"))
 
 
 @query(
@@ -304,13 +324,13 @@ def i11_ids(spark, d):
 
 
 @query(
-    """with t as (select doc_id, source, trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g')) t, trim(regexp_replace(substring(text, 41, 80), '\\s+', ' ', 'g')) s from documents)
+    """with t as (select doc_id, source, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) t, trim(regexp_replace(text, '\\s+', ' ', 'g')) s from documents)
     select doc_id, case when source = 'src1' then false when source = 'src2' then true when length(s) >= 40 and regexp_matches(s, '[\\x{4E00}-\\x{9FFF}]{2,}|[A-Z][A-Za-z0-9_-]{2,}') then false when length(t) < 14 then true
     else not regexp_matches(t, '[\\x{4E00}-\\x{9FFF}]{2,}|[A-Z][A-Za-z0-9_-]{2,}') end need from t"""
 )
 def b7_need_enrichment(spark, d):
     t = B.table(spark, d, "documents")
-    return t.select("doc_id", X.need_enrichment("source", F.left("text", F.lit(40)), F.substring("text", 41, 80), ["src2"], ["src1"]).alias("need"))
+    return t.select("doc_id", X.need_enrichment("source", F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"), ["src2"], ["src1"]).alias("need"))
 
 
 @query(
@@ -339,15 +359,31 @@ def b13_hard_filters(spark, d):
 
 
 @query(
-    """select n_name, count(*) n_evidence, count(distinct lower(o_orderpriority)) sources, count(distinct case when l_returnflag = 'R' then l_suppkey end) ranked_sources, sum(l_quantity::decimal(18, 2))::double heat,
-    min(l_shipdate) first_seen from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderstatus = 'F' group by 1"""
+    """with l as (select l_orderkey, l_linenumber, min(l_returnflag) l_returnflag, min(l_suppkey) l_suppkey, min(l_quantity) l_quantity from lineitem group by 1, 2),
+    i as (select o_custkey event_id, l_orderkey * 10 + l_linenumber item, o_orderpriority source, case when l_returnflag = 'R' then l_suppkey end rk, l_quantity q from l join orders on l_orderkey = o_orderkey
+      where o_orderstatus = 'F' and l_linenumber < 6 and o_custkey % 10 > 0)
+    select event_id, count(*) n_evidence, count(distinct lower(source)) sources, count(rk) n_ranked, min(rk) best_rank, sum(q::decimal(18, 2))::double heat, arg_min('t-' || item, (coalesce(rk, 2147483647), item)) first_title from i group by 1"""
 )
 def c1_scoring_inputs(spark, d):
-    li, o, c, n = (B.table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
-    rows = li.join(o.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").agg(
-        F.count("*").alias("n_evidence"), F.count_distinct(F.lower("o_orderpriority")).alias("sources"), F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("ranked_sources"),
-        F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("heat"), F.min("l_shipdate").alias("first_seen"),
+    """Line items as content, customers as events: items of open orders belong to other runs, sixth lines are inactive,
+    every tenth event is merged away."""
+    li, o, c = (B.table(spark, d, t) for t in ("lineitem", "orders", "customer"))
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(x).alias(x) for x in ("l_returnflag", "l_suppkey", "l_quantity", "l_shipdate")])
+    item = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    snap = rows.select(
+        F.when(F.col("o_orderstatus") == "F", "r1").otherwise("r2").alias("run_id"), item.alias("content_item_id"), F.col("o_orderpriority").alias("source"), F.col("o_orderpriority").alias("source_id"),
+        F.lit("ranked_news").alias("content_kind"), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey").cast("int")).alias("rank"), F.col("l_quantity").cast("double").alias("normalized_rank_score"), F.lit(0.0).alias("freshness_score"),
+    )
+    event_item = rows.select(F.col("o_custkey").alias("event_id"), item.alias("content_item_id"), F.col("l_shipdate").alias("matched_at"), (F.col("l_linenumber") < 6).alias("is_active"))
+    content = li.select(item.alias("id"), F.concat(F.lit("t-"), item.cast("string")).alias("title"), F.lit(None).cast("string").alias("url"))
+    events = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 == 0, "Merged").otherwise("Active").alias("status"))
+    out = scoring.scoring_inputs(snap, event_item, events, content, "r1")
+    heat = F.aggregate("evidence", F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["normalized_rank_score"].cast("decimal(18,2)")).cast("decimal(28,2)"))
+    ranked = F.filter("evidence", lambda x: x["rank"].isNotNull())
+    return out.select(
+        "event_id", F.size("evidence").cast("long").alias("n_evidence"), F.size(F.array_distinct(F.transform("evidence", lambda x: F.lower(x["source"])))).cast("long").alias("sources"), F.size(ranked).cast("long").alias("n_ranked"),
+        F.get(ranked, F.lit(0))["rank"].cast("long").alias("best_rank"), heat.cast("double").alias("heat"), F.get("evidence", F.lit(0))["title"].alias("first_title"),
     )
 
 
@@ -380,16 +416,36 @@ def c6_vector_topk(spark, d):
 @query(
     _UNIT + f""", s as (select a.vec_id q, b.vec_id e, {_DOT} sim from u a, u b), k as (select q, e, sim from s where sim >= 0.3 qualify row_number() over (partition by q order by sim desc, e % 7 desc, e) <= 16),
     p as (select least(q, e) lo, greatest(q, e) hi, max(sim) sim from k where q <> e group by 1, 2)
-    select case when lo % 50 > hi % 50 then lo else hi end source_id, case when lo % 50 > hi % 50 then hi else lo end target_id, round(sim, 6) similarity from p where (lo + hi) % 10 <> 0"""
+    select case when lo % 50 > hi % 50 then lo else hi end source_id, case when lo % 50 > hi % 50 then hi else lo end target_id, round(sim, 6) similarity from p"""
 )
 def c7_pairs(spark, d):
     v = _vectors(spark, d).withColumn("first_seen_at", F.col("event_id") % 50)
-    near = merging.similar_pairs(v, Config(merge_similarity=0.3))
-    done = near.select("source_id", "target_id").where("(source_id + target_id) % 10 = 0")
-    lo, hi = F.least("source_id", "target_id"), F.greatest("source_id", "target_id")
-    d2 = done.select(lo.alias("lo"), hi.alias("hi")).distinct()
-    out = near.withColumns({"lo": lo, "hi": hi}).join(d2, ["lo", "hi"], "left_anti")
-    return out.select("source_id", "target_id", F.round("similarity", 6).alias("similarity"))
+    return merging.similar_pairs(v, Config(merge_similarity=0.3)).select("source_id", "target_id", F.round("similarity", 6).alias("similarity"))
+
+
+_C7 = _UNIT + f""", s as (select a.vec_id q, b.vec_id e, {_DOT} sim from u a, u b), k as (select q, e, sim from s where sim >= 0.3 qualify row_number() over (partition by q order by sim desc, e % 7 desc, e) <= 16),
+    p as (select least(q, e) lo, greatest(q, e) hi, max(sim) sim from k where q <> e group by 1, 2)"""
+
+
+@query(
+    _C7 + """, d as (select vec_id a, vec_id + 1 + vec_id % 40 b from embeddings union all select vec_id + 1 + vec_id % 30, vec_id from embeddings where vec_id % 3 = 0)
+    select case when lo % 50 > hi % 50 then lo else hi end source_id, case when lo % 50 > hi % 50 then hi else lo end target_id from p where not exists (select 1 from d where (a = lo and b = hi) or (a = hi and b = lo))"""
+)
+def c8_pair_exclusion(spark, d):
+    v = _vectors(spark, d).withColumn("first_seen_at", F.col("event_id") % 50)
+    e = F.col("event_id")
+    done = v.select(e.alias("source_id"), (e + 1 + e % 40).alias("target_id")).unionByName(v.where("event_id % 3 = 0").select((e + 1 + e % 30).alias("source_id"), e.alias("target_id")))
+    return merging.similar_pairs(v, Config(merge_similarity=0.3), done).select("source_id", "target_id")
+
+
+@query(
+    _C7 + """, r as (select case when lo % 50 > hi % 50 then lo else hi end s, case when lo % 50 > hi % 50 then hi else lo end t, sim from p), o as (select *, row_number() over (order by sim desc, t % 7 desc, s, t) i from r qualify i <= 15)
+    select s source_id, t target_id, i::int place from o"""
+)
+def f5_pair_topk(spark, d):
+    """The pairs that resolution looks at, in its order."""
+    v = _vectors(spark, d).withColumn("first_seen_at", F.col("event_id") % 50)
+    return merging.ordered_pairs(merging.similar_pairs(v, Config(merge_similarity=0.3)), Config().merge_candidate_limit).select("source_id", "target_id", "place")
 
 
 _SQL_TOK = lambda c: "list_distinct(list_filter(regexp_split_to_array(lower(" + c + "), '[^\\p{L}\\p{Nd}]+'), lambda x: length(x) >= 2 and not list_contains([" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "], x)))"
@@ -465,7 +521,8 @@ def scored(spark, d):
     marked = snap.join(F.broadcast(last), F.lit(True))
     now, before = marked.where("day = last_day").drop("last_day"), marked.where("day < last_day").drop("last_day")
     prior = before.groupBy("event_id", "day").agg(F.coalesce(F.sum(F.col("normalized_rank_score").cast("decimal(20,10)")), F.lit(0)).cast("double").alias("heat_value")).withColumn("calculated_at", F.col("day").cast("timestamp_ntz"))
-    return scoring.score_run(now, B.event_state(e), prior, _at(), CFG)
+    weights = spark.createDataFrame([("error-1", 1.5), ("signup-2", 1.2), ("view-3", 0.5)], "source string, weight double")
+    return scoring.score_run(now, B.event_state(e), prior, _at(), CFG, weights)
 
 
 _SCORED = f"""
@@ -473,12 +530,12 @@ with s as (select user_id, event_id, ts, ts::date dd, event_type || '-' || (even
     case when event_type in ('view', 'click') then (event_id % 21 + 1) end rk, case when event_type in ('view', 'click') then 1.0::double - (event_id % 21) / 20.0::double end nrs,
     case when event_type in ('error', 'signup') then 1.0::double / (1.0::double + abs(datediff('day', ts::date, date '2024-01-31'))::double) else 0.0::double end fr from events),
 b as (select max(dd) ld from s),
-t as (select user_id, count(distinct case when ranked or flash then src end) sources, count(distinct case when ranked then src end) rsrc, count(distinct case when flash then src end) fsrc, count(*) filter (flash) nf,
+t as (select user_id, coalesce(max(case src when 'error-1' then 1.5 when 'signup-2' then 1.2 when 'view-3' then 0.5 end), 1.0) mw, count(distinct case when ranked or flash then src end) sources, count(distinct case when ranked then src end) rsrc, count(distinct case when flash then src end) fsrc, count(*) filter (flash) nf,
     coalesce((sum(case when ranked then nrs::decimal(20, 10) end)::double / greatest(count(*) filter (ranked), 1)), 0.0) avgn, coalesce((sum(case when flash then fr::decimal(20, 10) end)::double / greatest(count(*) filter (flash), 1)), 0.0) fresh,
     (coalesce(sum(case when ranked then nrs::decimal(20, 10) end), 0) + coalesce(sum(case when flash then fr::decimal(20, 10) end), 0))::double heat from s, b where dd = ld group by 1),
 p as (select user_id, list(h order by dd) past from (select user_id, dd, coalesce(sum(nrs::decimal(20, 10)), 0)::double h from s, b where dd < ld and dd >= timestamp '{AS_OF}' - interval 960 hours group by 1, 2) group by 1),
 f as (select user_id, min(ts) first_seen from s group by 1),
-q as (select t.*, coalesce(past, []::double[]) past, list_append(coalesce(past, []::double[]), heat) x, first_seen, user_id % 7 = 0 react, user_id % 11 = 0 black, user_id % 3 pc, case when user_id % 5 > 0 then user_id % 4 end lsc,
+q as (select t.*, coalesce(past, []::double[]) past, list_append(coalesce(past, []::double[]), heat) x, first_seen, user_id % 7 = 0 react, user_id % 11 = 0 black, user_id % 3 pc, user_id % 9 = 0 never, case when user_id % 5 > 0 then user_id % 4 end lsc,
     case when user_id % 2 = 0 then 0.5::double end lrs, case when user_id % 3 > 0 then 60.0::double end lps from t left join p using (user_id) join f using (user_id)),
 w as (select *, {_SMOOTH} w from q), m as (select *, len(w) // 2 m from w),
 c as (select *, greatest(0.0, least(1.0, sources / 3.0::double)) cov, greatest(0.0, least(1.0, avgn)) rank_score, case when len(w) < 3 then 0.0 else greatest(0.0, least(1.0, (list_avg(w[m + 1:]) - list_avg(w[1:m])) / greatest(list_avg(w[1:m]), 0.2))) end::double trend,
@@ -487,9 +544,9 @@ c as (select *, greatest(0.0, least(1.0, sources / 3.0::double)) cov, greatest(0
     case when react then 10.0 else 0.0 end bonus, list_reduce(x, lambda a, b: a + b) xs from m),
 d as (select *, 100.0::double * (0.35::double * cov + 0.25::double * rank_score + 0.20::double * trend + 0.10::double * pers + 0.10::double * 0.0) + 15.0::double * flash + bonus total from c),
 r as (select *, list_filter([case when rsrc >= 3 and rank_score >= 0.45 then 'coverage_rank' end, case when flash >= 0.45 and fsrc >= 3 then 'flash_multi_source' end, case when flash >= 0.45 and nf >= 3 then 'flash_repeated' end,
-    case when flash >= 0.45 and react and fsrc > 0 then 'flash_follow_up' end, case when len(w) >= 3 and xs >= 1.5 and trend > 0 then 'rising_trend' end, case when react then 'reactivation' end], lambda z: z is not null) reasons from d),
+    case when flash >= 0.45 and react and fsrc > 0 then 'flash_follow_up' end, case when flash >= 0.45 and mw > 1 then 'flash_trusted_source' end, case when len(w) >= 3 and xs >= 1.5 and trend > 0 then 'rising_trend' end, case when react then 'reactivation' end], lambda z: z is not null) reasons from d),
 g as (select *, not black and len(reasons) > 0 elig from r),
-k as (select *, case when not elig then null when pc = 0 and (sources >= 3 or list_has_any(reasons, ['flash_multi_source', 'flash_repeated', 'flash_follow_up'])) then 'first_push' when pc = 0 then null
+k as (select *, case when not elig then null when (pc = 0 or never) and (sources >= 3 or list_has_any(reasons, ['flash_multi_source', 'flash_repeated', 'flash_follow_up', 'flash_trusted_source'])) then 'first_push' when pc = 0 or never then null
     when lsc is null or sources - lsc >= 2 then 'source_increase' when rsrc > 0 and (lrs is null or rank_score - lrs >= 0.15) then 'rank_improvement' when lps is null or total - lps >= 12.0 then 'score_improvement' end push_reason,
     case when react then 'FollowUp' when trend >= 0.35 and rank_score >= 0.45 then 'Escalating' when sources >= 3 or trend > 0 then 'Expanding' when coalesce(past[-1], 0.0) > heat and len(w) >= 3 then 'Cooling' else 'Initial' end stage from g)
 """
@@ -510,11 +567,19 @@ def l6_should_push(spark, d):
     return scored(spark, d).where("push_reason is not null").select("event_id", "push_reason", "push_count")
 
 
-@query(_SCORED + "select user_id event_id, stage, array_to_string(list_filter(['first_seen', case when sources >= 3 then 'source_expansion' end, case when react then 'reactivation' end, case when list_contains(reasons, 'rising_trend') then 'heat_rising' end], lambda z: z is not null)[1:3], ',') milestones from k")
+@query(_SCORED + "select user_id event_id, stage, array_to_string(list_filter(['first_seen', case when sources > 1 then 'source_expansion' end, case when react then 'reactivation' end, case when trend > 0 and not (sources > 1 and react) then 'heat_rising' end], lambda z: z is not null), ',') milestones from k")
 def l7_stage(spark, d):
     return scored(spark, d).select("event_id", "stage", F.array_join("milestones", ",").alias("milestones"))
 
 
+@query(
+    _SCORED + """select user_id event_id, case when react then 'reactivated' when sources < 3 then 'source_count_below_threshold' when elig then 'eligible_before_judge'
+    when sources >= 2 or heat >= 1.5 or flash >= 0.45 then 'near_eligibility' else 'not_near_eligibility' end gate from k"""
+)
+def b20_judge_gate(spark, d):
+    return scored(spark, d).select("event_id", F.col("judge_gate").alias("gate"))
+
+
 # State --------------------------------------------------------------------------------------------------------------
 
 
@@ -529,27 +594,43 @@ def h3_upsert(spark, d):
     return state.merge_frames(o.where("o_orderkey % 3 < 2"), new, ["o_orderkey"], {"o_orderdate": lambda a, b: F.greatest(a, b)}, keep=("o_orderstatus",))
 
 
-@query("select event_id, user_id, event_type from events where event_id % 2 = 0 union all select event_id, user_id, 'new' from events where event_id % 3 = 0 and event_id % 2 = 1")
+@query(
+    """with n as (select user_id k, event_id, event_type from events qualify row_number() over (partition by user_id order by ts, event_id) = 1)
+    select user_id k, min(event_id) event_id, 'old' event_type from events where user_id % 2 = 0 group by 1 union all select k, event_id, event_type from n where k % 2 = 1"""
+)
 def h2_insert_ignore(spark, d):
-    e = B.table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return state.insert_ignore(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("event_type", F.lit("new")), ["event_id"])
+    e = B.table(spark, d, "events")
+    old = e.where("user_id % 2 = 0").groupBy(F.col("user_id").alias("k")).agg(F.min("event_id").alias("event_id")).withColumn("event_type", F.lit("old"))
+    new = state.insert_ignore(old.withColumn("ts", F.lit(None).cast("timestamp_ntz")), e.select(F.col("user_id").alias("k"), "event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts")), ["k"], F.asc("ts"), F.asc("event_id"))
+    return new.drop("ts")
 
 
 @query(
-    """with o as (select event_id, 'a' k from events where event_id % 2 = 0), n as (select event_id, row_number() over (partition by event_id order by event_id) from events where event_id % 3 = 0)
-    select case when o.event_id is null then 'inserted' when n.event_id is null then 'kept' else 'updated' end action, count(*) n from o full join n on o.event_id = n.event_id group by 1"""
+    """select event_id::varchar dedup_key, 'ci:' || left(sha256(event_type || '|' || event_id), 16) id, case when event_id % 3 = 0 then 'new ' else 'old ' end || coalesce(props, '') title,
+    case when event_id % 2 = 0 and event_id % 7 = 0 then 'enriched' when event_id % 3 = 0 then 's-' || user_id else 'before' end summary,
+    case when event_id % 2 = 0 and event_id % 7 = 0 then 'Succeeded' when event_id % 2 = 0 and event_id % 3 > 0 then 'Pending' when user_id % 2 = 0 then 'Pending' else 'Skipped' end enrichment_status,
+    case when event_id % 2 = 0 then 'r1' else 'r2' end created_in, case when event_id % 3 = 0 then 'r2' else 'r1' end last_seen_run_id, case when event_id % 3 = 0 then user_id else 0 end last_seen_rank,
+    case when event_id % 2 = 1 then 'inserted' when event_id % 3 = 0 then 'updated' else 'kept' end action from events where event_id % 2 = 0 or event_id % 3 = 0"""
 )
 def h1_content_upsert(spark, d):
+    """Two runs; of the first one's items, some have been enriched in between."""
     e = B.table(spark, d, "events")
     key = F.col("event_id").cast("string")
     t0 = F.lit("2024-01-01").cast("timestamp_ntz")
     empty = spark.createDataFrame([], "dedup_key string, id string, title string, url string, summary string, enrichment_status string, created_at timestamp_ntz, last_seen_at timestamp_ntz, last_seen_run_id string, last_seen_rank bigint")
 
-    def batch(rows):
-        return rows.select(F.col("event_id").alias("order"), key.alias("dedup_key"), F.col("event_type").alias("source"), key.alias("source_item_id"), F.col("props").alias("title"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("summary"), F.col("user_id").alias("rank"), (F.col("user_id") % 2 == 0).alias("need_enrichment"))
+    def batch(rows, title, summary, rank, need):
+        return rows.select(
+            F.col("event_id").alias("order"), key.alias("dedup_key"), F.col("event_type").alias("source"), key.alias("source_item_id"), F.concat(F.lit(title), F.coalesce("props", F.lit(""))).alias("title"),
+            F.lit(None).cast("string").alias("url"), summary.alias("summary"), rank.alias("rank"), need.alias("need_enrichment"),
+        )
 
-    old = state.ingest(empty, batch(e.where("event_id % 2 = 0")), "r1", t0).drop("action")
-    return state.ingest(old, batch(e.where("event_id % 3 = 0")), "r2", _at()).groupBy("action").agg(F.count("*").alias("n"))
+    old = state.ingest(empty, batch(e.where("event_id % 2 = 0"), "old ", F.lit("before"), F.lit(None).cast("bigint"), F.lit(True)), "r1", t0).drop("action")
+    done = F.col("dedup_key").cast("bigint") % 7 == 0
+    old = old.withColumn("summary", F.when(done, "enriched").otherwise(F.col("summary"))).withColumn("enrichment_status", F.when(done, "Succeeded").otherwise(F.col("enrichment_status")))
+    new = batch(e.where("event_id % 3 = 0"), "new ", F.concat(F.lit("s-"), F.col("user_id").cast("string")), F.col("user_id"), F.col("user_id") % 2 == 0)
+    out = state.ingest(old, new, "r2", _at())
+    return out.select("dedup_key", "id", "title", "summary", "enrichment_status", F.when(F.col("created_at") == t0, "r1").otherwise("r2").alias("created_in"), "last_seen_run_id", F.col("last_seen_rank").cast("bigint").alias("last_seen_rank"), "action")
 
 
 @query(
@@ -638,10 +719,10 @@ def l1_decide(spark, d):
 
 
 @query(
-    """select user_id source_item, case when value > 50 then value else null end v, case when coalesce(nullif(trim(event_type), ''), 'x') = 'click' then 'c' else event_type end t, strftime(ts + interval 8 hours, '%H:%M') slot from events where event_id % 50 = 0"""
+    """select user_id source_item, case when value > 50 then value else null end v, case when coalesce(nullif(trim(event_type), ''), 'x') = 'click' then 'c' else event_type end t, strftime(ts + interval 8 hours, '%H:%M') slot from events"""
 )
 def i28_slots(spark, d):
-    e = B.table(spark, d, "events").where("event_id % 50 = 0")
+    e = B.table(spark, d, "events")
     return e.select(F.col("user_id").alias("source_item"), F.when(F.col("value") > 50, F.col("value")).alias("v"), F.when(X.first_text("event_type") == "click", "c").otherwise(F.col("event_type")).alias("t"), digest.local_slot(F.col("ts").cast("timestamp"), "Asia/Shanghai").alias("slot"))
 
 
@@ -691,11 +772,11 @@ def c5_embedding_inputs(spark, d):
     return runs.embedding_inputs(ev, items, content, et, tag)
 
 
-@query("select doc_id from documents where sha256(left(text, 20)) <> sha256(left(text, 10)) or doc_id % 4 = 0 order by doc_id limit 50")
+@query("select doc_id from documents where doc_id % 4 = 0 or contains(text, chr(10)) order by doc_id limit 50")
 def c4_embedding_todo(spark, d):
     t = B.table(spark, d, "documents")
-    want = t.select("doc_id", F.sha2(F.left("text", F.lit(20)), 256).alias("source_text_hash"))
-    have = t.where("doc_id % 4 > 0").select("doc_id", F.sha2(F.left("text", F.lit(10)), 256).alias("source_text_hash"))
+    want = t.select("doc_id", F.sha2("text", 256).alias("source_text_hash"))
+    have = t.where("doc_id % 4 > 0").select("doc_id", F.sha2(F.replace("text", F.lit("\n"), F.lit("")), 256).alias("source_text_hash"))
     return digest.embedding_todo(want, have, ["doc_id"], 50).select("doc_id")
 
 
@@ -718,16 +799,24 @@ def b4_recall_window(spark, d):
 
 
 @query(
-    """select user_id event_id, (min(ts) < max(ts) - interval 20 days) and max(ts) >= timestamp '2024-01-29' and max(ts) <= timestamp '2024-02-01' reactivated, count(*) n from events group by 1"""
+    """select user_id event_id, min(ts) < timestamp '2024-01-29' and max(ts) >= timestamp '2024-01-29' and max(ts) <= timestamp '2024-01-31 12:00:00' reactivated, count(*) n from events group by 1"""
 )
 def b17_reactivated(spark, d):
     e = B.table(spark, d, "events").groupBy(F.col("user_id").alias("event_id")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
     ntz = lambda t: F.lit(t).cast("timestamp_ntz")
-    return e.select("event_id", ((F.col("first") < F.timestamp_add("DAY", F.lit(-20), F.col("last"))) & (F.col("last") >= ntz("2024-01-29")) & (F.col("last") <= ntz("2024-02-01"))).alias("reactivated"), "n")
+    return e.select("event_id", runs.reactivated("first", "last", ntz("2024-01-29"), ntz("2024-01-31 12:00:00")).alias("reactivated"), "n")
 
 
-@query("select user_id event_id, value score, event_type || ' | ' || replace('first_push', '_', ' ') || ' | ' || printf('score %.1f, heat %.2f, %d sources', (user_id % 100)::double, (user_id % 7)::double, user_id) message from events where event_id % 100 = 0")
+@query(
+    """select event_id, '[' || case when user_id % 3 = 0 then 'Initial' else 'Expanding' end || '] ' || case when user_id % 2 = 0 then coalesce(props, '') else 'now ' || user_id end || ' WhyNow=' || case when user_id % 5 = 0 then 'first push' else 'source increase' end
+    || ',Source=' || event_type || ', src-' || user_id || ',Score=' || printf('%.1f', (user_id % 100)::double) || ',Heat=' || printf('%.2f', (user_id % 7)::double / 4) || '。' message,
+    'instant:' || event_id || ':run-' || (event_id % 3) || ':' || case when user_id % 5 = 0 then 'first_push' else 'source_increase' end dedup_key from events"""
+)
 def i39_messages(spark, d):
-    e = B.table(spark, d, "events").where("event_id % 100 = 0")
-    msg = runs.push_message(F.col("event_type"), F.lit("first_push"), (F.col("user_id") % 100).cast("double"), (F.col("user_id") % 7).cast("double"), F.col("user_id"))
-    return e.select(F.col("user_id").alias("event_id"), F.col("value").alias("score"), msg.alias("message"))
+    e = B.table(spark, d, "events")
+    u = F.col("user_id")
+    stage, summary = F.when(u % 3 == 0, F.lit(" ")).otherwise("Expanding"), F.when(u % 2 == 1, F.concat(F.lit("now "), u.cast("string")))
+    reason = F.when(u % 5 == 0, "first_push").otherwise("source_increase")
+    sources = F.array(F.col("event_type"), F.upper("event_type"), F.concat(F.lit("src-"), u.cast("string")))
+    msg = runs.push_message(stage, summary, F.col("props"), reason, sources, (u % 100).cast("double"), (u % 7) / F.lit(4.0))
+    return e.select("event_id", msg.alias("message"), runs.push_key(F.col("event_id").cast("string"), F.concat(F.lit("run-"), (F.col("event_id") % 3).cast("string")), reason).alias("dedup_key"))

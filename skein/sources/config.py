@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -51,3 +52,52 @@ class Config:
         if self.history_hours < self.stale_hours:
             bad.append("history_hours must not be under stale_hours")
         return bad
+
+
+# The keys of a configuration file.
+PATHS = {
+    "history_hours": "analysis.historyHours", "push_times": "analysis.push.pushTime", "push_count": "analysis.push.pushCount", "source_count": "analysis.event.sourceCount",
+    "rank_threshold": "analysis.event.normalizedRankThreshold", "trend_window_hours": "analysis.event.trendWindowHours", "stale_hours": "analysis.event.staleHours",
+    "archive_recall_days": "analysis.event.archiveRecallDays", "candidate_limit": "analysis.event.candidateLimit", "merge_threshold": "analysis.event.mergeThreshold",
+    "rule_merge_threshold": "analysis.event.ruleMergeThreshold", "stale_merge_threshold": "analysis.event.staleMergeThreshold", "merge_similarity": "analysis.event.mergeSimilarityThreshold",
+    "merge_candidate_limit": "analysis.event.mergeCandidateLimit", "merge_confidence": "analysis.event.mergeLlmConfidenceThreshold", "min_trend_samples": "analysis.event.minTrendSamples",
+    "min_trend_heat": "analysis.event.minTrendHeat", "repeat_source_add": "analysis.repeatPush.sourceAddThreshold", "repeat_rank_improve": "analysis.repeatPush.rankScoreImproveThreshold",
+    "repeat_score_improve": "analysis.repeatPush.scoreImproveThreshold", "dimensions": "llm.embedding.dimensions", "embedding_budget": "llm.embedding.maxRequestsPerRun",
+    "vector_similarity": "llm.embedding.vectorSimilarityThreshold", "vector_limit": "llm.embedding.vectorCandidateLimit", "time_zone": "system.timeZone",
+    "enrichment_budget": "enrichment.maxRequestsPerRun", "min_title_length": "enrichment.minTitleLength", "retry_cooldown_hours": "enrichment.retryCooldownHours", "blacklist": "filters.blacklistKeywords",
+}
+#: Spellings of earlier versions, and keys that are refused with advice.
+RENAMED = {"web_extract_url": "webExtractUrl"}
+REFUSED = {"maxParallelLlm": "set maxParallel of llm.cluster, llm.judge, llm.tagging and llm.embedding instead"}
+
+
+def from_tree(tree: dict) -> Config:
+    """A configuration from nested keys; unknown ones are ignored, values that break a rule are refused."""
+    values: dict = {}
+    for f in fields(Config):
+        node = tree
+        for part in PATHS.get(f.name, "").split("."):
+            node = node.get(part) if isinstance(node, dict) else None
+        if node is not None:
+            values[f.name] = tuple(node) if f.name in ("push_times", "blacklist") else node
+    cfg = Config(**values)
+    if bad := cfg.validate():
+        raise ValueError("; ".join(bad))
+    return cfg
+
+
+def load_config(path: str) -> Config:
+    """Reads a YAML file (with PyYAML, where it is installed)."""
+    import yaml
+
+    text = Path(path).read_text(encoding="utf-8")
+    for line in text.splitlines():
+        key = line.strip().split(":", 1)[0]
+        if key in REFUSED and ":" in line:
+            raise ValueError(f"{key} is no longer supported: {REFUSED[key]}")
+    for old, new in RENAMED.items():
+        text = re.sub(rf"\b{old}:", f"{new}:", text)
+    tree = yaml.safe_load(text)
+    if not isinstance(tree, dict):
+        raise ValueError(f"{path} is empty")
+    return from_tree(tree)

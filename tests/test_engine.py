@@ -29,8 +29,8 @@ def evidence(spark, kind, n=3, nrs=0.9, fresh=1.0):
 
 
 def events(spark, push_count=0, sources=None, blacklisted=False):
-    rows = [("e", datetime(2026, 5, 5, 5), False, blacklisted, push_count, sources, None, None)]
-    return spark.createDataFrame(rows, "event_id string, first_seen_at timestamp, reactivated boolean, is_blacklisted boolean, push_count int, last_push_source_count int, last_push_rank_score double, last_push_score double")
+    rows = [("e", datetime(2026, 5, 5, 5), False, blacklisted, push_count, datetime(2026, 5, 5, 6) if push_count else None, sources, None, None)]
+    return spark.createDataFrame(rows, "event_id string, first_seen_at timestamp, reactivated boolean, is_blacklisted boolean, push_count int, last_pushed_at timestamp, last_push_source_count int, last_push_rank_score double, last_push_score double")
 
 
 def prior(spark, heats=()):
@@ -109,12 +109,15 @@ def test_blacklist(spark):
 
 def test_bounded_lists(spark):
     old, new = F.array(F.lit("A"), F.lit("b")), F.array(F.lit("B"), F.lit("c"))
-    assert value(spark, X.prepend_unique(old, new, 3)) == ["B", "c", "A"]
+    assert value(spark, X.prepend_unique(old, new, 3)) == ["c", "A", "b"]
     assert value(spark, X.append_unique(old, new, 3)) == ["A", "b", "c"]
 
 
 def test_anchors(spark):
-    assert X.anchors_of("OpenAI GPT-5 model in Paris") == ["OpenAI GPT-5", "OpenAI", "GPT-5", "Paris"]
+    assert X.anchors_of("OpenAI GPT-5 model in Paris") == ["Paris", "OpenAI GPT-5", "GPT-5", "OpenAI"]
+    assert X.anchors_of("It said On 4th") == ["On 4th", "4th", "On", "It"] and X.anchors_of("a an if x") == []
+    assert X.anchors_of(" ".join(f"A{i} and" for i in range(12))) == [f"A{i}" for i in range(11, 3, -1)]
+    assert X.anchors_of("Bell Labs", "Labs bell") == ["Bell Labs", "Labs", "Bell"]
     assert X.anchors_of(None) == []
     df = spark.createDataFrame([("EU AI Act",), (None,)], "t string")
     assert df.select(X.anchors("t")).first()[0][0] == "EU AI Act"
@@ -169,12 +172,192 @@ def test_hard_filters(spark, a, b, want):
 
 
 def test_merge_resolution_and_lineage(spark):
-    pairs = spark.createDataFrame([("b", "a", 0.9), ("c", "b", 0.8), ("d", "a", 0.75)], "source_id string, target_id string, similarity double")
+    pairs = spark.createDataFrame([("b", "a", 0.9, 1), ("c", "b", 0.8, 1), ("d", "a", 0.75, 1), ("e", "f", 0.75, 2)], "source_id string, target_id string, similarity double, target_last_seen_at int")
     kept = merging.resolve_pairs(pairs, 15)
-    assert sorted((r[0], r[1]) for r in kept.collect()) == [("b", "a"), ("d", "a")]
-    items = spark.createDataFrame([("b", "c1", None), ("z", "c2", None)], "event_id string, content_item_id string, created_by_merge_id string")
-    got = {r["content_item_id"]: (r["event_id"], r["created_by_merge_id"] is not None) for r in merging.migrate_evidence(items, kept).collect()}
-    assert got == {"c1": ("a", True), "c2": ("z", False)}
+    assert [(r[0], r[1]) for r in kept.collect()] == [("b", "a"), ("e", "f"), ("d", "a")]
+    assert [r["source_id"] for r in merging.ordered_pairs(pairs, 3).orderBy("place").collect()] == ["b", "c", "e"]
+    items = spark.createDataFrame([("b", "c1", None, True), ("z", "c2", None, True), ("b", "c3", None, False)], "event_id string, content_item_id string, created_by_merge_id string, is_active boolean")
+    got = {r["content_item_id"]: (r["event_id"], r["created_by_merge_id"] is not None) for r in merging.migrate_evidence(items, kept, at()).collect()}
+    assert got == {"c1": ("a", True), "c2": ("z", False), "c3": ("b", False)}
+
+
+def test_secondary_merge_and_folding(spark):
+    from skein.sources.config import Config
+
+    row = lambda i, title, first, last, ents: (i, "NewsEvent", title, f"sum {i}", "Active", ents, [], [], ["k" + i], [title], datetime(2026, 5, first), datetime(2026, 5, last), datetime(2026, 5, last), None)
+    events = spark.createDataFrame(
+        [row("a", "short", 1, 4, ["X"]), row("b", "a longer title", 2, 5, ["x", "Y"]), row("c", "c", 3, 5, ["Q"]), row("d", "d", 3, 6, ["x"])],
+        "event_id string, type string, canonical_title string, summary string, status string, entities array<string>, aliases array<string>, places array<string>, key_terms array<string>, representative_titles array<string>, "
+        "first_seen_at timestamp, last_seen_at timestamp, last_activated_at timestamp, merged_into_event_id string",
+    )
+    pairs = spark.createDataFrame([("b", "a", 0.9, 1), ("c", "a", 0.8, 1), ("d", "a", 0.7, 1), ("d", "b", 0.65, 1)], "source_id string, target_id string, similarity double, target_last_seen_at int")
+    verdict = lambda *r: spark.createDataFrame([(s, t, "same_event", c, "r") for s, t, c in r], "source_id string, target_id string, decision string, confidence double, reason string")
+    assert merging.secondary_merge(events, pairs, Config()).isEmpty()
+    chosen = merging.secondary_merge(events, pairs, Config(), verdict(("b", "a", 0.9), ("c", "a", 0.9), ("d", "a", 0.5), ("d", "b", 0.9)))
+    assert [(r["source_id"], r["target_id"]) for r in chosen.collect()] == [("b", "a")]  # c: other entities; d-a: unsure; d-b: b is gone
+    both = merging.secondary_merge(events, pairs, Config(), verdict(("b", "a", 0.9), ("d", "a", 0.9)))
+    out = {r["event_id"]: r for r in merging.fold_events(events, both).collect()}
+    a = out["a"]
+    assert (a["canonical_title"], a["entities"], a["key_terms"], a["summary"]) == ("a longer title", ["X", "Y"], ["ka", "kb", "kd"], "sum a\nsum b\nsum d")
+    assert (a["first_seen_at"].day, a["last_seen_at"].day, a["status"], a["representative_titles"]) == (1, 6, "Active", ["short", "a longer title", "d"])
+    assert [(out[i]["status"], out[i]["merged_into_event_id"]) for i in "bd"] == [("Merged", "a")] * 2 and out["c"]["status"] == "Active"
+    items = spark.createDataFrame([("b", "i", True, None), ("b", "j", False, None)], "event_id string, content_item_id string, is_active boolean, created_by_merge_id string")
+    left = {r["content_item_id"]: (r["event_id"], r["is_active"]) for r in merging.deactivate_items(merging.migrate_evidence(items, both, at()), both).collect()}
+    assert left == {"i": ("a", True), "j": ("b", False)}
+
+
+def test_matched_events_take_items_in(spark):
+    from skein.plans.pipeline import update_matched
+
+    ev = spark.createDataFrame([("e", "Old", "was", ["t1"], ["k1"], ["Ent"], []), ("f", "F", "f", [], [], [], [])], "event_id string, canonical_title string, summary string, representative_titles array<string>, key_terms array<string>, entities array<string>, aliases array<string>")
+    m = spark.createDataFrame([("e", "Beta News", "x", 2, "s", None, None), ("e", "Alpha Corp", "ENT", 1, "s", " New ", "fresh")], "event_id string, title string, summary string, rank int, source string, reply_title string, reply_summary string")
+    out = {r["event_id"]: r for r in update_matched(ev, m).collect()}
+    e = out["e"]
+    assert (e["canonical_title"], e["summary"], e["representative_titles"]) == ("New", "fresh", ["Beta News", "Alpha Corp", "t1"])
+    assert e["entities"] == ["Beta", "Alpha", "Corp", "Alpha Corp", "Ent"] and e["key_terms"][-1] == "k1" and "beta" in e["key_terms"] and "New" in e["aliases"]
+    assert out["f"].asDict() == ev.where("event_id = 'f'").first().asDict()
+
+
+def test_records(spark, tmp_path):
+    from skein.operators import records as R
+
+    t = datetime(2026, 5, 5, 12, 0, 0, 123000)
+    assert R.run_id(t, "abcdef0123456789") == "fr:20260505120000123:abcdef0123"
+    store = R.Store(spark, str(tmp_path / "s"))
+    new = spark.createDataFrame([("r1", t, 3)], "id string, started_at timestamp, source_count int")
+    runs_ = store.update("run", R.RUN, lambda x: R.run_started(x, new))
+    assert runs_.first()["status"] == "Running" and store.update("run", R.RUN, lambda x: R.run_started(x, new)).count() == 1
+    done = spark.createDataFrame([("r1", "Partial"), ("r9", "Failed")], "id string, status string")
+    row = store.update("run", R.RUN, lambda x: R.updated(x, done, "id").select(*x.columns)).collect()
+    assert [(r["id"], r["status"], r["source_count"]) for r in row] == [("r1", "Partial", 3)]
+    kv = lambda v, at_: spark.createDataFrame([("k", v, at_)], "key string, value string, updated_at timestamp")
+    s = store.update("state", R.STATE, lambda x: R.keyed_state(x, kv("1", t)))
+    first = s.first()["id"]
+    s = store.update("state", R.STATE, lambda x: R.keyed_state(x, kv("2", t)))
+    assert R.state_value(s, "k") == "2" and R.state_value(s, "none") is None and s.first()["id"] == first and first.startswith("as:")
+    msg = spark.createDataFrame([("e", "Instant", t, "a", "r", "c", "k1"), ("e", "Instant", t, "b", "r", "c", "k1"), ("f", "Instant", t, "f", "r", "c", "k2")], "event_id string, push_type string, pushed_at timestamp, title string, reason string, content string, dedup_key string")
+    log, todo = R.push_attempts(store.read("push", R.PUSH), msg)
+    assert sorted(r["title"] for r in todo.collect()) == ["a", "f"] and {r["error"] for r in log.collect()} == {"pending"}
+    log = store.write("push", log)
+    assert R.push_attempts(log, msg)[1].isEmpty()
+    got = {r["dedup_key"]: (r["success"], r["error"], r["title"]) for r in R.push_results(log, spark.createDataFrame([("k1", True, None), ("k9", True, None)], "dedup_key string, success boolean, error string")).collect()}
+    assert got == {"k1": (True, None, "a"), "k2": (False, "pending", "f")}
+    rep = lambda n, p: spark.createDataFrame([("daily", t, t, f"f{n}", None, n, p)], "report_type string, slot_time timestamp, generated_at timestamp, file_path string, public_url string, event_count int, payload_json string")
+    reports = store.update("report", R.REPORT, lambda x: R.report_rows(x, rep(1, " ")))
+    assert reports.first()["payload_json"] == "{}" and reports.first()["id"].startswith("report:daily:")
+    assert [(r["event_count"], r["file_path"]) for r in store.update("report", R.REPORT, lambda x: R.report_rows(x, rep(2, "[]"))).collect()] == [(2, "f2")]
+    tags = R.tag_dimension(spark.createDataFrame([], R.TAG), spark.createDataFrame([("ai", "AI", "topic")], "name string, display_name string, category string"), at())
+    again = R.tag_dimension(tags, spark.createDataFrame([("ai", "A.I.", "field")], "name string, display_name string, category string"), F.lit(None).cast("timestamp")).first()
+    assert (again["display_name"], again["category"], again["id"]) == ("A.I.", "field", tags.first()["id"]) and again["created_at"] is not None
+    child = spark.createDataFrame([("x", "p1"), ("y", "p2")], "id string, parent string")
+    gone = spark.createDataFrame([("p1",)], "pid string")
+    assert [r["id"] for r in R.without_parents(child, gone, "parent", "pid").collect()] == ["y"]
+    assert {r["id"]: r["parent"] for r in R.without_parents(child, gone, "parent", "pid", True).collect()} == {"x": None, "y": "p2"}
+    j = spark.createDataFrame([("[\"a\"]",), (" ",), (None,), ("oops",)], "t string").select(R.json_list("t").alias("l"), R.object_if_blank("t").alias("o")).collect()
+    assert [r["l"] for r in j] == [["a"], [], [], []] and [r["o"] for r in j] == ['["a"]', "{}", "{}", "oops"]
+
+
+def test_model_calls_are_tried_again(spark):
+    from skein.operators import models as M
+
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise M.BadStatus("HTTP 500")
+        return "7"
+
+    assert M.with_retries(flaky, int, None) == (7, True, None, 2, "7")
+    assert M.with_retries(lambda: "x", int, -1)[:4] == (-1, False, "invalid literal for int() with base 10: 'x'", 3)
+    with pytest.raises(RuntimeError):
+        M.with_retries(lambda: (_ for _ in ()).throw(RuntimeError("bug")), int, None)
+
+    def send(row):
+        if row["id"] == "b":
+            raise OSError("down")
+        return f"reply {row['id']}"
+
+    got = {r["id"]: (r["body"], r["success"], r["error"], r["retry_count"]) for r in M.call_all(spark.createDataFrame([("a",), ("b",)], "id string"), "id", send).collect()}
+    assert got == {"a": ("reply a", True, None, 0), "b": (None, False, "down", 3)}
+
+
+def test_config_file(tmp_path):
+    pytest.importorskip("yaml")
+    from skein.sources.config import load_config
+
+    path = tmp_path / "c.yaml"
+    path.write_text("analysis:\n  historyHours: 48\n  push:\n    pushTime: ['08:00']\n  event:\n    sourceCount: 2\nenrichment:\n  web_extract_url: x\n  maxRequestsPerRun: 7\nother: 1\n")
+    cfg = load_config(str(path))
+    assert (cfg.history_hours, cfg.push_times, cfg.source_count, cfg.enrichment_budget, cfg.stale_hours) == (48, ("08:00",), 2, 7, 24)
+    path.write_text("system:\n  maxParallelLlm: 2\n")
+    with pytest.raises(ValueError, match="maxParallelLlm"):
+        load_config(str(path))
+    path.write_text("analysis:\n  event:\n    sourceCount: 0\n")
+    with pytest.raises(ValueError, match="source_count"):
+        load_config(str(path))
+
+
+def test_report_window_and_digest_text(spark):
+    d = lambda n: datetime(2026, 5, n)
+    ev = spark.createDataFrame([("a", "Active", False, d(3)), ("b", "Active", False, d(9)), ("c", "Active", True, d(3)), ("e", "Active", False, d(4))], "event_id string, status string, is_blacklisted boolean, last_seen_at timestamp")
+    sc = spark.createDataFrame([("a", "1", d(2), 50.0, 1.0), ("a", "2", d(3), 40.0, 1.0), ("a", "3", d(9), 90.0, 1.0), ("b", "4", d(3), 99.0, 1.0), ("c", "5", d(3), 99.0, 1.0), ("e", "6", d(3), 40.0, 2.0)], "event_id string, score_id string, calculated_at timestamp, total_score double, heat_value double")
+    out = digest.report_events(sc, ev, F.lit(d(1)), F.lit(d(5)), 5).collect()
+    assert [(r["event_id"], r["score_id"]) for r in out] == [("e", "6"), ("a", "2")]
+    m = "array<struct<time:timestamp,label:string,source:string,summary:string>>"
+    rows = spark.createDataFrame(
+        [(1, "T", "a\r\nb", " ", "Expanding", None, [(d(1), "L1", "s1", "x"), (d(2), "L2", "S1", None)], ["k"], ["K", "e"], 61.25, 1.5, 3, 2.0), (2, "U", None, "Cooling", None, "p\nq", [], None, None, 1.0, 0.0, 0, 0.0)],
+        f"place int, canonical_title string, summary string, current_stage string, score_stage string, progress_summary string, milestones {m}, key_terms array<string>, entities array<string>, total_score double, heat_value double, sources int, avg_rank double",
+    )
+    got = [r[0] for r in rows.select(digest.digest_entry()).collect()]
+    assert got[0].split("\n") == ["1. T", "摘要：a b", "阶段：Expanding", "进程：L2: 暂无摘要；L1: x", "热度：总分 61.3，Heat 1.50，来源数 3，平均排名 2.0。", "来源/术语：s1；k, e"]
+    assert got[1].split("\n")[1:4] == ["摘要：暂无摘要", "阶段：Cooling", "进程：p q"] and got[1].endswith("未记录来源；未记录术语")
+    text = digest.digest_text("2026-05-05", "09:20", got, "http://r")
+    assert text.split("\n")[:3] == ["2026-05-05 09:20 舆情摘要，共 2 个事件：", "静态报告：http://r", ""]
+
+
+def test_revalidation(spark):
+    t = "item_id string, event_id string, score double, features array<string>"
+    before = spark.createDataFrame([("i", "e", 0.5, ["b", "a"]), ("j", "e", 0.4, ["a"]), ("k", "e", 0.4, ["a"])], t)
+    after = spark.createDataFrame([("i", "e", 0.5, ["a", "b"]), ("j", "e", 0.45, ["a"]), ("k", "e", 0.9, ["a"]), ("l", "e", 0.9, ["a"])], t)
+    found = spark.createDataFrame([("i", None), ("j", None), ("k", "e"), ("l", None)], "item_id string, event_id string")
+    assert sorted(r[0] for r in recall.revalidate(before, after, found).collect()) == ["j", "l"]
+
+
+def test_a_whole_run_twice(spark, tmp_path):
+    import json as j
+
+    from skein.operators.records import RUN, PUSH, Store
+    from skein.operators.runs import Source
+    from skein.plans.pipeline import Models, run_fetch
+    from skein.sources.config import Config
+
+    sources = [Source("p", "c", f"s{i}", display_name=f"Source {i}") for i in range(4)]
+
+    def fetch(row):
+        if row["external_id"] == "s3":
+            raise OSError("down")
+        return j.dumps({"status": "success", "items": [{"id": f"q-{row['external_id']}", "title": "Quake Hits Japan Coast", "url": "http://x/1"}, {"id": f"m-{row['external_id']}", "title": f"Market {row['external_id']} Rally Ends Today", "url": "http://x/2"}]})
+
+    sent = []
+    models = Models(
+        fetch=fetch, embed=lambda r: j.dumps([1.0, float(len(r["text"]) % 3)]), tag=lambda r: "disaster | asia" if "Quake" in r["title"] else "market",
+        push=lambda m: sent.append(m["dedup_key"]) is None, merge=lambda r: j.dumps({"decision": "unrelated", "confidence": 1.0}),
+    )
+    cfg = Config(dimensions=2, source_count=3, rank_threshold=0.5)
+    store = Store(spark, str(tmp_path / "store"))
+    one = run_fetch(spark, store, sources, models, "2026-05-05 09:00:00", "r1", cfg)
+    from skein.plans.pipeline import STAGE
+
+    assert [(r["stage"], r["error"]) for r in store.read("fetch_run_stage", STAGE).where("status = 'failed'").collect()] == []
+    assert one["status"] == "Partial" and one["items"] == 6 and one["matched"] == 6 and one["pushed"] == 1
+    assert {s for s, _ in one["stages"]} == {"fetch", "ingest", "enrich", "embedding", "match", "tagging", "score", "push", "secondary_merge"} and {x for _, x in one["stages"]} == {"succeeded", "skipped"}
+    events = store.read("event", __import__("skein.plans.pipeline", fromlist=["EVENT"]).EVENT).collect()
+    quake = [e for e in events if e["canonical_title"].startswith("Quake")]
+    assert len(quake) == 1 and quake[0]["push_count"] == 1 and len(events) == 4
+    two = run_fetch(spark, store, sources, models, "2026-05-05 10:00:00", "r2", cfg)
+    assert two["matched"] == 0 and two["pushed"] == 0 and len(sent) == 1
+    assert {r["id"]: r["status"] for r in store.read("fetch_run", RUN).collect()} == {"r1": "Partial", "r2": "Partial"} and store.read("push_log", PUSH).count() == 1
 
 
 def test_ingest_is_idempotent(spark):
