@@ -129,12 +129,12 @@ def push_key(event_id, run_id, reason) -> Column:
 
 def judge_reply(content) -> Column:
     """``importance, boost, labels, stage``: boost from 0 to 1, stage in its known spelling or null."""
-    from ..sources.feeds import unfence
+    from ..sources.feeds import clamped, unfence
 
     r = F.from_json(unfence(content), "struct<importance:string,boostScore:double,labels:array<string>,reason:string,summary:string,stage:string>")
     stages = F.array(*[F.lit(s) for s in ("Initial", "Expanding", "Escalating", "FollowUp", "Cooling")])
     stage = F.get(F.filter(stages, lambda s: F.lower(s) == F.lower(F.trim(r["stage"]))), F.lit(0))
-    boost = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), r["boostScore"])), F.lit(0.0))
+    boost = clamped(r["boostScore"])
     return F.struct(F.coalesce(r["importance"], F.lit("normal")).alias("importance"), boost.alias("boost"), F.coalesce(r["labels"], F.array().cast("array<string>")).alias("labels"), stage.alias("stage"))
 
 

@@ -6,7 +6,23 @@ Every view takes its tables as DataFrames and ``as_of`` as a one-row DataFrame (
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: The order in which a view is shown; views themselves carry none.
+VIEW_ORDER = {
+    "run_success_rate": lambda: [F.desc("run_date")],
+    "run_source_failure_rate": lambda: [F.desc("fetch_date"), F.desc("failure_rate_pct"), F.asc("source_id")],
+    "run_stage_duration": lambda: [F.desc("run_date"), F.asc("stage")],
+    "llm_daily_cost": lambda: [F.desc("usage_date"), F.asc("stage"), F.asc("model")],
+    "event_daily_counts": lambda: [F.desc("event_date")],
+    "event_tag_distribution": lambda: [F.desc("event_count"), F.asc("category"), F.asc("tag_name")],
+}
+
+
+def placed(view: DataFrame, *order: Column) -> DataFrame:
+    """A view's rows with their ``place`` in an order of presentation (views are aggregates, so few rows)."""
+    return view.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 

@@ -75,6 +75,11 @@ def token_usage(body) -> dict[str, Column]:
     }
 
 
+def clamped(number) -> Column:
+    """From 0 to 1; a missing number is 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(0.0))))
+
+
 def cluster_reply(content, known_ids) -> Column:
     """``decision, event_id, confidence`` of a clustering reply; unknown decisions or ids mean a new event."""
     r = F.from_json(unfence(content), "struct<decision:string,eventId:string,confidence:double,canonicalTitle:string,summary:string,reason:string>")
@@ -83,5 +88,5 @@ def cluster_reply(content, known_ids) -> Column:
     good = fine & (~link | F.array_contains(known_ids, r["eventId"]))
     return F.struct(
         F.when(good, r["decision"]).otherwise(F.lit("unrelated")).alias("decision"), F.when(good & link, r["eventId"]).alias("event_id"),
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), r["confidence"])), F.lit(0.0)).alias("confidence"),
+        clamped(r["confidence"]).alias("confidence"),
     )

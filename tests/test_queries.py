@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from skein.plans import queries as Q
+from skein.plans import record_queries  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
