@@ -20,35 +20,105 @@ def recallable(events: DataFrame, at: Column, cfg: Config, skip_blacklisted: boo
     return out.where(~F.col("is_blacklisted")) if skip_blacklisted else out
 
 
-def shared_counts(left: DataFrame, right: DataFrame, l_id: str, r_id: str, grams: str) -> DataFrame:
-    """``l_id, r_id, n``: how many elements of the array ``grams`` both sides hold, for pairs that share any.
+#: Rows of a block of items, events or vectors; two blocks are what a task holds at a time.
+BLOCK = 1024
 
-    An inverted index: both sides are exploded and joined on the element, never paired as a whole.
+
+def blocks(df: DataFrame, key: str, columns: list[str], name: str, rows: int = BLOCK, *by: str) -> tuple[DataFrame, int]:
+    """(``name`` (number of a block), ``by``, ``rows``: about ``rows`` of the frame's rows as one array; how many blocks)."""
+    n = max(1, -(-df.count() // rows))
+    dealt = df.withColumn(name, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)))
+    return dealt.groupBy(name, *by).agg(F.collect_list(F.struct(*columns)).alias(f"{name}_rows")), n
+
+
+def against(a: tuple[DataFrame, int], b: DataFrame, name: str, *by: str) -> DataFrame:
+    """Every block of ``b`` with every block of ``a`` (called ``name``): a set of queries in blocks."""
+    return b.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a[1] - 1).cast("long")))).join(a[0].hint("shuffle_hash"), [name, *by])
+
+
+def one_by_one(spark) -> None:
+    """Arrow batches of few rows: each holds two blocks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+
+
+def shared_counts(items: DataFrame, events: DataFrame) -> DataFrame:
+    """``item_id, event_id, tok_n, gram_n``: how many tokens and n-grams an item and an event share, for pairs that
+    share any. ``items(item_id, i_tok, i_gram)``, ``events(event_id, e_tok, e_gram)``.
+
+    A block of items is an index of its own words (word to the items that hold it); each event of a block looks its words
+    up and adds the rows of the index, so a pair costs what it shares and no pair of texts is compared as a whole.
     """
-    a = left.select(l_id, F.explode(grams).alias("g"))
-    b = right.select(r_id, F.explode(grams).alias("g"))
-    return a.join(b, "g").groupBy(l_id, r_id).agg(F.count("*").alias("n"))
+    spark = items.sparkSession
+    one_by_one(spark)
+    ib, eb = blocks(items, "item_id", ["item_id", "i_tok", "i_gram"], "ib"), blocks(events, "event_id", ["event_id", "e_tok", "e_gram"], "eb")
+    pairs = against(ib, eb[0], "ib").select("ib_rows", "eb_rows")
+    i_kind, e_kind = dict(items.dtypes)["item_id"], dict(events.dtypes)["event_id"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def index(rows, field):
+            """(word to row of the table, table of words by items)"""
+            of = rows.field(field)
+            at = np.diff(of.offsets.to_numpy())
+            codes = of.flatten().dictionary_encode()
+            words = {w: k for k, w in enumerate(codes.dictionary.to_pylist())}
+            table = np.zeros((len(words) + 1, len(rows)), np.int32)
+            table[codes.indices.to_numpy(), np.repeat(np.arange(len(rows)), at)] = 1
+            return words, table
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                mine, theirs = batch.column(0)[k].values, batch.column(1)[k].values
+                counts = []
+                for i_field, e_field in (("i_tok", "e_tok"), ("i_gram", "e_gram")):
+                    words, table = index(mine, i_field)
+                    found = []
+                    for ws in theirs.field(e_field).to_pylist():
+                        at = [words[w] for w in ws if w in words]
+                        found.append(table[at].sum(axis=0, dtype=np.int32) if at else np.zeros(len(mine), np.int32))
+                    counts.append(np.array(found, np.int32).reshape(len(theirs), len(mine)))
+                e, i = np.nonzero((counts[0] > 0) | (counts[1] > 0))
+                yield pa.RecordBatch.from_arrays(
+                    [mine.field("item_id").take(pa.array(i)), theirs.field("event_id").take(pa.array(e)), *(pa.array(c[e, i].astype(np.int64)) for c in counts)],
+                    names=["item_id", "event_id", "tok_n", "gram_n"],
+                )
+
+    return pairs.mapInArrow(run, f"item_id {i_kind}, event_id {e_kind}, tok_n bigint, gram_n bigint")
+
+
+def jaccard_of(n: str, a: str, b: str) -> Column:
+    """From the number of shared elements and the two sets' sizes."""
+    return F.when((F.col(a) == 0) | (F.col(b) == 0), 0.0).otherwise(F.col(n) / (F.col(a) + F.col(b) - F.col(n)))
 
 
 def rule_recall(items: DataFrame, events: DataFrame, at: Column, cfg: Config, floor: float = 0.08) -> DataFrame:
     """``item_id, event_id, score, features``: the best ``candidate_limit`` events of each item above ``floor``.
 
     ``items(item_id, title, summary)``; ``events`` has titles and lists. Recency alone can't reach the floor, so a
-    candidate shares a token or an n-gram with the item: the index over both finds every one.
+    candidate shares a token or an n-gram with the item. What is shared is counted once; of the titles' n-grams an item
+    can hold no more than it shares with the whole event, which bounds a pair's score before its titles are compared.
     """
+    from ..functions.text import jaccard
+
     src = F.concat_ws(" ", F.trim("title"), F.trim("summary"))
     cand = F.concat_ws(" ", "canonical_title", "summary", F.concat_ws(" ", "entities"), F.concat_ws(" ", "representative_titles"), F.concat_ws(" ", "key_terms"), F.concat_ws(" ", "aliases"))
     i = items.select("item_id", tokenize(src).alias("i_tok"), char_ngrams(src).alias("i_gram"))
-    e = events.select("event_id", "status", "last_seen_at", "key_terms", "representative_titles", tokenize(cand).alias("e_tok"), char_ngrams(cand).alias("e_gram"))
-    mark = lambda t, g: F.concat(F.transform(t, lambda x: F.concat(F.lit("t:"), x)), F.transform(g, lambda x: F.concat(F.lit("g:"), x)))
-    pairs = shared_counts(i.select("item_id", mark("i_tok", "i_gram").alias("k")), e.select("event_id", mark("e_tok", "e_gram").alias("k")), "item_id", "event_id", "k").drop("n")
-    df = pairs.join(i, "item_id").join(e, "event_id")
-    from ..functions.text import jaccard
-
+    e = events.select("event_id", tokenize(cand).alias("e_tok"), char_ngrams(cand).alias("e_gram"))
+    facts = events.select("event_id", "status", "last_seen_at", "key_terms", "representative_titles")
+    df = shared_counts(i, e)
+    df = df.join(i.select("item_id", F.size("i_tok").alias("ti"), F.size("i_gram").alias("gi")), "item_id").join(e.select("event_id", F.size("e_tok").alias("te"), F.size("e_gram").alias("ge")), "event_id")
+    df = df.select("item_id", "event_id", "tok_n", "gram_n", "gi", jaccard_of("tok_n", "ti", "te").alias("tok"), jaccard_of("gram_n", "gi", "ge").alias("gram")).join(facts, "event_id")
+    df = df.withColumn("rec", S.recency("status", "last_seen_at", at))
+    # Unrounded and then rounded to four places: a hair is left to the bound.
+    most = 0.35 * F.col("tok") + 0.35 * F.col("gram") + F.when(F.size("representative_titles") > 0, 0.15 * F.col("gram_n") / F.greatest("gi", F.lit(1))).otherwise(0.0)
+    most = most + F.when((F.size("key_terms") > 0) & (F.col("tok_n") > 0), 0.10).otherwise(0.0) + 0.05 * F.col("rec")
+    df = df.where(most > floor - 0.0001).join(i, "item_id")
     rep = F.coalesce(F.array_max(F.transform("representative_titles", lambda t: jaccard("i_gram", char_ngrams(t)))), F.lit(0.0))
     hit = F.size(F.filter("key_terms", lambda k: F.array_contains("i_tok", F.lower(F.trim(k)))))
     key = F.when(F.size("key_terms") > 0, hit / F.size("key_terms")).otherwise(0.0)
-    df = df.select("item_id", "event_id", "last_seen_at", jaccard("i_tok", "e_tok").alias("tok"), jaccard("i_gram", "e_gram").alias("gram"), rep.alias("rep"), key.alias("key"), S.recency("status", "last_seen_at", at).alias("rec"))
+    df = df.select("item_id", "event_id", "last_seen_at", "tok", "gram", rep.alias("rep"), key.alias("key"), "rec")
     df = df.withColumn("score", S.recall_score("tok", "gram", "rep", "key", "rec")).where(F.col("score") > floor)
     df = df.withColumn("features", S.recall_features("tok", "gram", "rep", "key", "rec"))
     return top_per("item_id", df, cfg.candidate_limit, F.desc("score"), F.desc("last_seen_at"), F.asc("event_id"))
@@ -59,24 +129,41 @@ def top_per(key: str, df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__n") <= max(1, k)).drop("__n")
 
 
-def vector_topk(queries: DataFrame, events: DataFrame, k: int, least: float, broadcast_rows: int = 100_000) -> DataFrame:
+def vector_topk(queries: DataFrame, events: DataFrame, k: int, least: float, rows: int = BLOCK) -> DataFrame:
     """``query_id, event_id, similarity``: exact cosine neighbours at ``least`` or above.
 
-    ``queries(query_id, v)`` against ``events(event_id, v, last_seen_at)``. Lengths are divided out once a side. The
-    query side is sent to all tasks only if it is counted to be small (a run's budget of embeddings is); otherwise
-    it is dealt into blocks, each of them joined on its own key, so no side is held whole.
+    ``queries(query_id, v)`` against ``events(event_id, v, last_seen_at)``. Both are dealt into blocks; two blocks are
+    matrices, their similarities one product, of which each query's best ``k`` (and their equals) go on to the final
+    choice. Nothing is broadcast, and no task holds more than two blocks.
     """
-    q = queries.select("query_id", S.unit("v").alias("qv")).where("qv is not null")
-    e = events.select("event_id", "last_seen_at", S.unit("v").alias("ev")).where("ev is not null")
-    n = q.count()
-    if n <= broadcast_rows:
-        pairs = e.join(F.broadcast(q), F.size("qv") == F.size("ev"))
-    else:
-        blocks = -(-n // broadcast_rows)
-        q = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        e = e.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = e.join(q, "b").where(F.size("qv") == F.size("ev"))
-    sim = pairs.select("query_id", "event_id", "last_seen_at", S.dot("qv", "ev").alias("similarity")).where(F.col("similarity") >= least)
+    spark = queries.sparkSession
+    one_by_one(spark)
+    q = queries.select("query_id", S.unit("v").alias("v")).where("v is not null").withColumn("size", F.size("v"))
+    e = events.select("event_id", "last_seen_at", S.unit("v").alias("v")).where("v is not null").withColumn("size", F.size("v"))
+    kinds = dict(q.dtypes) | dict(e.dtypes)
+    qb, eb = blocks(q, "query_id", ["query_id", "v"], "qb", rows, "size"), blocks(e, "event_id", ["event_id", "last_seen_at", "v"], "eb", rows, "size")
+    pairs = against(qb, eb[0], "qb", "size").select("size", "qb_rows", "eb_rows")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                size, mine, theirs = batch.column(0)[n].as_py(), batch.column(1)[n].values, batch.column(2)[n].values
+                a, b = (x.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for x in (mine, theirs))
+                sim = a @ b.T
+                keep = sim >= least
+                if sim.shape[1] > max(1, k):
+                    keep &= sim >= np.partition(sim, -max(1, k), axis=1)[:, [-max(1, k)]]
+                i, j = np.nonzero(keep)
+                i_at, j_at = pa.array(i), pa.array(j)
+                yield pa.RecordBatch.from_arrays(
+                    [mine.field("query_id").take(i_at), theirs.field("event_id").take(j_at), theirs.field("last_seen_at").take(j_at), pa.array(sim[i, j].astype(np.float64))],
+                    names=["query_id", "event_id", "last_seen_at", "similarity"],
+                )
+
+    sim = pairs.mapInArrow(run, f"query_id {kinds['query_id']}, event_id {kinds['event_id']}, last_seen_at {kinds['last_seen_at']}, similarity double")
     return top_per("query_id", sim, k, F.desc("similarity"), F.desc("last_seen_at"), F.asc("event_id"))
 
 

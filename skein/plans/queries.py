@@ -263,8 +263,9 @@ _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L
 
 @query(f"select doc_id, len({_TOKENS})::int n_tokens, array_to_string(list_sort({_TOKENS})[1:5], ' ') head from documents")
 def i1_tokens(spark, d):
-    t = X.tokenize("text")
-    return B.table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.array_join(F.slice(F.array_sort(t), 1, 5), " ").alias("head"))
+    # The tokens are named inside the expression, so that both outputs take them from one evaluation.
+    both = F.get(F.transform(F.array(X.tokenize("text")), lambda t: F.struct(F.size(t).alias("n_tokens"), F.array_join(F.slice(F.array_sort(t), 1, 5), " ").alias("head"))), F.lit(0))
+    return B.table(spark, d, "documents").select("doc_id", both.alias("x")).select("doc_id", "x.*")
 
 
 _LETTERS = "regexp_replace(lower(title), '[^\\p{L}\\p{Nd}]', '', 'g')"
@@ -454,8 +455,8 @@ _SQL_GRAM = lambda l: f"list_distinct(list_concat(list_transform(range(1, length
 
 
 @query(
-    f"""with i as (select item_id, {_SQL_TOK("left(text, 360)")} t, {_SQL_NORM("left(text, 360)")} l from benchmark), i2 as (select item_id, t, {_SQL_GRAM("l")} g from i),
-    e as (select doc_id, {_SQL_TOK("left(text, 360)")} t, {_SQL_NORM("left(text, 360)")} l, doc_id % 2 = 0 act, (doc_id % 48)::double h from documents), e2 as (select doc_id, t, {_SQL_GRAM("l")} g, act, h from e),
+    f"""with i as (select item_id, {_SQL_TOK("text")} t, {_SQL_NORM("text")} l from benchmark), i2 as (select item_id, t, {_SQL_GRAM("l")} g from i),
+    e as (select doc_id, {_SQL_TOK("text")} t, {_SQL_NORM("text")} l, doc_id % 2 = 0 act, (doc_id % 48)::double h from documents), e2 as (select doc_id, t, {_SQL_GRAM("l")} g, act, h from e),
     j as (select item_id, doc_id, len(list_intersect(i2.t, e2.t)) ti, len(i2.t) ta, len(e2.t) tb, len(list_intersect(i2.g, e2.g)) gi, len(i2.g) ga, len(e2.g) gb, case when act then greatest(0.0, least(1.0, 1.0 - h / 168.0)) else 0.8 * greatest(0.0, least(1.0, 1.0 - h / 720.0)) end rec from i2, e2),
     s as (select item_id, doc_id, case when ta = 0 or tb = 0 then 0.0 else ti / (ta + tb - ti)::double end tok, case when ga = 0 or gb = 0 then 0.0 else gi / (ga + gb - gi)::double end gram, rec from j),
     r as (select *, round_even(0.35::double * tok + 0.35::double * gram + 0.15::double * 0.0 + 0.10::double * 0.0 + 0.05::double * rec, 4) score from s)
@@ -463,11 +464,10 @@ _SQL_GRAM = lambda l: f"list_distinct(list_concat(list_transform(range(1, length
     from r where score > 0.08 qualify row_number() over (partition by item_id order by score desc, doc_id % 48, doc_id) <= 20"""
 )
 def c9_rule_recall(spark, d):
-    """Item and event texts are cut at 360 characters, the cap that summaries have."""
-    items = B.table(spark, d, "benchmark").select("item_id", F.lit("").alias("title"), F.left("text", F.lit(360)).alias("summary"))
+    items = B.table(spark, d, "benchmark").select("item_id", F.lit("").alias("title"), F.col("text").alias("summary"))
     none = F.array().cast("array<string>")
     ev = B.table(spark, d, "documents").select(
-        F.col("doc_id").alias("event_id"), F.lit("").alias("canonical_title"), F.left("text", F.lit(360)).alias("summary"), *[none.alias(c) for c in ("entities", "representative_titles", "key_terms", "aliases")],
+        F.col("doc_id").alias("event_id"), F.lit("").alias("canonical_title"), F.col("text").alias("summary"), *[none.alias(c) for c in ("entities", "representative_titles", "key_terms", "aliases")],
         F.when(F.col("doc_id") % 2 == 0, "Active").otherwise("Stale").alias("status"), F.timestamp_add("HOUR", -(F.col("doc_id") % 48).cast("int"), _at()).alias("last_seen_at"),
     )
     out = recall.rule_recall(items, ev, _at(), Config())
