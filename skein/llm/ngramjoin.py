@@ -21,7 +21,8 @@ one hub (the smallest class met most often in its lists). Lists that then still
 their classes' whole sets are counted, and a shingle that no other component holds can't be part of a further link. A
 set of n with k other shingles needs a partner of 2.25 k - n at most, which rules out the copies that have strayed too
 far from all others, before any pair is formed. The rest is ordered anew by rarity (order 2 over whole sets, with its
-prefix, length and position filters), tried with further hubs, and what still holds several components pair by pair.
+prefix, length, position and count filters), tried with further hubs, and what still holds several components pair by
+pair.
 
 Defined results: null, empty or wordless text has an empty set and is linked with nothing; with fewer than five
 words the whole sequence is one shingle; repeated rows fall into one class; a component's id is the smallest doc_id
@@ -256,12 +257,29 @@ def prefixes(kept: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(ranked.where(F.col("i") <= F.col("k") - need + 1))
 
 
-def pairs_across(lists: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different components in open lists that pass the length and position filters."""
-    lists = lists.withColumn("left", F.expr("k - i + 1"))
-    x, y = (lists.select("tok", *[F.col(o).alias(n) for o, n in zip(("c", "n", "comp", "cap", "left"), names)]) for names in (("a", "na", "ca", "capa", "la"), ("b", "nb", "cb", "capb", "lb")))
-    reach = f"nb <= capa and na <= capb and {100 + PERCENT} * least(la, lb) >= {PERCENT} * (na + nb)"
-    return x.join(y, "tok").where("ca < cb").where(FITS).where(reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+#: Shingles beyond its prefix that a class is compared by before its set is (any number is right).
+EXTRA = 256
+
+
+def pairs_across(lists: DataFrame, kept: DataFrame) -> DataFrame:
+    """``a, b``: pairs of different components in open lists that pass the length, position and count filters.
+
+    A pair is formed at the first shingle that both have under order 2, so once. The count filter looks at the first
+    shingles of both, ``EXTRA`` more than the prefixes: of the one whose part ends first, a shared shingle is either in
+    both parts, or beyond that end, where only so many are left.
+    """
+    need = F.ceil(F.lit(PERCENT) * (F.col("n") + least_size()) / (100 + PERCENT))
+    of = kept.join(lists.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("all"), F.first("n").alias("n"), F.first("least_low").alias("least_low"))
+    of = of.withColumn("part", F.slice("all", 1, F.greatest(F.size("all") - need + 1 + EXTRA, F.lit(1)).cast("int")))
+    of = of.select("c", F.transform("part", lambda x: x["tok"]).alias("part"), F.element_at("part", -1).alias("end"), (F.size("all") - F.size("part")).alias("rest"))
+    lists = lists.withColumn("left", F.expr("k - i + 1")).join(of, "c")
+    columns = ("c", "n", "comp", "cap", "left", "part", "end", "rest")
+    x, y = (lists.select("tok", *[F.col(o).alias(n) for o, n in zip(columns, names)]) for names in (("a", "na", "ca", "capa", "la", "pa", "ea", "ra"), ("b", "nb", "cb", "capb", "lb", "pb", "eb", "rb")))
+    enough = lambda shared: f"{100 + PERCENT} * ({shared}) >= {PERCENT} * (na + nb)"
+    shared = "array_intersect(pa, pb)"
+    count = f"get({shared}, 0) = tok and " + enough(f"size({shared}) + case when ea <= eb then ra else rb end")
+    found = x.join(y, "tok").where("ca < cb").where(FITS).where(f"nb <= capa and na <= capb and {enough('least(la, lb)')}").where(count)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def other_hubs(placed: DataFrame, seed: int) -> DataFrame:
@@ -308,7 +326,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         tried = scratch.cut(tried.unionByName(more))
         comp = comps_of(edges, scratch)
     # What even then is open is tried pair by pair.
-    across = pairs_across(still_open(lists, comp, tried, scratch)).join(tried, ["a", "b"], "left_anti")
+    across = pairs_across(still_open(lists, comp, tried, scratch), kept).join(tried, ["a", "b"], "left_anti")
     edges = scratch.cut(edges.unionByName(verified(scratch.cut(across), rows, scratch)))
     comp = comps_of(edges, scratch)
 
