@@ -505,3 +505,20 @@ def test_pipeline_run(spark):
     assert m["i1"] == "evt:old" and m["i2"] == m["i3"] != "evt:old"
     assert out.events.count() == 2
     assert {r["event_id"]: r["sources"] for r in out.scores.collect()} == {"evt:old": 1, m["i2"]: 2}
+
+
+def test_lines_out(spark):
+    from skein.operators.models import BadStatus
+    from skein.sources import sinks
+
+    at_, headers, body = sinks.webhook_request({"title": "T", "content": "m", "link": "l"}, " http://p/x?a=1 ", " k ", "a b", " ")
+    assert at_ == "http://p/x?a=1&channels=a%20b" and headers["Push-Key"] == "k"
+    assert __import__("json").loads(body) == {"cate": "default", "title": "T", "msg": "m", "link": "l"}
+    seen = []
+    assert sinks.webhook("http://p", "k", send=lambda *a: seen.append(a) or "")({"title": "T"}) and len(seen) == 1
+    assert not sinks.webhook("", "k", send=lambda *a: 1 / 0)({}) and not sinks.webhook("http://p", "k", send=lambda *a: (_ for _ in ()).throw(BadStatus("HTTP 500")))({})
+    assert sinks.feed_address("http://n/", "a b") == "http://n/api/s?id=a%20b" and sinks.feed_address("http://n", "hot", 2) == "http://n/hot"
+    rows = spark.createDataFrame([("a", '{"title": "A|B", "total": "3"}', None), ("b", '{"name": "x", "data": []}', None), ("c", None, "down")], "source_id string, body string, error string")
+    got = [r.asDict() for r in sinks.source_health(rows).orderBy("source_id").collect()]
+    assert [(r["name"], r["total"], r["status"]) for r in got] == [("A|B", 3, "OK"), ("x", 0, "Empty"), (None, None, "Unknown")]
+    assert sinks.markdown(got, ["source_id", "name", "error"], 6).split("\n") == ["| source_id | name | error |", "| --- | --- | --- |", "| a | A\\|B |  |", "| b | x |  |", "| c |  | down |"]
