@@ -24,6 +24,7 @@ table), because rows are numbered in reading order.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,16 +86,22 @@ def repeated_runs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(lines)
     if not levels:
         return rows.select("rid", *[F.lit(0).alias(x) for x in ("seq", "line", "run")]).where("false")
-    ranks = levels[0].select(F.lit(0).alias("k"), "rid", "doc_id", "seq", "r")
-    for k, level in enumerate(levels[1:], 1):
-        ranks = ranks.unionByName(level.select(F.lit(k).alias("k"), "rid", "doc_id", "seq", "r"))
+
+    def ranks_from(k: int) -> DataFrame:
+        """``k, rid, doc_id, seq, r`` of the rounds from k on."""
+        parts = [level.select(F.lit(k + i).alias("k"), "rid", "doc_id", "seq", "r") for i, level in enumerate(levels[k:])]
+        return reduce(DataFrame.unionByName, parts)
+
+    ranks = ranks_from(0)
     # Written, so that the join is one that AQE may split: a hot line's class is one row on this side.
     first = scratch.cut(ranks.groupBy("k", "r").agg(F.min(_order()).alias("first")))
     later = ranks.join(first, ["k", "r"]).where(_order() > F.col("first"))
     deepest = later.groupBy("rid", "seq").agg(F.max(F.struct("k", "r")).alias("x"))
     runs = scratch.cut(deepest.select("rid", "seq", "x.k", "x.r", F.lit(0).alias("d")))
-    there = ranks.select("k", "rid", F.col("seq").alias("at"), F.col("r").alias("r2"))
     for j in reversed(range(len(levels) - 1)):
+        # Only rounds beyond j are read, which get smaller fast.
+        ranks = ranks_from(j + 1)
+        there = ranks.select("k", "rid", F.col("seq").alias("at"), F.col("r").alias("r2"))
         tries = runs.where(F.col("k") > j).withColumn("t", F.col("d") + (1 << j))
         asked = tries.select("k", "r", "t").distinct()
         pairs = ranks.join(asked, ["k", "r"]).withColumn("at", F.col("seq") + F.col("t")).join(there, ["k", "rid", "at"])
