@@ -25,6 +25,7 @@ one segment.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -39,10 +40,10 @@ from pyspark.sql import functions as F
 from .common import clean_columns, read, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
-#: White-space chunks remembered by a worker, in each of two generations.
-MEMO = 400_000
+#: White-space chunks, and words, remembered by a worker, in each of two generations.
+MEMO = 120_000
 #: Characters of a segment of a text, and of a window of segments.
-SEGMENT, WINDOW = 1 << 16, 1 << 20
+SEGMENT, WINDOW = 1 << 16, 1 << 21
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"(?![\x1c-\x1f])\s")
 _PIECE = regex.compile(r"(?:[^\s]|[\x1c-\x1f])+")
@@ -90,7 +91,7 @@ class Transducer:
         self.tokens = {t for t in self.halves if self.merge(self.split(t)) == [t]} | letters
         #: The merge list's sufficient lookahead: no token is longer.
         self.lookahead = max((len(self.body(t)) for t in self.tokens), default=1)
-        self.fits = lru_cache(maxsize=1 << 17)(self._fits)
+        self.fits = lru_cache(maxsize=1 << 14)(self._fits)
         self.reset()
 
     def body(self, token: str) -> str:
@@ -400,6 +401,8 @@ class WordBpe:
         self.number = [str(self.ids[t]) for t in self.machine.names]
         self.memo: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
+        self.word_memo: dict[bytes, tuple[int, str, str]] = {}
+        self.word_old: dict[bytes, tuple[int, str, str]] = {}
         self.joined = regex.compile(pattern + r"|\n")
 
     def normal(self, text: str) -> str:
@@ -431,13 +434,29 @@ class WordBpe:
         pieces = [*zip(plain, found), *((c, self.words_of(c)) for c in other)]
         index: dict[bytes, int] = {}
         todo = [(c, [index.setdefault(w, len(index)) for w in ws]) for c, ws in pieces]
-        words = list(index)
-        short = [w if len(w) <= Transducer.LONG else b"" for w in words]
-        coded = self.machine.encode_words(short)
+        # Pieces differ by signs and capitals more than by words, which have a memory of their own.
+        if len(self.word_memo) > MEMO:
+            self.word_old, self.word_memo = self.word_memo, {}
+        memo, old = self.word_memo, self.word_old
+        parts = []
+        new = []
+        for i, w in enumerate(index):
+            part = memo.get(w)
+            if part is None:
+                part = old.get(w)
+                if part is None:
+                    new.append((i, w))
+                else:
+                    memo[w] = part
+            parts.append(part)
+        coded = self.machine.encode_words([w for _, w in new if len(w) <= Transducer.LONG])
+        at = iter(coded)
         number, names = self.number, self.machine.names
-        parts = [(len(t), " ".join([number[i] for i in t]), " ".join([names[i] for i in t])) for t in coded]
-        for i, w in enumerate(words):
-            if len(w) > Transducer.LONG:
+        for i, w in new:
+            if len(w) <= Transducer.LONG:
+                t = next(at)
+                parts[i] = memo[w] = (len(t), " ".join([number[k] for k in t]), " ".join([names[k] for k in t]))
+            else:
                 t = self.machine.encode_word("".join([self.letters[b] for b in w]))
                 parts[i] = (len(t), " ".join([str(self.ids[x]) for x in t]), " ".join(t))
         out = {}
@@ -559,14 +578,32 @@ def bpe_encode(docs: DataFrame, path: str | None = None, with_ids: bool = False)
         import pyarrow as pa
 
         bpe = tokenizer(where)
-        for batch in batches:
-            texts = (x.as_py().decode("utf-8", "replace") if x.is_valid else "" for x in batch.column(1))
+
+        def encoded(held):
+            texts = (x.as_py().decode("utf-8", "replace") if x.is_valid else "" for batch in held for x in batch.column(1))
             got = bpe.encode_many(texts, with_ids)
-            cols = [batch.column(0).cast(pa.int64()), pa.array([e.n for e in got], pa.int64()), *(pa.array([d.hexdigest() for d in x], pa.string()) for x in ([e.ids for e in got], [e.decoded for e in got]))]
+            doc_ids = pa.chunked_array([batch.column(0).cast(pa.int64()) for batch in held]).combine_chunks()
+            cols = [doc_ids, pa.array([e.n for e in got], pa.int64()), *(pa.array([d.hexdigest() for d in x], pa.string()) for x in ([e.ids for e in got], [e.decoded for e in got]))]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 cols, names = [*cols, pa.array([e.raw for e in got], pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        # The memories hold a million small tuples and no cycles, which a collector would walk through again and again.
+        gc.disable()
+        try:
+            # Words of several batches run in lockstep together, up to a window's worth of bytes.
+            held, size = [], 0
+            for batch in batches:
+                held.append(batch)
+                size += batch.nbytes
+                if size >= WINDOW:
+                    yield encoded(held)
+                    held, size = [], 0
+            if held:
+                yield encoded(held)
+        finally:
+            gc.enable()
 
     src = clean_columns(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("t"))
     return src.mapInArrow(run, schema)

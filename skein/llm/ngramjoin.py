@@ -61,13 +61,13 @@ _WORDS: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes; those of the last few hundred thousand different words are remembered."""
+    """64-bit hashes; those of the last hundred thousand different words are remembered."""
     import xxhash
 
     get, one = _WORDS.get, xxhash.xxh64_intdigest
     out = list(map(get, words))
     if None in out:
-        if len(_WORDS) > 200_000:
+        if len(_WORDS) > 100_000:
             _WORDS.clear()
         for i, h in enumerate(out):
             if h is None:
