@@ -33,11 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor costs a re-read, never a re-run.
 
-    ``cut`` writes and rereads; ``drop`` deletes tables that nothing reads any more.
+    ``cut`` writes and rereads; ``drop`` deletes tables that nothing reads any more, ``keep`` all but some.
     """
 
     def __init__(self, spark: SparkSession, name: str, codec: str = "zstd"):
         self.spark, self.base, self.n, self.codec = spark, f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex[:12]}", 0, codec
+        self.live: set[str] = set()
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -45,14 +46,23 @@ class Scratch:
         df.write.option("compression", self.codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._skein_path = path
+        self.live.add(path)
         return out
 
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.live.discard(path)
+
     def drop(self, *dfs: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in dfs:
             if path := getattr(df, "_skein_path", None):
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+                self._delete(path)
+
+    def keep(self, *dfs: DataFrame) -> None:
+        """Deletes every table but these, which the result still reads."""
+        for path in self.live - {getattr(df, "_skein_path", None) for df in dfs}:
+            self._delete(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 128) -> None:

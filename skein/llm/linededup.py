@@ -139,6 +139,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
         F.max(F.when(F.col("maximal"), F.col("run"))).cast("long").alias("longest"),
     )
     per_doc = scratch.cut(per_doc)
+    scratch.keep(per_doc)
     none = F.array().cast("array<int>")
     lines = F.split(F.col("row.text"), "\n")
     words = lambda x: F.size(F.split(F.btrim(x, F.lit(WS_CHARS)), f"[{WS_CLASS}]+"))

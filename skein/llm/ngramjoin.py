@@ -334,6 +334,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     links = edges.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
     named = scratch.cut(named.join(names, "comp").join(links, "c", "left").select("key", "n", "comp", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
+    scratch.keep(made, named)
     out = made.select("rid", "doc_id", "key").join(named, "key")
     alone = F.col("n") == 0
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), "comp", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "links")
