@@ -64,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = scratch.cut(stage(spark, docs, sf_dir))
+        scratch.keep(docs)
     return docs
