@@ -686,9 +686,19 @@ def l10_report(spark, d):
     return out.select("event_id", "title", F.get("tags", F.lit(0)).alias("tag"), F.posexplode("content_items").alias("i", "x")).select("event_id", "title", "tag", (F.col("i") + 1).alias("i"), F.col("x.title").alias("content_title"), F.col("x.source").alias("source"))
 
 
-@query(None)
+_SQL_CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
+_SQL_STABLE = f"""(length(w) >= 2 and lower(w) not in ({", ".join(f"'{w}'" for w in X.ANCHOR_STOP_WORDS)}) and case when regexp_matches(w, '{_SQL_CJK}') then len(regexp_extract_all(w, '{_SQL_CJK}')) >= 2
+    or (length(w) <= 4 and regexp_matches(w, '[0-9A-Za-z]')) else regexp_matches(w, '\\p{{Nd}}') or len(regexp_extract_all(w, '\\p{{Lu}}')) >= 2 or (regexp_matches(w, '\\p{{Lu}}') and regexp_matches(w, '\\p{{Ll}}')) end)"""
+_SQL_ADD = lambda x: f"(case when list_contains(list_transform(a.anchors, lambda y: lower(y)), lower({x})) then a.anchors else list_concat([{x}], a.anchors)[1:8] end)"
+
+
+@query(
+    f"""with t as (select doc_id, list_append(list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}](?:[\\p{{L}}\\p{{N}}''&.-]*[\\p{{L}}\\p{{N}}])?'), lambda w: {{'w': w, 'ok': {_SQL_STABLE}}}), {{'w': '', 'ok': false}}) ws from documents),
+    r as (select doc_id, list_reduce(list_transform(ws, lambda x: {{'run': [x.w], 'anchors': [x.w], 'ok': x.ok}}), lambda a, x: case when x.ok then {{'run': list_concat(a.run, x.run), 'anchors': {_SQL_ADD("x.run[1]")}, 'ok': true}}
+      else {{'run': []::varchar[], 'anchors': case when len(a.run) >= 2 then {_SQL_ADD("array_to_string(a.run, ' ')")} else a.anchors end, 'ok': false}} end, {{'run': []::varchar[], 'anchors': []::varchar[], 'ok': false}}) z from t)
+    select doc_id, array_to_string(z.anchors, '|') anchors from r"""
+)
 def i8_anchors(spark, d):
-    """Stable anchors of the texts; runs of neighbours have no SQL form."""
     return B.table(spark, d, "documents").select("doc_id", F.array_join(X.anchors("text"), "|").alias("anchors"))
 
 
