@@ -194,7 +194,7 @@ def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
 #: The length filter of a pair.
 FITS = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
 #: Rounds of hubs beyond the first, hubs that a list offers in each, and hubs that a class tries in each.
-ROUNDS, OFFERS, TRIES = 2, 4, 3
+ROUNDS, OFFERS, TRIES = 1, 4, 3
 
 
 def comps_of(edges: DataFrame, scratch: Scratch) -> DataFrame:
