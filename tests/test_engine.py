@@ -145,9 +145,13 @@ def test_vector_blocks_agree(spark):
     rows = [(i, [float(i % 5), 1.0, float(i % 3)], i) for i in range(40)]
     ev = spark.createDataFrame(rows, "event_id long, v array<float>, last_seen_at long")
     q = ev.where("event_id < 7").select(F.col("event_id").alias("query_id"), "v")
-    want = recall.vector_topk(q, ev, 5, 0.5).collect()
-    got = recall.vector_topk(q, ev, 5, 0.5, broadcast_rows=2).collect()
-    assert sorted(got) == sorted(want) and len(want) == 35
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    sims = {(a, b): round(sum(x * y for x, y in zip(unit(v), unit(w))), 9) for a, v, _ in rows[:7] for b, w, _ in rows}
+    want = {(a, b) for a in range(7) for b in sorted((b for b in range(40) if sims[a, b] >= 0.5), key=lambda b: (-sims[a, b], -b))[:5]}
+    for size in (1024, 3):
+        got = recall.vector_topk(q, ev, 5, 0.5, size).collect()
+        assert {(r["query_id"], r["event_id"]) for r in got} == want and len(got) == 35
+        assert all(round(r["similarity"], 9) == sims[r["query_id"], r["event_id"]] for r in got)
 
 
 def _event(entities, places, kind, first, last):
