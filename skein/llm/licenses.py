@@ -233,8 +233,8 @@ with w as (
 h as ({hits}),
 t as (select * from (values {table}) v(t, label, base, n_keys, tw)),
 f as (
-  select a.rowid_, a.t, a.s from h a left join h b on a.rowid_ = b.rowid_ and a.t = b.t and b.k > 0 and abs(b.s - a.s) <= {SLACK}
-  where a.k = 0 group by all having 1 + count(distinct b.k) = (select n_keys from t where t.t = a.t)),
+  select a.rowid_, a.t, a.s from h a join t on t.t = a.t left join h b on a.rowid_ = b.rowid_ and a.t = b.t and b.k > 0 and abs(b.s - a.s) <= {SLACK}
+  where a.k = 0 group by a.rowid_, a.t, a.s, n_keys having 1 + count(distinct b.k) = n_keys),
 p as (
   select rowid_, label, base, s start, len(list_filter(range(0, len(tw)), lambda k: s + k >= 0 and ws[s + k + 1] = tw[k + 1]))::double / len(tw) share
   from f join t using (t) join w using (rowid_)),
