@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, licenses, linededup, ngramjoin, quality, sharding, substrings, tokencounts
+from . import bpe, decontam, html, licenses, linededup, ngramjoin, quality, sessions, sharding, substrings, tokencounts
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_sharding": sharding.op10_sharding,
+    "op12_gap_sessions": sessions.op12_gap_sessions,
 }
 SQL = {
     "op1_license_scan": licenses.OP1_SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op5_ngram_join": ngramjoin.OP5_SQL,
     "op7_decontamination": decontam.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op12_gap_sessions": sessions.OP12_SQL,
 }
