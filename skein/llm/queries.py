@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, licenses, linededup, ngramjoin, quality, sessions, sharding, substrings, tokencounts
+from . import bpe, conversations, decontam, html, licenses, linededup, ngramjoin, quality, sessions, sharding, substrings, tokencounts
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_sharding": sharding.op10_sharding,
     "op12_gap_sessions": sessions.op12_gap_sessions,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 SQL = {
     "op1_license_scan": licenses.OP1_SQL,
