@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, decontam, html, licenses, linededup, ngramjoin, quality, sessions, sharding, substrings, tokencounts
+from . import bpe, conversations, decontam, html, licenses, linededup, ngramjoin, pii, quality, sessions, sharding, substrings, tokencounts
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_sharding": sharding.op10_sharding,
+    "op11_personal_data": pii.op11_personal_data,
     "op12_gap_sessions": sessions.op12_gap_sessions,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
