@@ -9,15 +9,16 @@
    Pages of a host with equal html count once.
 3. Valid classes are nested into a template: the skeleton is the largest class that stands once on nearly all pages
    (``CONSTANT`` percent); a class goes into the innermost element of the skeleton that holds all of its elements, and
-   what occurs there once a page refines the skeleton. Texts on nearly all pages of a host of ``SURE`` pages or more are
-   template, too. A host's template is one small row.
+   what occurs there once a page refines the skeleton. A host's template is one row no larger than a page.
 4. What the template doesn't hold are its slots. Each has the characters that vary in it over all pages, outside
-   menus, headers, footers, sidebars, notices, adverts, forms and comments as far as names tell. The main slot is the
-   innermost container with half of them or more, or its parent if a heading that varies stands directly in that.
-   No tag name is needed for it. A page yields what fills the main slot, without parts named as above; template texts
-   outside an ``article`` go too.
-5. Pages of hosts without a template (fewer than ``min_pages`` pages), and pages that lack their host's main slot, are
-   judged alone: by their ``article`` or ``main`` element, else whole.
+   menus, headers, footers, sidebars, notices, adverts, forms and comments as far as names tell (all characters, if
+   hardly any vary: the pages are copies of one article). The main slot is the template's ``article`` or ``main`` if
+   the innermost element with all varying text lies inside or around it; else that element, if it is a container and
+   doesn't hold the whole page; else the innermost container with half of the characters or more, or its parent if a
+   heading that varies stands directly in that. A page yields all that stands in the main
+   slot, whether other pages have it or not, without parts named as above.
+5. Pages of hosts without a template (fewer than ``min_pages`` distinct pages), and pages that lack their host's main
+   slot, are judged alone: by their ``article`` or ``main`` element, else whole.
 
 Blocks begin and end at block elements; character references are decoded; white space in a block becomes one
 space; blocks are trimmed and joined by a newline. Defined results: null or empty html gives an empty text; a null or
@@ -38,8 +39,8 @@ from .common import BROADCAST_IDS, Scratch, clean_columns, read, small_batches
 
 #: Share of a host's distinct pages, in percent, that a text must stand on to be part of the template.
 CONSTANT = 90
-#: Distinct pages from which on a text can be part of the template (a few pages may well be copies of one article).
-SURE = 10
+#: Share of all characters, in percent, that must vary for the varying ones to tell where the main text is.
+VARYING = 10
 
 # Element and class names with a role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -206,10 +207,25 @@ def nested(classes: list[dict], total: int) -> list[tuple[str, int]]:
 def choose(paths: list[tuple[str, int]], constant: dict[str, int]) -> str:
     """The main slot among a template's elements (path, characters held); ``constant``: characters of template texts by
     the path that holds them. "" if there is none."""
-    still = {p: sum(n for q, n in constant.items() if within(q, p)) for p, _ in paths}
-    vary = {p: n - still[p] for p, n in paths}
+    held = dict(paths)
+    vary = {p: n - sum(c for q, c in constant.items() if within(q, p)) for p, n in paths}
+    if 100 * max(vary.values(), default=0) < VARYING * max(held.values(), default=0):
+        vary = held
     whole = max(vary.values(), default=0)
-    inner = [p for p, n in vary.items() if whole > 0 and 2 * n >= whole and tag_of(p) in CONTAINERS]
+    if not whole:
+        return ""
+    heading = lambda up, slot: any(HEADING.search(p) and within(p, up) and not within(p, slot) and n > 0 for p, n in vary.items())
+    every = max((p for p, n in vary.items() if n == whole), key=lambda p: (p.count("/"), p))
+    named = [p for p, n in vary.items() if MAIN_TAGS.search(p) and 2 * n >= whole and (within(p, every) or within(every, p))]
+    if named:
+        slot, *around = sorted(named, key=lambda p: (-p.count("/"), p))
+        for up in around:
+            if within(slot, up) and heading(up, slot):
+                slot = up
+        return slot
+    if tag_of(every) in CONTAINERS - {"body"} and held[every] < max(held.values()):
+        return every
+    inner = [p for p, n in vary.items() if 2 * n >= whole and tag_of(p) in CONTAINERS]
     if not inner:
         return ""
     slot = max(inner, key=lambda p: (p.count("/"), p))
@@ -231,7 +247,7 @@ def within(path: str, slot: str) -> bool:
     return path == slot or path.startswith(slot + "/")
 
 
-def extract(page: str, slot: str, constant: frozenset[int] = frozenset()) -> str:
+def extract(page: str, slot: str) -> str:
     """Blocks of the main slot. Without a slot, or where the page lacks it, the page's own elements decide."""
     found, opened = [], set()
     for kind, *rest in parse(page):
@@ -241,7 +257,7 @@ def extract(page: str, slot: str, constant: frozenset[int] = frozenset()) -> str
             found.append(rest)
     if slot not in opened:
         slot = min((p for p in opened if MAIN_TAGS.search(p)), key=lambda p: (p.count("/"), p), default="")
-    return "\n".join([t for path, dropped, main, t in found if not dropped and (not slot or within(path, slot)) and (main or not constant or digest(t) not in constant)])
+    return "\n".join([t for path, dropped, _, t in found if not dropped and (not slot or within(path, slot))])
 
 
 def ancestors(path: str) -> list[str]:
@@ -266,13 +282,12 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     if kind == "open":
                         count[rest[0]] = count.get(rest[0], 0) + 1
                     else:
-                        path, dropped, main, text = rest
+                        path, dropped, _, text = rest
                         if not dropped:
                             for p in ancestors(path):
                                 held[p] = held.get(p, 0) + len(text)
-                            if not main:
-                                x = texts.setdefault((digest(text), path), [0, 0])
-                                x[:] = x[0] + 1, x[1] + len(text)
+                            x = texts.setdefault((digest(text), path), [0, 0])
+                            x[:] = x[0] + 1, x[1] + len(text)
                 rows = [(digest(p), p, False, held.get(p, 0), c) for p, c in count.items()] + [(k, p, True, n, c) for (k, p), (c, n) in texts.items()]
                 for token, path, is_text, n, c in rows:
                     for col, v in zip(out, (host, token, path, is_text, n, digest(f"{key}:{c}"), c)):
@@ -297,14 +312,12 @@ def templates(pages: DataFrame, scratch: Scratch, min_pages: int = 3) -> DataFra
     template texts; hosts without valid classes are absent."""
     pages, totals = distinct_pages(pages, scratch)
     tokens = occurrences(pages).groupBy("host", "token", "path", "is_text").agg(F.sum("held").alias("held"), F.bit_xor("mark").alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("times"))
-    # One-page tokens can't be in a valid class; texts of single pages, the bulk of all tokens, end here.
-    tokens = tokens.where(F.col("pages") >= min_pages).join(totals, "host")
-    # A text that recurs on some pages only is content.
-    tokens = tokens.where(~F.col("is_text") | ((F.col("total") >= SURE) & (100 * F.col("pages") >= CONSTANT * F.col("total"))))
+    # What isn't on nearly all pages is content; texts of single pages, the bulk of all tokens, end here.
+    tokens = tokens.where(F.col("pages") >= min_pages).join(totals, "host").where(100 * F.col("pages") >= CONSTANT * F.col("total"))
     element = F.when(~F.col("is_text"), F.struct("path", "held"))
-    text = F.when(F.col("is_text"), F.struct("token", "path", "held"))
+    text = F.when(F.col("is_text"), F.struct("path", "held"))
     classes = tokens.groupBy("host", "total", "vector", "pages", "times").agg(F.sort_array(F.collect_list(element)).alias("elements"), F.collect_list(text).alias("texts"))
-    valid = classes.where("size(elements) >= 2 or size(texts) > 0")
+    valid = classes.where("(size(elements) >= 2 and times = pages) or size(texts) > 0")
     return valid.groupBy("host", "total").agg(F.collect_list(F.struct("pages", "times", "elements")).alias("classes"), F.flatten(F.collect_list("texts")).alias("constant"))
 
 
@@ -324,7 +337,7 @@ def extract_pages(pages: DataFrame, min_pages: int = 3) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        slots: dict[str, tuple[str, frozenset[int]]] = {}
+        slots: dict[str, str] = {}
         for batch in batches:
             texts = []
             for i, (host, data) in enumerate(zip(batch.column("host").to_pylist(), batch.column("t").to_pylist())):
@@ -332,8 +345,8 @@ def extract_pages(pages: DataFrame, min_pages: int = 3) -> DataFrame:
                     if len(slots) > 1000:
                         slots.clear()
                     total, classes, constant = (batch.column(n)[i].as_py() for n in ("total", "classes", "constant"))
-                    slots[host] = main_slot(classes or [], constant or [], total or 0), frozenset(x["token"] for x in constant or [])
-                texts.append(extract((data or b"").decode("utf-8", "replace"), *slots[host]))
+                    slots[host] = main_slot(classes or [], constant or [], total or 0)
+                texts.append(extract((data or b"").decode("utf-8", "replace"), slots[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
