@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score as S
-from ..functions.text import char_ngrams, distinct_ci, strings, tokenize
+from ..functions.text import distinct_ci, letters_and_digits, strings, tokenize
 from ..sources.config import Config
 
 
@@ -20,107 +20,194 @@ def recallable(events: DataFrame, at: Column, cfg: Config, skip_blacklisted: boo
     return out.where(~F.col("is_blacklisted")) if skip_blacklisted else out
 
 
-#: Rows of a block of items, events or vectors; two blocks are what a task holds at a time.
-BLOCK = 1024
+#: Rows of a block of vectors, and bytes of a block of texts; two blocks are what a task holds at a time.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 
 
-def blocks(df: DataFrame, key: str, columns: list[str], name: str, rows: int = BLOCK, *by: str) -> tuple[DataFrame, int]:
-    """(``name`` (number of a block), ``by``, ``rows``: about ``rows`` of the frame's rows as one array; how many blocks)."""
-    n = max(1, -(-df.count() // rows))
+def blocks(df: DataFrame, key: str, columns: list[str], name: str, n: int, *by: str) -> DataFrame:
+    """(``name`` (number of a block), ``by``, ``{name}_rows``: the rows of one of ``n`` blocks as an array)."""
     dealt = df.withColumn(name, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)))
-    return dealt.groupBy(name, *by).agg(F.collect_list(F.struct(*columns)).alias(f"{name}_rows")), n
+    return dealt.groupBy(name, *by).agg(F.collect_list(F.struct(*columns)).alias(f"{name}_rows"))
 
 
-def against(a: tuple[DataFrame, int], b: DataFrame, name: str, *by: str) -> DataFrame:
-    """Every block of ``b`` with every block of ``a`` (called ``name``): a set of queries in blocks."""
-    return b.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a[1] - 1).cast("long")))).join(a[0].hint("shuffle_hash"), [name, *by])
+def against(a: DataFrame, b: DataFrame, name: str, n: int) -> DataFrame:
+    """Every block of ``b`` with every one of the ``n`` blocks of ``a`` (called ``name``): a set of queries in blocks."""
+    return b.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(a.hint("shuffle_hash"), name)
 
 
-def one_by_one(spark) -> None:
-    """Arrow batches of few rows: each holds two blocks."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+class ItemIndex:
+    """Postings of a block of items: word or n-gram to the items that hold it, and each item's k-th best score so far.
 
-
-def shared_counts(items: DataFrame, events: DataFrame) -> DataFrame:
-    """``item_id, event_id, tok_n, gram_n``: how many tokens and n-grams an item and an event share, for pairs that
-    share any. ``items(item_id, i_tok, i_gram)``, ``events(event_id, e_tok, e_gram)``.
-
-    A block of items is an index of its own words (word to the items that hold it); each event of a block looks its words
-    up and adds the rows of the index, so a pair costs what it shares and no pair of texts is compared as a whole.
+    ``score`` adds an event. What an item can reach with it is bounded, from the cheapest bound on, and compared with the
+    item's k-th score (or the floor): first by the shared words, which are counted exactly, and the two numbers of n-grams;
+    then by the shared n-grams of short posting lists, where the long lists' (those of more than ``LONG`` of the items)
+    count as shared as far as both sides have such; only for what is left the long lists are counted, too. A k-th score
+    only rises, so skipped pairs can't be among the best.
     """
-    spark = items.sparkSession
-    one_by_one(spark)
-    ib, eb = blocks(items, "item_id", ["item_id", "i_tok", "i_gram"], "ib"), blocks(events, "event_id", ["event_id", "e_tok", "e_gram"], "eb")
-    pairs = against(ib, eb[0], "ib").select("ib_rows", "eb_rows")
-    i_kind, e_kind = dict(items.dtypes)["item_id"], dict(events.dtypes)["event_id"]
 
-    def run(batches):
+    LONG = 0.25
+
+    def __init__(self, rows, k: int, floor: float):
         import numpy as np
-        import pyarrow as pa
 
-        def index(rows, field):
-            """(word to row of the table, table of words by items)"""
-            of = rows.field(field)
-            at = np.diff(of.offsets.to_numpy())
-            codes = of.flatten().dictionary_encode()
-            words = {w: k for k, w in enumerate(codes.dictionary.to_pylist())}
-            table = np.zeros((len(words) + 1, len(rows)), np.int32)
-            table[codes.indices.to_numpy(), np.repeat(np.arange(len(rows)), at)] = 1
-            return words, table
+        self.k, self.ids, self.n = max(1, k), rows.field("item_id"), len(rows)
+        self.words, self.tok = self.postings([set(w) for w in rows.field("tok").to_pylist()])
+        self.grams, self.gram = self.postings([set(gram_codes(t).tolist()) for t in rows.field("letters").to_pylist()])
+        self.ti, self.gi = self.tok.sum(axis=0, dtype=np.int64), self.gram.sum(axis=0, dtype=np.int64)
+        long = self.gram.sum(axis=1) > self.LONG * self.n
+        self.long = set(np.flatnonzero(long).tolist())
+        self.long_i = self.gram[long].sum(axis=0, dtype=np.int64)
+        self.best, self.kth = np.full((self.n, self.k), -1.0), np.full(self.n, floor)
+        self.pairs = self.scored = 0
+
+    @staticmethod
+    def postings(sets: list[set]):
+        import numpy as np
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                mine, theirs = batch.column(0)[k].values, batch.column(1)[k].values
-                counts = []
-                for i_field, e_field in (("i_tok", "e_tok"), ("i_gram", "e_gram")):
-                    words, table = index(mine, i_field)
-                    found = []
-                    for ws in theirs.field(e_field).to_pylist():
-                        at = [words[w] for w in ws if w in words]
-                        found.append(table[at].sum(axis=0, dtype=np.int32) if at else np.zeros(len(mine), np.int32))
-                    counts.append(np.array(found, np.int32).reshape(len(theirs), len(mine)))
-                e, i = np.nonzero((counts[0] > 0) | (counts[1] > 0))
-                yield pa.RecordBatch.from_arrays(
-                    [mine.field("item_id").take(pa.array(i)), theirs.field("event_id").take(pa.array(e)), *(pa.array(c[e, i].astype(np.int64)) for c in counts)],
-                    names=["item_id", "event_id", "tok_n", "gram_n"],
-                )
+        words: dict = {}
+        for s in sets:
+            for w in s:
+                words.setdefault(w, len(words))
+        table = np.zeros((len(words), len(sets)), np.uint8)
+        for i, s in enumerate(sets):
+            table[[words[w] for w in s], i] = 1
+        return words, table
+
+    def ratio(self, n, a, b):
+        """Jaccard from the number of shared elements; 0 if either set is empty."""
+        import numpy as np
 
-    return pairs.mapInArrow(run, f"item_id {i_kind}, event_id {e_kind}, tok_n bigint, gram_n bigint")
+        return np.where((a == 0) | (b == 0), 0.0, n / np.maximum(a + b - n, 1))
 
+    def score(self, tok: list[str], letters: str, titles: list[str], keys: list[str], rec: float):
+        """(items, tok, gram, rep, key) of the pairs of an event that can be among their items' best."""
+        import numpy as np
 
-def jaccard_of(n: str, a: str, b: str) -> Column:
-    """From the number of shared elements and the two sets' sizes."""
-    return F.when((F.col(a) == 0) | (F.col(b) == 0), 0.0).otherwise(F.col(n) / (F.col(a) + F.col(b) - F.col(n)))
+        self.pairs += self.n
+        codes, te = gram_codes(letters), len(tok)
+        ge = len(codes)
+        at = [self.words[w] for w in tok if w in self.words]
+        tok_n = self.tok[at].sum(axis=0, dtype=np.int64) if at else np.zeros(self.n, np.int64)
+        tj = self.ratio(tok_n, self.ti, te)
+        held = sum(1 for w in keys if w in self.words)
+        # Titles' n-grams are n-grams of the event, so an item shares no more with them; key terms are its words.
+        rep_most = lambda n, i: 0.15 * n / np.maximum(self.gi[i], 1) if titles else 0.0
+        # Scores are rounded to four places: a hair is left to each bound.
+        rest = 0.35 * tj + 0.05 * rec + (0.10 * held / len(keys) if keys else 0.0) + 0.0001
+        every = slice(None)
+        most = np.minimum(self.gi, ge)
+        left = np.flatnonzero(rest + 0.35 * self.ratio(most, self.gi, ge) + rep_most(most, every) >= self.kth)
+        if not len(left):
+            return None
+        at = [self.grams[c] for c in codes.tolist() if c in self.grams]
+        short, long = [c for c in at if c not in self.long], [c for c in at if c in self.long]
+        n = self.gram[np.ix_(short, left)].sum(axis=0, dtype=np.int64)
+        most = np.minimum(n + np.minimum(self.long_i[left], len(long)), np.minimum(self.gi[left], ge))
+        keep = rest[left] + 0.35 * self.ratio(most, self.gi[left], ge) + rep_most(most, left) >= self.kth[left]
+        left, n = left[keep], n[keep]
+        if not len(left):
+            return None
+        n = n + self.gram[np.ix_(long, left)].sum(axis=0, dtype=np.int64)
+        gj = self.ratio(n, self.gi[left], ge)
+        rep = np.zeros(len(left))
+        for t in titles:
+            c = gram_codes(t)
+            own = [self.grams[x] for x in c.tolist() if x in self.grams]
+            rep = np.maximum(rep, self.ratio(self.gram[np.ix_(own, left)].sum(axis=0, dtype=np.int64), self.gi[left], len(c)))
+        own = [self.words[w] for w in keys if w in self.words]
+        key = self.tok[np.ix_(own, left)].sum(axis=0, dtype=np.int64) / len(keys) if keys else np.zeros(len(left))
+        score = 0.35 * tj[left] + 0.35 * gj + 0.15 * rep + 0.10 * key + 0.05 * rec
+        self.scored += len(left)
+        good = score + 0.0001 >= self.kth[left]
+        left, score, tj, gj, rep, key = left[good], score[good], tj[left][good], gj[good], rep[good], key[good]
+        # The k-th best score so far takes the least one's place.
+        worst = self.best[left].argmin(axis=1)
+        better = score > self.best[left, worst]
+        self.best[left[better], worst[better]] = score[better]
+        self.kth[left] = np.maximum(self.kth[left], self.best[left].min(axis=1) - 0.0001)
+        return left, tj, gj, rep, key
+
+
+def gram_codes(letters: str | None):
+    """The distinct n-grams of two and three UTF-16 units of a text of letters and digits, as numbers."""
+    import numpy as np
+
+    u = np.frombuffer((letters or "").encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.int64) + 1
+    return np.unique(np.concatenate((u[:-1] << 17 | u[1:], u[:-2] << 34 | u[1:-1] << 17 | u[2:])))
+
+
+def text_blocks(df: DataFrame, text: Column, size: int) -> int:
+    """Into how many blocks of about ``size`` bytes a frame's texts go."""
+    return max(1, -(-df.agg(F.coalesce(F.sum(F.length(text) + 64), F.lit(0))).first()[0] // size))
+
+
+def shared_text(items: DataFrame, events: DataFrame, ni: int, ne: int, k: int, floor: float, stats=None) -> DataFrame:
+    """``item_id, event_id, last_seen_at, tok, gram, rep, key, rec``: pairs among which each item's best ``k`` are.
+
+    ``items(item_id, tok, letters)``; ``events(event_id, last_seen_at, rec, tok, letters, titles, keys)``. Both are dealt
+    into ``ni`` and ``ne`` blocks; every block of events meets every index of a block of items (``ItemIndex``), which
+    a task keeps, with its k-th scores, from one block of events to the next. ``stats`` is an accumulator's ``add`` for
+    (pairs looked at, pairs scored in full).
+    """
+    ib, eb = blocks(items, "item_id", ["item_id", "tok", "letters"], "ib", ni), blocks(events, "event_id", ["event_id", "last_seen_at", "rec", "tok", "letters", "titles", "keys"], "eb", ne)
+    kinds = dict(items.dtypes) | dict(events.dtypes)
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def rule_recall(items: DataFrame, events: DataFrame, at: Column, cfg: Config, floor: float = 0.08) -> DataFrame:
+        known, at = None, None
+        for batch in batches:
+            for b in range(batch.num_rows):
+                # Pairs of a partition come by the item block's number, so one index is alive at a time.
+                if batch.column(0)[b].as_py() != at:
+                    at, known = batch.column(0)[b].as_py(), ItemIndex(batch.column(1)[b].values, k, floor)
+                theirs = batch.column(2)[b].values
+                found: list[list] = [[], [], [], [], [], []]
+                facts = zip(*(theirs.field(c).to_pylist() for c in ("tok", "letters", "titles", "keys", "rec")), strict=True)
+                for e, (tok, letters, titles, keys, rec) in enumerate(facts):
+                    got = known.score(tok, letters, titles, keys, rec)
+                    if got is not None:
+                        for col, x in zip(found, (np.full(len(got[0]), e), *got), strict=True):
+                            col.append(x)
+                if stats:
+                    stats(known.pairs, known.scored)
+                    known.pairs = known.scored = 0
+                if found[0]:
+                    e, i, *parts = (np.concatenate(x) for x in found)
+                    # A k-th score of later in the block rules out more.
+                    now = 0.35 * parts[0] + 0.35 * parts[1] + 0.15 * parts[2] + 0.10 * parts[3] + 0.05 * theirs.field("rec").to_numpy(zero_copy_only=False)[e]
+                    good = now + 0.0002 >= known.kth[i]
+                    e_at, i_at = pa.array(e[good]), pa.array(i[good])
+                    yield pa.RecordBatch.from_arrays(
+                        [known.ids.take(i_at), theirs.field("event_id").take(e_at), theirs.field("last_seen_at").take(e_at), *(pa.array(p[good], pa.float64()) for p in parts), theirs.field("rec").take(e_at)],
+                        names=["item_id", "event_id", "last_seen_at", "tok", "gram", "rep", "key", "rec"],
+                    )
+
+    pairs = against(ib, eb, "ib", ni).select("ib", "ib_rows", "eb_rows").sortWithinPartitions("ib")
+    out = f"item_id {kinds['item_id']}, event_id {kinds['event_id']}, last_seen_at {kinds['last_seen_at']}, tok double, gram double, rep double, key double, rec double"
+    return pairs.mapInArrow(run, out)
+
+
+def rule_recall(items: DataFrame, events: DataFrame, at: Column, cfg: Config, floor: float = 0.08, stats=None) -> DataFrame:
     """``item_id, event_id, score, features``: the best ``candidate_limit`` events of each item above ``floor``.
 
     ``items(item_id, title, summary)``; ``events`` has titles and lists. Recency alone can't reach the floor, so a
-    candidate shares a token or an n-gram with the item. What is shared is counted once; of the titles' n-grams an item
-    can hold no more than it shares with the whole event, which bounds a pair's score before its titles are compared.
+    candidate shares a token or an n-gram with the item. Pairs that can't be among an item's best are skipped by upper
+    bounds (``ItemIndex``); the rest is scored, rounded and ranked here.
     """
-    from ..functions.text import jaccard
-
     src = F.concat_ws(" ", F.trim("title"), F.trim("summary"))
     cand = F.concat_ws(" ", "canonical_title", "summary", F.concat_ws(" ", "entities"), F.concat_ws(" ", "representative_titles"), F.concat_ws(" ", "key_terms"), F.concat_ws(" ", "aliases"))
-    i = items.select("item_id", tokenize(src).alias("i_tok"), char_ngrams(src).alias("i_gram"))
-    e = events.select("event_id", tokenize(cand).alias("e_tok"), char_ngrams(cand).alias("e_gram"))
-    facts = events.select("event_id", "status", "last_seen_at", "key_terms", "representative_titles")
-    df = shared_counts(i, e)
-    df = df.join(i.select("item_id", F.size("i_tok").alias("ti"), F.size("i_gram").alias("gi")), "item_id").join(e.select("event_id", F.size("e_tok").alias("te"), F.size("e_gram").alias("ge")), "event_id")
-    df = df.select("item_id", "event_id", "tok_n", "gram_n", "gi", jaccard_of("tok_n", "ti", "te").alias("tok"), jaccard_of("gram_n", "gi", "ge").alias("gram")).join(facts, "event_id")
-    df = df.withColumn("rec", S.recency("status", "last_seen_at", at))
-    # Unrounded and then rounded to four places: a hair is left to the bound.
-    most = 0.35 * F.col("tok") + 0.35 * F.col("gram") + F.when(F.size("representative_titles") > 0, 0.15 * F.col("gram_n") / F.greatest("gi", F.lit(1))).otherwise(0.0)
-    most = most + F.when((F.size("key_terms") > 0) & (F.col("tok_n") > 0), 0.10).otherwise(0.0) + 0.05 * F.col("rec")
-    df = df.where(most > floor - 0.0001).join(i, "item_id")
-    rep = F.coalesce(F.array_max(F.transform("representative_titles", lambda t: jaccard("i_gram", char_ngrams(t)))), F.lit(0.0))
-    hit = F.size(F.filter("key_terms", lambda k: F.array_contains("i_tok", F.lower(F.trim(k)))))
-    key = F.when(F.size("key_terms") > 0, hit / F.size("key_terms")).otherwise(0.0)
-    df = df.select("item_id", "event_id", "last_seen_at", "tok", "gram", rep.alias("rep"), key.alias("key"), "rec")
+    some = lambda c: F.coalesce(F.col(c), strings([]))
+    i = items.select("item_id", tokenize(src).alias("tok"), letters_and_digits(src).alias("letters"))
+    e = events.select(
+        "event_id", "last_seen_at", S.recency("status", "last_seen_at", at).alias("rec"), tokenize(cand).alias("tok"), letters_and_digits(cand).alias("letters"),
+        F.transform(some("representative_titles"), letters_and_digits).alias("titles"), F.transform(some("key_terms"), lambda k: F.lower(F.trim(k))).alias("keys"),
+    )
+    # An index is a table of n-grams by items, so its items are fewer.
+    df = shared_text(i, e, text_blocks(items, src, BLOCK_BYTES // 32), text_blocks(events, cand, BLOCK_BYTES), cfg.candidate_limit, floor, stats)
     df = df.withColumn("score", S.recall_score("tok", "gram", "rep", "key", "rec")).where(F.col("score") > floor)
-    df = df.withColumn("features", S.recall_features("tok", "gram", "rep", "key", "rec"))
+    df = df.withColumn("features", S.recall_features("tok", "gram", "rep", "key", "rec")).select("item_id", "event_id", "last_seen_at", "tok", "gram", "rep", "key", "rec", "score", "features")
     return top_per("item_id", df, cfg.candidate_limit, F.desc("score"), F.desc("last_seen_at"), F.asc("event_id"))
 
 
@@ -129,36 +216,121 @@ def top_per(key: str, df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__n") <= max(1, k)).drop("__n")
 
 
-def vector_topk(queries: DataFrame, events: DataFrame, k: int, least: float, rows: int = BLOCK) -> DataFrame:
+def spread_pivots(units: DataFrame, n: int, most: int = 4096) -> list:
+    """``n`` unit vectors far apart from each other among the ``most`` of least hash (a documented, bounded sample)."""
+    import numpy as np
+
+    rows = units.orderBy(F.xxhash64("v")).limit(most).collect()
+    v = np.array([r["v"] for r in rows]) if rows else np.empty((0, 0))
+    chosen = [0] if len(v) else []
+    near = v @ v[0] if len(v) else None
+    while len(chosen) < min(n, len(v)):
+        far = int(near.argmin())
+        if near[far] > 1 - 1e-9:
+            break
+        chosen.append(far)
+        near = np.maximum(near, v @ v[far])
+    return v[chosen].tolist()
+
+
+#: Slack of an angle's bound, in radians: doubles are good to far less. Rings of equal width around a pivot.
+HAIR, RINGS = 1e-6, 64
+
+
+def vector_topk(queries: DataFrame, events: DataFrame, k: int, least: float, rows: int = BLOCK, stats=None) -> DataFrame:
     """``query_id, event_id, similarity``: exact cosine neighbours at ``least`` or above.
 
-    ``queries(query_id, v)`` against ``events(event_id, v, last_seen_at)``. Both are dealt into blocks; two blocks are
-    matrices, their similarities one product, of which each query's best ``k`` (and their equals) go on to the final
-    choice. Nothing is broadcast, and no task holds more than two blocks.
+    ``queries(query_id, v)`` against ``events(event_id, v, last_seen_at)``. Vectors are dealt to their nearest *pivot*
+    (``spread_pivots``, fitted on a bounded sample; every row is dealt), and those of a ring around it into blocks of about
+    ``rows``. A block knows the least and greatest angle to its pivot. For a query at angle q from that pivot no vector of the block is
+    nearer than the gap between q and that range, so a block of queries skips blocks whose gap exceeds the angle of
+    ``least`` for all of its queries; of a block that is looked at, queries out of reach, and those whose k-th neighbour so
+    far in the task is nearer than the gap, are left out of the product. Nothing is broadcast but the pivots, and no task
+    holds more than two blocks. ``stats`` is an accumulator's ``add`` for (pairs in looked-at blocks, pairs multiplied).
     """
-    spark = queries.sparkSession
-    one_by_one(spark)
+    import numpy as np
+
     q = queries.select("query_id", S.unit("v").alias("v")).where("v is not null").withColumn("size", F.size("v"))
     e = events.select("event_id", "last_seen_at", S.unit("v").alias("v")).where("v is not null").withColumn("size", F.size("v"))
     kinds = dict(q.dtypes) | dict(e.dtypes)
-    qb, eb = blocks(q, "query_id", ["query_id", "v"], "qb", rows, "size"), blocks(e, "event_id", ["event_id", "last_seen_at", "v"], "eb", rows, "size")
-    pairs = against(qb, eb[0], "qb", "size").select("size", "qb_rows", "eb_rows")
+    count, sizes = e.agg(F.count("*"), F.collect_set("size")).first()
+    n_pivots = int(max(1, min(256, (count // max(1, rows)) + 1, round(count**0.5))))
+    pivots = {s: spread_pivots(e.where(F.col("size") == s).select("v"), n_pivots) for s in sizes}
+    reach = float(np.arccos(min(1.0, max(-1.0, least)))) + HAIR
+
+    def placed(ids: str, extra: list[str]):
+        """Adds the nearest pivot and the angle to it."""
+        fields = f"{ids} {kinds[ids]}, " + "".join(f"{c} {kinds[c]}, " for c in extra) + "v array<double>, size int, pivot int, angle double"
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                sizes_, at, angle = batch.column("size").to_numpy(), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+                for s in np.unique(sizes_).tolist():
+                    own = np.flatnonzero(sizes_ == s)
+                    v = batch.column("v").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                    cos = np.clip(v @ np.array(pivots[s]).T, -1, 1) if pivots.get(s) else np.ones((len(own), 1))
+                    at[own], angle[own] = cos.argmax(axis=1), np.arccos(cos.max(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(angle)], names=[*batch.schema.names, "pivot", "angle"])
+
+        return run, fields
+
+    q, e = (df.select(i, *x, "v", "size").mapInArrow(*placed(i, x)) for df, i, x in ((q, "query_id", []), (e, "event_id", ["last_seen_at"])))
+
+    def in_blocks(df: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
+        """A ring's rows in blocks of about ``rows``."""
+        df = df.withColumn("ring", F.floor(F.col("angle") * (RINGS / np.pi)))
+        counts = df.groupBy("size", "pivot", "ring").agg(F.count("*").alias("n")).collect()  # a few thousand rows at most
+        lots, fill = [], {}
+        for size, pivot, ring, n in sorted(map(tuple, counts)):
+            # Neighbouring rings share a block as long as they fit; a full ring is dealt by hash.
+            start, held = fill.get((size, pivot), (ring, 0))
+            start, held = (ring, n) if held and held + n > rows else (start, held + n)
+            fill[size, pivot] = start, held
+            lots.append((size, pivot, ring, start, -(-n // rows)))
+        lots = df.sparkSession.createDataFrame(lots, "size int, pivot int, ring long, block long, lots long")
+        dealt = df.join(F.broadcast(lots), ["size", "pivot", "ring"]).withColumn("lot", F.pmod(F.xxhash64(F.col(key).cast("string")), F.col("lots")))
+        out = dealt.groupBy("size", "pivot", "block", "lot").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.collect_list(F.struct(*columns)).alias("rows"))
+        return out.select("size", *[F.col(c).alias(f"{name}_{c}") for c in ("pivot", "low", "high", "rows")])
+
+    qb, eb = in_blocks(q, "query_id", ["query_id", "v"], "q"), in_blocks(e, "event_id", ["event_id", "last_seen_at", "v"], "e")
+    # Angle of two pivots, less the block's own spreads: the least angle between their vectors (triangle inequality on the sphere).
+    cosines = {s: np.clip(np.array(p) @ np.array(p).T, -1, 1) for s, p in pivots.items() if p}
+    table = [(s, i, j, float(np.arccos(c[i, j])) if i != j else 0.0) for s, c in cosines.items() for i in range(len(c)) for j in range(len(c))]
+    between = queries.sparkSession.createDataFrame(table, "size int, q_pivot int, e_pivot int, apart double")
+    gap = F.greatest(F.col("apart") - F.col("q_high") - F.col("e_high"), F.col("e_low") - F.col("apart") - F.col("q_high"), F.col("q_low") - F.col("apart") - F.col("e_high"))
+    met = qb.join(F.broadcast(between), ["size", "q_pivot"]).join(eb.hint("shuffle_hash"), ["size", "e_pivot"]).where(gap <= reach)
+    pairs = met.select("size", "e_pivot", "e_low", "e_high", "q_rows", "e_rows")
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
+        kth: dict = {}
         for batch in batches:
             for n in range(batch.num_rows):
-                size, mine, theirs = batch.column(0)[n].as_py(), batch.column(1)[n].values, batch.column(2)[n].values
-                a, b = (x.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for x in (mine, theirs))
+                size, pivot, low, high = (batch.column(c)[n].as_py() for c in range(4))
+                mine, theirs = batch.column(4)[n].values, batch.column(5)[n].values
+                a, b = (x.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(x), size) for x in (mine, theirs))
+                at = np.arccos(np.clip(a @ np.array(pivots[size][pivot]), -1, 1))
+                nearest = np.cos(np.clip(np.maximum(at - high, low - at) - HAIR, 0, np.pi))
+                ids = mine.field("query_id").to_pylist()
+                bar = np.array([kth.get(i, least) for i in ids])
+                use = np.flatnonzero((nearest >= bar - 1e-9) & (nearest >= least - 1e-9))
+                if stats:
+                    stats(len(a) * len(b), len(use) * len(b))
+                if not len(use):
+                    continue
                 # A product's last bits depend on the blocks' shapes; equal vectors stay equal without them.
-                sim = np.round(a @ b.T, 12)
-                keep = sim >= least
-                if sim.shape[1] > max(1, k):
-                    keep &= sim >= np.partition(sim, -max(1, k), axis=1)[:, [-max(1, k)]]
+                sim = np.round(a[use] @ b.T, 12)
+                keep = sim >= np.maximum(least, bar[use])[:, None]
+                if sim.shape[1] >= max(1, k):
+                    best = np.partition(sim, -max(1, k), axis=1)[:, -max(1, k)]
+                    keep &= sim >= best[:, None]
+                    for i, x in zip(use.tolist(), best.tolist(), strict=True):
+                        kth[ids[i]] = max(x, bar[i])
                 i, j = np.nonzero(keep)
-                i_at, j_at = pa.array(i), pa.array(j)
+                i_at, j_at = pa.array(use[i]), pa.array(j)
                 yield pa.RecordBatch.from_arrays(
                     [mine.field("query_id").take(i_at), theirs.field("event_id").take(j_at), theirs.field("last_seen_at").take(j_at), pa.array(sim[i, j].astype(np.float64))],
                     names=["query_id", "event_id", "last_seen_at", "similarity"],

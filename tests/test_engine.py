@@ -526,3 +526,60 @@ def test_lines_out(spark):
     got = [r.asDict() for r in sinks.source_health(rows).orderBy("source_id").collect()]
     assert [(r["name"], r["total"], r["status"]) for r in got] == [("A|B", 3, "OK"), ("x", 0, "Empty"), (None, None, "Unknown")]
     assert sinks.markdown(got, ["source_id", "name", "error"], 6).split("\n") == ["| source_id | name | error |", "| --- | --- | --- |", "| a | A\\|B |  |", "| b | x |  |", "| c |  | down |"]
+
+
+def test_vector_search_skips_far_blocks_and_stays_exact(spark):
+    """Clusters on the sphere: pivots' bounds rule most pairs out, and what is left equals brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    v = centres[rng.integers(0, 12, 900)] + 0.05 * rng.normal(size=(900, 16))
+    rows = [(i, [float(x) for x in w], i % 5) for i, w in enumerate(v)] + [(5000, [0.0] * 16, 1), (5001, None, 1), (5002, [1.0, 2.0], 3), (5003, [2.0, 4.0], 3)]
+    ev = spark.createDataFrame(rows, "event_id long, v array<double>, last_seen_at long")
+    looked, made = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def stats(pairs, products):
+        looked.add(pairs)
+        made.add(products)
+
+    got = recall.vector_topk(ev.select(F.col("event_id").alias("query_id"), "v"), ev, 4, 0.6, 40, stats).collect()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    sim = np.round(unit @ unit.T, 12)
+    want = {(i, int(j)) for i in range(900) for j in sorted(np.flatnonzero(sim[i] >= 0.6), key=lambda j: (-sim[i, j], -(j % 5), j))[:4]}
+    assert {(r["query_id"], r["event_id"]) for r in got if r["query_id"] < 5000} == want
+    assert {(r["query_id"], r["event_id"]) for r in got if r["query_id"] >= 5000} == {(a, b) for a in (5002, 5003) for b in (5002, 5003)}
+    assert made.value <= looked.value < 0.5 * 900 * 900
+
+
+def test_rule_recall_bounds_skip_pairs_and_stay_exact(spark):
+    """Every item's best events as without any bound; few pairs are scored in full."""
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(90)] + ["the", "更新中", "地震"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(f"i{k}", text(rng.randint(0, 6)), rng.choice([None, "", text(12)])) for k in range(25)]
+    rows = []
+    for k in range(400):
+        lists = [[text(2)] if rng.random() < 0.3 else [] for _ in range(4)]
+        rows.append((f"e{k}", text(rng.randint(0, 4)), text(rng.choice([0, 8, 60])), *lists, rng.choice(["Active", "Stale"]), datetime(2026, 5, rng.randint(1, 5), rng.randrange(8))))
+    ev = spark.createDataFrame(rows, "event_id string, canonical_title string, summary string, entities array<string>, representative_titles array<string>, key_terms array<string>, aliases array<string>, status string, last_seen_at timestamp")
+    it = spark.createDataFrame(items, "item_id string, title string, summary string")
+    scored, looked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def stats(pairs, full):
+        looked.add(pairs)
+        scored.add(full)
+
+    got = recall.rule_recall(it, ev, at(), Config(candidate_limit=3), stats=stats).select("item_id", "event_id", "score", "features").collect()
+    src, cand = F.concat_ws(" ", F.trim("title"), F.trim("summary")), F.concat_ws(" ", "canonical_title", "e_summary", F.concat_ws(" ", "entities"), F.concat_ws(" ", "representative_titles"), F.concat_ws(" ", "key_terms"), F.concat_ws(" ", "aliases"))
+    every = it.crossJoin(ev.withColumnRenamed("summary", "e_summary"))
+    tok, gram = X.jaccard(X.tokenize(src), X.tokenize(cand)), X.jaccard(X.char_ngrams(src), X.char_ngrams(cand))
+    rep = F.coalesce(F.array_max(F.transform("representative_titles", lambda t: X.jaccard(X.char_ngrams(src), X.char_ngrams(t)))), F.lit(0.0))
+    hit = F.size(F.filter("key_terms", lambda k: F.array_contains(X.tokenize(src), F.lower(F.trim(k)))))
+    every = every.select("item_id", "event_id", "last_seen_at", tok.alias("tok"), gram.alias("gram"), rep.alias("rep"), F.when(F.size("key_terms") > 0, hit / F.size("key_terms")).otherwise(0.0).alias("key"), S.recency("status", "last_seen_at", at()).alias("rec"))
+    every = every.withColumn("score", S.recall_score("tok", "gram", "rep", "key", "rec")).withColumn("features", S.recall_features("tok", "gram", "rep", "key", "rec")).where("score > 0.08")
+    want = recall.top_per("item_id", every, 3, F.desc("score"), F.desc("last_seen_at"), F.asc("event_id")).select("item_id", "event_id", "score", "features").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 60
+    assert looked.value == 25 * 400 and scored.value < 0.5 * looked.value
