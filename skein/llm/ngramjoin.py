@@ -346,8 +346,8 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     found = jaccard_components(docs)
     first = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "rid")).alias("f"))
     keep = first.select("f.rid").unionByName(found.where("n_shingles = 0").select("rid"))
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return semi_join_ids(rows, keep.withColumnRenamed("rid", "__rid"), "__rid", Scratch(docs.sparkSession, "kept")).drop("__rid")
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid"))
+    return semi_join_ids(rows, keep, "rid", Scratch(docs.sparkSession, "kept")).select("row.*")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
