@@ -124,6 +124,22 @@ def hex_id(prefix: str, length: int, *parts) -> Column:
     return F.concat(F.lit(prefix + ":"), F.left(F.sha2(F.trim(F.concat_ws("|", *[_col(p).cast("string") for p in parts])), 256), F.lit(length)))
 
 
+def content_id(category, source_id, item_id) -> Column:
+    """``ci:`` with the safe category, the safe source and a hash of the item's own id."""
+    from .text import safe_id_part
+
+    return F.concat(F.lit("ci:"), safe_id_part(category), F.lit(":"), safe_id_part(source_id), F.lit(":"), F.left(F.sha2(F.trim(_col(item_id)), 256), F.lit(16)))
+
+
+def snapshot_id(run_id, order, category, source_id, rank) -> Column:
+    """A run's snapshot by its place in the display order."""
+    from .text import safe_id_part
+
+    place = F.lpad(_col(order).cast("string"), F.greatest(F.length(_col(order).cast("string")), F.lit(5)), F.lit("0"))
+    r = F.coalesce(_col(rank), F.lit(0)).cast("string")
+    return F.concat(_col(run_id), F.lit(":snap:"), place, F.lit(":"), safe_id_part(category), F.lit(":"), safe_id_part(source_id), F.lit(":r"), F.lpad(r, F.greatest(F.length(r), F.lit(4)), F.lit("0")))
+
+
 def parse_time(value) -> Column:
     """Seconds, milliseconds (above 10^10) or ISO text; null if it is none of them."""
     text = F.trim(_col(value).cast("string"))

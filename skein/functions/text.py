@@ -156,7 +156,9 @@ def weak_tag(name) -> Column:
 
 
 def safe_id_part(text) -> Column:
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(_col(text))), r"[^\p{L}\p{Nd}]+", "-"), "-+", "-"), F.lit("-"))
+    """Lower-cased, every other character than a letter or digit a dash, dashes trimmed; ``unknown`` if nothing is left."""
+    kept = F.btrim(F.regexp_replace(F.lower(F.btrim(F.coalesce(_col(text), F.lit("")))), r"[^\p{L}\p{Nd}]", "-"), F.lit("-"))
+    return F.coalesce(F.nullif(kept, F.lit("")), F.lit("unknown"))
 
 
 def anchors_of(*texts: str | None, cap: int = 8) -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.score import hex_id
+from ..functions.score import content_id
 from ..functions.text import first_text
 
 Rule = Callable[[Column, Column], Column]
@@ -76,25 +76,36 @@ def dedup_key(given: Column, source_id: Column, item_id: Column) -> Column:
 
 
 def ingest(old: DataFrame, batch: DataFrame, run_id: str, at: Column) -> DataFrame:
-    """Content upsert. ``batch(order, dedup_key, source, source_item_id, title, url, summary, rank, need_enrichment)``;
-    the last row of a key in the batch updates it. Ids and creation times stay; a succeeded enrichment and its
-    summary stay; ``action`` is inserted, updated or kept."""
+    """Content upsert. ``batch(order, dedup_key, source, source_item_id, title, url, summary, rank, need_enrichment)``, with
+    ``category`` if it has one; the last row of a key in the batch updates it. Ids and creation times stay.
+
+    An item without a summary has its title for one. Where ``old`` keeps a ``summary_source``, a summary that is blank or
+    came from the feed (``TitleOnly``, ``SummaryText``) is refreshed and others stay; where it doesn't, a succeeded
+    enrichment's stays. ``action`` is inserted, updated or kept.
+    """
     new = latest(batch, ["dedup_key"], F.desc("order")).drop("order")
     o = old.select("dedup_key", F.struct(*old.columns).alias("o"))
     df = o.join(new, "dedup_key", "full")
     had, came = F.col("o").isNotNull(), F.col("source_item_id").isNotNull()
     done = F.coalesce(F.col("o.enrichment_status") == "Succeeded", F.lit(False))
-    stays = done & had
-    summary = F.when(stays, F.col("o.summary")).otherwise(F.coalesce(first_text("summary"), F.col("o.summary")))
-    status = F.when(stays, F.lit("Succeeded")).when(F.col("need_enrichment"), F.lit("Pending")).otherwise(F.lit("Skipped"))
+    known = "summary_source" in old.columns
+    stays = had & (~(first_text("o.summary").isNull() | F.coalesce(F.lower("o.summary_source").isin("titleonly", "summarytext"), F.lit(False))) if known else done)
+    summary = F.when(stays, F.col("o.summary")).otherwise(F.coalesce(first_text("summary"), F.trim("title")))
+    source = F.when(stays, F.col("o.summary_source") if known else F.lit(None)).when(first_text("summary").isNotNull(), "SummaryText").otherwise("TitleOnly")
+    status = F.when(done & had, F.lit("Succeeded")).when(F.col("need_enrichment"), F.lit("Pending")).otherwise(F.lit("Skipped"))
     pick = lambda new_, old_: F.when(came, new_).otherwise(old_)
+    category = F.col("category") if "category" in batch.columns else F.lit("")
+    # Further columns that both have are refreshed, those of ``old`` alone stay.
+    own = {"dedup_key", "id", "title", "url", "summary", "summary_source", "enrichment_status", "created_at", "last_seen_at", "last_seen_run_id", "last_seen_rank"}
+    further = [pick(F.col(c), F.col(f"o.{c}")).alias(c) if c in batch.columns else F.col(f"o.{c}").alias(c) for c in old.columns if c not in own]
     return df.select(
         "dedup_key",
-        F.coalesce(F.col("o.id"), hex_id("ci", 16, "source", "source_item_id")).alias("id"),
+        F.coalesce(F.col("o.id"), content_id(category, "source", "source_item_id")).alias("id"),
         pick(F.col("title"), F.col("o.title")).alias("title"), pick(F.col("url"), F.col("o.url")).alias("url"), pick(summary, F.col("o.summary")).alias("summary"),
         pick(status, F.col("o.enrichment_status")).alias("enrichment_status"), F.coalesce(F.col("o.created_at"), at).alias("created_at"),
         pick(at, F.col("o.last_seen_at")).alias("last_seen_at"), pick(F.lit(run_id), F.col("o.last_seen_run_id")).alias("last_seen_run_id"),
-        pick(F.coalesce("rank", F.lit(0)), F.col("o.last_seen_rank")).alias("last_seen_rank"),
+        pick(F.coalesce("rank", F.lit(0)), F.col("o.last_seen_rank")).alias("last_seen_rank"), *further,
+        *([pick(source, F.col("o.summary_source")).alias("summary_source")] if known else []),
         F.when(~had, "inserted").when(came, "updated").otherwise("kept").alias("action"),
     )
 

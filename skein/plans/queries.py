@@ -314,12 +314,16 @@ def i24_cost(spark, d):
 
 
 @query(
-    """select c_custkey, 'evt:' || left(sha256(trim(c_name || '|' || c_mktsegment)), 20) event_id, md5(c_name) item_md5, trim(regexp_replace(lower(trim(c_name)), '[^\\p{L}\\p{Nd}]+', '-', 'g'), '-') safe_part,
-    coalesce(nullif(lower(trim(c_name)), ''), '') dedup_key from customer"""
+    """select c_custkey, 'evt:' || left(sha256(trim(c_name || '|' || c_mktsegment)), 20) event_id, md5(c_name) item_md5, coalesce(nullif(trim(regexp_replace(lower(trim(c_name)), '[^\\p{L}\\p{Nd}]', '-', 'g'), '-'), ''), 'unknown') safe_part,
+    coalesce(nullif(trim(regexp_replace(lower(trim(c_name || ' -- ' || c_mktsegment)), '[^\\p{L}\\p{Nd}]', '-', 'g'), '-'), ''), 'unknown') safe_run, case when c_custkey % 2 = 0 then 'unknown' else 'n' || c_custkey end safe_blank,
+    'ci:' || lower(c_mktsegment) || ':' || regexp_replace(lower(c_name), '[^\\p{L}\\p{Nd}]', '-', 'g') || ':' || left(sha256(c_custkey::varchar), 16) content_id,
+    'run-1:snap:' || lpad(c_custkey::varchar, greatest(5, length(c_custkey::varchar))::int, '0') || ':' || lower(c_mktsegment) || ':unknown:r' || lpad((c_custkey % 7)::varchar, 4, '0') snapshot_id, coalesce(nullif(lower(trim(c_name)), ''), '') dedup_key from customer"""
 )
 def i11_ids(spark, d):
     return B.table(spark, d, "customer").select(
         "c_custkey", S.hex_id("evt", 20, "c_name", "c_mktsegment").alias("event_id"), F.md5(F.col("c_name").cast("binary")).alias("item_md5"), X.safe_id_part("c_name").alias("safe_part"),
+        X.safe_id_part(F.concat("c_name", F.lit(" -- "), "c_mktsegment")).alias("safe_run"), X.safe_id_part(F.when(F.col("c_custkey") % 2 == 0, " #/ ").otherwise(F.concat(F.lit(" N"), F.col("c_custkey").cast("string")))).alias("safe_blank"),
+        S.content_id("c_mktsegment", "c_name", F.col("c_custkey").cast("string")).alias("content_id"), S.snapshot_id(F.lit("run-1"), "c_custkey", "c_mktsegment", F.lit("--"), F.col("c_custkey") % 7).alias("snapshot_id"),
         state.dedup_key(F.col("c_name"), F.col("c_mktsegment"), F.col("c_name")).alias("dedup_key"),
     )
 
@@ -606,7 +610,7 @@ def h2_insert_ignore(spark, d):
 
 
 @query(
-    """select event_id::varchar dedup_key, 'ci:' || left(sha256(event_type || '|' || event_id), 16) id, case when event_id % 3 = 0 then 'new ' else 'old ' end || coalesce(props, '') title,
+    """select event_id::varchar dedup_key, 'ci:unknown:' || lower(event_type) || ':' || left(sha256(event_id::varchar), 16) id, case when event_id % 3 = 0 then 'new ' else 'old ' end || coalesce(props, '') title,
     case when event_id % 2 = 0 and event_id % 7 = 0 then 'enriched' when event_id % 3 = 0 then 's-' || user_id else 'before' end summary,
     case when event_id % 2 = 0 and event_id % 7 = 0 then 'Succeeded' when event_id % 2 = 0 and event_id % 3 > 0 then 'Pending' when user_id % 2 = 0 then 'Pending' else 'Skipped' end enrichment_status,
     case when event_id % 2 = 0 then 'r1' else 'r2' end created_in, case when event_id % 3 = 0 then 'r2' else 'r1' end last_seen_run_id, case when event_id % 3 = 0 then user_id else 0 end last_seen_rank,
@@ -633,6 +637,32 @@ def h1_content_upsert(spark, d):
     return out.select("dedup_key", "id", "title", "summary", "enrichment_status", F.when(F.col("created_at") == t0, "r1").otherwise("r2").alias("created_in"), "last_seen_run_id", F.col("last_seen_rank").cast("bigint").alias("last_seen_rank"), "action")
 
 
+@query(
+    """with e as (select *, 'T ' || event_id t0, 'U ' || event_id t1, case when event_id % 5 = 0 then null when event_id % 5 = 1 then ' ' else 's0' end s0, case when user_id % 3 = 0 then null else ' s1 ' end s1 from events),
+    f as (select *, event_id % 2 = 0 had, event_id % 3 > 0 came, event_id % 2 = 0 and event_id % 11 = 0 rich from e where event_id % 2 = 0 or event_id % 3 > 0)
+    select event_id::varchar dedup_key, case when not came then case when rich then 'from the page' else coalesce(nullif(trim(s0), ''), t0) end when rich then 'from the page' else coalesce(nullif(trim(s1), ''), t1) end summary,
+    case when rich then 'Enrichment' when not came then case when trim(coalesce(s0, '')) = '' then 'TitleOnly' else 'SummaryText' end when s1 is null then 'TitleOnly' else 'SummaryText' end summary_source,
+    case when rich then 'Succeeded' when came then 'Skipped' else 'Pending' end enrichment_status, case when not had then 'inserted' when came then 'updated' else 'kept' end action from f"""
+)
+def h1_summary_source(spark, d):
+    """Blank summaries give way to titles, summaries of the feed are refreshed, those of an enrichment stay."""
+    e = B.table(spark, d, "events")
+    key, n = F.col("event_id").cast("string"), F.col("event_id")
+    empty = spark.createDataFrame([], "dedup_key string, id string, title string, url string, summary string, summary_source string, enrichment_status string, created_at timestamp_ntz, last_seen_at timestamp_ntz, last_seen_run_id string, last_seen_rank bigint")
+
+    def batch(rows, title, summary, need):
+        return rows.select(
+            n.alias("order"), key.alias("dedup_key"), F.col("event_type").alias("source"), key.alias("source_item_id"), F.concat(F.lit(title), key).alias("title"), F.lit(None).cast("string").alias("url"),
+            summary.alias("summary"), F.lit(1).alias("rank"), F.lit(need).alias("need_enrichment"),
+        )
+
+    old = state.ingest(empty, batch(e.where(n % 2 == 0), "T ", F.when(n % 5 == 0, None).when(n % 5 == 1, " ").otherwise("s0"), True), "r1", _at()).drop("action")
+    rich = F.col("dedup_key").cast("bigint") % 11 == 0
+    old = old.withColumns({c: F.when(rich, v).otherwise(F.col(c)) for c, v in (("summary", "from the page"), ("summary_source", "Enrichment"), ("enrichment_status", "Succeeded"))})
+    out = state.ingest(old, batch(e.where(n % 3 > 0), "U ", F.when(F.col("user_id") % 3 == 0, None).otherwise(" s1 "), False), "r2", _at())
+    return out.select("dedup_key", "summary", "summary_source", "enrichment_status", "action")
+
+
 @query(
     """with o as (select doc_id, max(quality) q, case when max(toxic) = 1 then 'web_extract' else 'llm' end s from labels where doc_id % 2 = 0 group by 1), n as (select doc_id, 0.5::double c from labels where doc_id % 3 = 0 group by 1)
     select coalesce(o.doc_id, n.doc_id) doc_id, greatest(coalesce(q::double, c), coalesce(c, q::double)) confidence, case when o.doc_id is null then 'rule' when n.doc_id is null then s when s = 'web_extract' then s else 'rule' end source from o full join n on o.doc_id = n.doc_id"""
