@@ -97,6 +97,33 @@ def enrichment_candidates(content: DataFrame, run_id: str, at: Column, cooldown_
     return rows.orderBy("last_seen_rank", "source", "title", "id").limit(max(0, budget))
 
 
+def enrichment_outcome(todo: DataFrame, replies: DataFrame | None, at: Column) -> tuple[DataFrame, DataFrame | None]:
+    """(changes by id, ``id, tags`` of the replies): a reply with a summary succeeds, another one fails, what wasn't asked
+    for (``replies(id, body, success)`` lacks it, or there are none) is skipped. The feed's own summary stays before a
+    fetched one; failed and skipped items fall back to it or to their title. Skipped ones haven't been tried."""
+    from ..sources.feeds import web_extract
+
+    own = (F.lower("summary_source") == "summarytext") & first_text("summary").isNotNull()
+    base = todo.select("id", "title", "url", "summary", "summary_source")
+    if replies is None:
+        got = base.withColumns({"fetched": F.lit(None).cast("string"), "new_title": F.lit(None).cast("string"), "new_url": F.lit(None).cast("string"), "asked": F.lit(False)})
+        tags = None
+    else:
+        read = web_extract(replies.select("id", "body"))
+        both = F.from_json("body", "struct<title:string,url:string,data:struct<title:string,url:string>>")
+        read = read.select("id", F.when(F.col("ok"), first_text("summary")).alias("fetched"), first_text(both["title"], both["data"]["title"]).alias("new_title"), first_text(both["url"], both["data"]["url"]).alias("new_url"), "insights")
+        tags = read.where("fetched is not null").select("id", F.col("insights").alias("tags"))
+        got = base.join(read.drop("insights").withColumn("asked", F.lit(True)), "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    ok = F.col("fetched").isNotNull()
+    title = F.when(ok, F.coalesce("new_title", "title")).otherwise(F.col("title"))
+    summary = F.when(own, F.trim("summary")).when(ok, F.trim("fetched")).otherwise(F.trim(title))
+    source = F.when(own, "SummaryText").when(ok, "Enrichment").otherwise("TitleOnly")
+    status = F.when(ok, "Succeeded").when(F.col("asked"), "Failed").otherwise("Skipped")
+    changed = got.select("id", title.alias("title"), F.when(ok, F.coalesce("new_url", "url")).otherwise(F.col("url")).alias("url"), summary.alias("summary"), source.alias("summary_source"), status.alias("enrichment_status"), F.when(F.col("asked"), at).alias("tried"))
+    kept = todo.select("id", F.col("enrichment_tried_at").alias("was"))
+    return changed.join(kept, "id").withColumn("enrichment_tried_at", F.coalesce("tried", "was")).drop("tried", "was"), tags
+
+
 def preferred_summary(summary_text, enriched, title) -> Column:
     return F.coalesce(first_text(summary_text), first_text(enriched), first_text(title))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ class ItemIndex:
     item's k-th score (or the floor): first by the shared words, which are counted exactly, and the two numbers of n-grams;
     then by the shared n-grams of short posting lists, where the long lists' (those of more than ``LONG`` of the items)
     count as shared as far as both sides have such; only for what is left the long lists are counted, too. A k-th score
-    only rises, so skipped pairs can't be among the best.
+    only rises, so skipped pairs can't be among the best. With ``k`` 0 all pairs that reach the floor are kept.
     """
 
     LONG = 0.25
@@ -50,14 +52,14 @@ class ItemIndex:
     def __init__(self, rows, k: int, floor: float):
         import numpy as np
 
-        self.k, self.ids, self.n = max(1, k), rows.field("item_id"), len(rows)
+        self.k, self.ids, self.n = k, rows.field("item_id"), len(rows)
         self.words, self.tok = self.postings([set(w) for w in rows.field("tok").to_pylist()])
         self.grams, self.gram = self.postings([set(gram_codes(t).tolist()) for t in rows.field("letters").to_pylist()])
         self.ti, self.gi = self.tok.sum(axis=0, dtype=np.int64), self.gram.sum(axis=0, dtype=np.int64)
         long = self.gram.sum(axis=1) > self.LONG * self.n
         self.long = set(np.flatnonzero(long).tolist())
         self.long_i = self.gram[long].sum(axis=0, dtype=np.int64)
-        self.best, self.kth = np.full((self.n, self.k), -1.0), np.full(self.n, floor)
+        self.best, self.kth = np.full((self.n, max(1, k)), -1.0), np.full(self.n, floor)
         self.pairs = self.scored = 0
 
     @staticmethod
@@ -120,6 +122,8 @@ class ItemIndex:
         self.scored += len(left)
         good = score + 0.0001 >= self.kth[left]
         left, score, tj, gj, rep, key = left[good], score[good], tj[left][good], gj[good], rep[good], key[good]
+        if not self.k:
+            return left, tj, gj, rep, key
         # The k-th best score so far takes the least one's place.
         worst = self.best[left].argmin(axis=1)
         better = score > self.best[left, worst]
@@ -189,13 +193,9 @@ def shared_text(items: DataFrame, events: DataFrame, ni: int, ne: int, k: int, f
     return pairs.mapInArrow(run, out)
 
 
-def rule_recall(items: DataFrame, events: DataFrame, at: Column, cfg: Config, floor: float = 0.08, stats=None) -> DataFrame:
-    """``item_id, event_id, score, features``: the best ``candidate_limit`` events of each item above ``floor``.
-
-    ``items(item_id, title, summary)``; ``events`` has titles and lists. Recency alone can't reach the floor, so a
-    candidate shares a token or an n-gram with the item. Pairs that can't be among an item's best are skipped by upper
-    bounds (``ItemIndex``); the rest is scored, rounded and ranked here.
-    """
+def rule_pairs(items: DataFrame, events: DataFrame, at: Column, k: int, floor: float, stats=None) -> DataFrame:
+    """``item_id, event_id, last_seen_at, tok, gram, rep, key, rec, score, features`` of the pairs above ``floor`` among
+    which each item's best ``k`` are (``k`` 0: all)."""
     src = F.concat_ws(" ", F.trim("title"), F.trim("summary"))
     cand = F.concat_ws(" ", "canonical_title", "summary", F.concat_ws(" ", "entities"), F.concat_ws(" ", "representative_titles"), F.concat_ws(" ", "key_terms"), F.concat_ws(" ", "aliases"))
     some = lambda c: F.coalesce(F.col(c), strings([]))
@@ -205,10 +205,19 @@ def rule_recall(items: DataFrame, events: DataFrame, at: Column, cfg: Config, fl
         F.transform(some("representative_titles"), letters_and_digits).alias("titles"), F.transform(some("key_terms"), lambda k: F.lower(F.trim(k))).alias("keys"),
     )
     # An index is a table of n-grams by items, so its items are fewer.
-    df = shared_text(i, e, text_blocks(items, src, BLOCK_BYTES // 32), text_blocks(events, cand, BLOCK_BYTES), cfg.candidate_limit, floor, stats)
+    df = shared_text(i, e, text_blocks(items, src, BLOCK_BYTES // 32), text_blocks(events, cand, BLOCK_BYTES), k, floor, stats)
     df = df.withColumn("score", S.recall_score("tok", "gram", "rep", "key", "rec")).where(F.col("score") > floor)
-    df = df.withColumn("features", S.recall_features("tok", "gram", "rep", "key", "rec")).select("item_id", "event_id", "last_seen_at", "tok", "gram", "rep", "key", "rec", "score", "features")
-    return top_per("item_id", df, cfg.candidate_limit, F.desc("score"), F.desc("last_seen_at"), F.asc("event_id"))
+    return df.withColumn("features", S.recall_features("tok", "gram", "rep", "key", "rec")).select("item_id", "event_id", "last_seen_at", "tok", "gram", "rep", "key", "rec", "score", "features")
+
+
+def rule_recall(items: DataFrame, events: DataFrame, at: Column, cfg: Config, floor: float = 0.08, stats=None) -> DataFrame:
+    """``item_id, event_id, score, features``: the best ``candidate_limit`` events of each item above ``floor``.
+
+    ``items(item_id, title, summary)``; ``events`` has titles and lists. Recency alone can't reach the floor, so a
+    candidate shares a token or an n-gram with the item. Pairs that can't be among an item's best are skipped by upper
+    bounds (``ItemIndex``); the rest is scored, rounded and ranked here.
+    """
+    return top_per("item_id", rule_pairs(items, events, at, max(1, cfg.candidate_limit), floor, stats), cfg.candidate_limit, F.desc("score"), F.desc("last_seen_at"), F.asc("event_id"))
 
 
 def top_per(key: str, df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -366,6 +375,36 @@ def revalidate(before: DataFrame, after: DataFrame, matched: DataFrame) -> DataF
     return both.where(~F.col("p").eqNullSafe(F.col("q"))).select("item_id")
 
 
+def joins(pairs: DataFrame, cfg: Config) -> DataFrame:
+    """Pairs whose rule score merges them without a model."""
+    return pairs.where((F.col("score") >= cfg.rule_merge_threshold) & F.array_contains("features", "token_overlap") & F.array_contains("features", "char_ngram_jaccard"))
+
+
+def settle(order: DataFrame, pairs: DataFrame, cut: Callable[[str, DataFrame], DataFrame], most: int = 1000) -> DataFrame:
+    """``item_id, founder, score``: which items found an event (founder is the item) and which join an earlier one's.
+
+    ``order(item_id, place)`` is the order of commits; ``pairs(item_id, other, score)``: an item could join the event that
+    ``other``, of a smaller place, would found. As if committed one by one: an item joins the best founder before it, or
+    founds an event if there is none. It goes by rounds: open items without an open or founding item before them found;
+    items whose earlier partners are all decided join their best founder, if any is one, or found. The smallest open place
+    is always decided, and a round decides all that don't wait for each other.
+    """
+    pairs = pairs.join(order.withColumnRenamed("place", "p"), "item_id").join(order.select(F.col("item_id").alias("other"), F.col("place").alias("q")), "other").where("q < p").select("item_id", "other", "score", "q")
+    pairs = cut("settle_pairs", pairs)
+    done = cut("settled_0", order.join(pairs.select("item_id").distinct(), "item_id", "left_anti").select("item_id", F.col("item_id").alias("founder"), F.lit(1.0).alias("score")))
+    open_ = cut("open_0", order.join(done, "item_id", "left_anti").select("item_id"))
+    for n in range(1, most):
+        if open_.isEmpty():
+            return done
+        seen = pairs.join(open_, "item_id", "left_semi").join(done.select(F.col("item_id").alias("other"), (F.col("item_id") == F.col("founder")).alias("founds")), "other", "left")
+        best = F.min(F.when(F.col("founds"), F.struct((-F.col("score")).alias("s"), "q", "other")))
+        ready = seen.groupBy("item_id").agg(F.bool_and(F.col("founds").isNotNull()).alias("known"), best.alias("b")).where("known")
+        ready = ready.select("item_id", F.coalesce("b.other", "item_id").alias("founder"), F.coalesce(-F.col("b.s"), F.lit(1.0)).alias("score"))
+        done = cut(f"settled_{n}", done.unionByName(ready))
+        open_ = cut(f"open_{n}", open_.join(done, "item_id", "left_anti"))
+    raise RuntimeError("commits did not settle")
+
+
 def decide(items: DataFrame, candidates: DataFrame, cfg: Config, replies: DataFrame | None = None) -> DataFrame:
     """``item_id, event_id (null: new event), confidence, decision, by``.
 

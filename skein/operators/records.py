@@ -37,6 +37,9 @@ class Store:
 
     def read(self, name: str, schema: str) -> DataFrame:
         """The current version, or an empty table."""
+        at, fs = self._fs(f"{self.root}/{name}/parts")
+        if fs.exists(at) and any(s.isDirectory() and "=" in s.getPath().getName() for s in fs.listStatus(at)):
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/parts")
         v = self._versions(name)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={v[-1]}") if v else self.spark.createDataFrame([], schema)
 
@@ -49,6 +52,14 @@ class Store:
             fs.delete(at, True)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put(self, name: str, schema: str, part: str, rows: DataFrame) -> None:
+        """Replaces the partitions of ``part`` that ``rows`` has, and no other: a run that is tried again takes the place
+        of its own rows, and what is written doesn't grow with the history. Such a table has no versions."""
+        path = f"{self.root}/{name}/parts"
+        kinds = self.spark.createDataFrame([], schema)
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds.schema])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
     def update(self, name: str, schema: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
         return self.write(name, change(self.read(name, schema)))
 
@@ -57,6 +68,10 @@ RUN = (
     "id string, started_at timestamp, finished_at timestamp, status string, source_count int, success_source_count int, failure_source_count int, fetched_item_count bigint, "
     "enriched_item_count bigint, matched_event_count bigint, pushed_event_count bigint, estimated_llm_cost decimal(18,8), errors array<string>"
 )
+USAGE = (
+    "call_set string, id string, run_id string, stage string, model string, owner string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, estimated_cost decimal(18,8), "
+    "duration_ms bigint, success boolean, retry_count int, error string, created_at timestamp_ntz"
+)
 STATE = "id string, key string, value string, updated_at timestamp"
 PUSH = "id string, event_id string, push_type string, pushed_at timestamp, title string, reason string, content string, payload string, dedup_key string, success boolean, error string"
 REPORT = "id string, report_type string, slot_time timestamp, generated_at timestamp, file_path string, public_url string, event_count int, payload_json string"
@@ -151,6 +166,21 @@ def tag_dimension(tags: DataFrame, new: DataFrame, at: Column) -> DataFrame:
     return merge_frames(tags, rows.dropDuplicates(["name"]), ["name"], keep=("id", "created_at")).select(*tags.columns)
 
 
+def usage_rows(calls: DataFrame, key: str, run: str, stage: str, cfg, at: Column) -> DataFrame:
+    """A row a model call, from what its body says of tokens, at the configured prices; ``call_set`` is run and stage."""
+    from ..functions.score import estimated_cost
+    from ..sources.feeds import token_usage
+
+    n = token_usage(F.col("body"))
+    model, prices = cfg.models.get(stage, stage), cfg.prices.get(cfg.models.get(stage, stage), ("0", "0", "0"))
+    cost = estimated_cost(n["prompt"], n["completion"], n["cached"], *prices)
+    return calls.select(
+        F.lit(f"{run}:{stage}").alias("call_set"), hex_id("lu", 24, F.lit(run), F.lit(stage), F.col(key)).alias("id"), F.lit(run).alias("run_id"), F.lit(stage).alias("stage"), F.lit(model).alias("model"),
+        F.col(key).cast("string").alias("owner"), n["prompt"].alias("input_tokens"), n["completion"].alias("output_tokens"), n["cached"].alias("cache_read_tokens"), cost.alias("estimated_cost"),
+        "duration_ms", "success", "retry_count", "error", at.alias("created_at"),
+    )
+
+
 def embedding_rows(vectors: DataFrame, new: DataFrame, owner: str) -> DataFrame:
     """Upserts vectors by owner, model, version and dimensions."""
     return merge_frames(vectors, new, [owner, "model", "version", "dimensions"])

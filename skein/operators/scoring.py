@@ -168,13 +168,21 @@ def milestones() -> Column:
     return F.slice(F.when(rising, F.array_append(sure, F.lit("heat_rising"))).otherwise(sure), 1, 3)
 
 
-def score_run(evidence: DataFrame, events: DataFrame, prior: DataFrame, at: Column, cfg: Config, weights: DataFrame | None = None) -> DataFrame:
+def score_run(evidence: DataFrame, events: DataFrame, prior: DataFrame, at: Column, cfg: Config, weights: DataFrame | None = None, judged: DataFrame | None = None) -> DataFrame:
     """All of the above for every event with evidence; one shuffle by event for the totals, joins by event after it.
 
     ``events`` needs ``event_id, first_seen_at, reactivated, is_blacklisted, push_count, last_pushed_at, last_push_*``.
+    ``judged(event_id, importance, boost, judged_stage)`` are a judge's replies, which add to the total, may promote an
+    event and name its stage.
     """
     totals = evidence_totals(evidence, "event_id", cfg, weights)
     df = heat_series(totals, prior, "event_id", at, cfg).join(events, "event_id")
-    df = components(df, at, cfg).withColumn("reasons", triggers(cfg))
-    df = df.withColumn("push_reason", push_reason(cfg)).withColumn("stage", stage(cfg)).withColumn("milestones", milestones())
+    if judged is None:
+        df = components(df, at, cfg).withColumn("reasons", triggers(cfg))
+    else:
+        df = df.join(judged, "event_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+        df = components(df, at, cfg, "boost").withColumn("reasons", triggers(cfg))
+        promoted = F.coalesce(judge_promotes("importance", "boost"), F.lit(False))
+        df = df.withColumn("reasons", F.when(promoted, F.array_append("reasons", F.lit("judge_high_importance"))).otherwise(F.col("reasons")))
+    df = df.withColumn("push_reason", push_reason(cfg)).withColumn("stage", stage(cfg, "judged_stage" if judged is not None else None)).withColumn("milestones", milestones())
     return df.withColumn("eligible", eligible()).withColumn("near_eligible", near_eligible(cfg)).withColumn("judge_gate", judge_gate_reason(cfg)).withColumn("reason", S.pick_reason(F.when(F.col("push_reason").isNotNull(), F.array_append("reasons", F.col("push_reason"))).otherwise(F.col("reasons"))))

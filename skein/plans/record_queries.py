@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import score as S
 from ..operators import digest, merging, recall, records, runs
 from ..operators.state import latest
+from ..operators.lineage import cut_in
 from ..sources import feeds
+from ..sources.config import Config
 from . import bindings as B
 from . import metrics as M
 from .queries import _at, query
@@ -264,9 +267,70 @@ def b6_enrichment_candidates(spark, d):
     return digest.enrichment_candidates(c, "r2", _at(), 12, 25).select("id")
 
 
+_NAME = "p_name || ' ' || p_type || ' ' || p_brand"
+_TOK = "list_distinct(list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{Nd}]+'), lambda x: length(x) >= 2))"
+_GRAM = "list_distinct(list_concat(list_transform(range(1, length(l)), lambda i: substring(l, i, 2)), list_transform(range(1, length(l) - 1), lambda i: substring(l, i, 3))))"
+
+
+@query(
+    f"""with i as (select p_partkey id, {_NAME} t from part), n as (select id, {_TOK} k, regexp_replace(lower(t), '[^\\p{{L}}\\p{{Nd}}]', '', 'g') l from i), g as (select id, k, {_GRAM} x from n),
+    u as (select k, x, dense_rank() over (order by k, x) c, id from g), cl as (select c, any_value(k) k, any_value(x) x from u group by c),
+    j as (select a.c ca, b.c cb, len(list_intersect(a.k, b.k)) kn, len(a.k) ka, len(b.k) kb, len(list_intersect(a.x, b.x)) xn, len(a.x) xa, len(b.x) xb from cl a, cl b where a.c <= b.c and list_has_any(a.k, b.k)),
+    sc as (select ca, cb, kn / (ka + kb - kn)::double tj, xn / (xa + xb - xn)::double gj from j), ok as (select ca, cb, round_even(0.35::double * tj + 0.35::double * gj + 0.05::double, 4) s from sc where tj >= 0.12 and gj >= 0.18),
+    rel as (select ca, cb, s from ok where s >= 0.55 union select cb, ca, s from ok where s >= 0.55),
+    e as (select a.id, list(b.id order by b.id) filter (b.id is not null) r from u a left join (rel join u b on rel.cb = b.c) on rel.ca = a.c and b.id < a.id group by a.id),
+    z as (select list_reduce(list({{'f': [id], 'r': coalesce(r, [])}} order by id), lambda acc, x: {{'f': case when list_has_any(acc.f, x.r) then acc.f else list_concat(acc.f, x.f) end, 'r': acc.r}}).f f from e),
+    fo as (select unnest(f) id from z),
+    m as (select a.id, arg_min(b.id, (-rel.s, b.id)) b, max(rel.s) s from u a join rel on rel.ca = a.c join u b on b.c = rel.cb and b.id < a.id join fo on fo.id = b.id where a.id not in (select id from fo) group by 1)
+    select id item_id, b founder, s score from m union all select id, id, 1.0 from fo"""
+)
+def j7_ordered_commit(spark, d):
+    """A batch whose later items join the events that earlier ones found, as if they were committed one by one."""
+    p = B.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.lit("").alias("title"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("summary"))
+    none = F.array().cast("array<string>")
+    born = p.select(
+        F.col("item_id").alias("event_id"), F.lit("").alias("canonical_title"), "summary", *[none.alias(c) for c in ("entities", "representative_titles", "key_terms", "aliases")], F.lit("Active").alias("status"), _at().alias("last_seen_at")
+    )
+    cfg = Config()
+    pairs = recall.joins(recall.rule_pairs(p, born, _at(), 0, cfg.rule_merge_threshold - 0.00005), cfg).select("item_id", F.col("event_id").alias("other"), "score")
+    return recall.settle(p.select("item_id", F.col("item_id").alias("place")), pairs.where("item_id <> other"), cut_in(spark, "commit"))
+
+
 @query("""select event_id, case when event_id % 3 = 0 then 'https://m.example/' || user_id when event_id % 3 = 1 then 'http://w.example/' || user_id end link from events""")
-def i40_first_link(spark, d):
+def e12_first_link(spark, d):
     u, r = F.col("user_id").cast("string"), F.col("event_id") % 3
     item = lambda m, w: F.struct(m.cast("string").alias("mobile_url"), w.cast("string").alias("url"))
     ev = F.array(item(F.lit(" "), F.lit(None)), item(F.when(r == 0, F.concat(F.lit("https://m.example/"), u)), F.when(r < 2, F.concat(F.lit("http://w.example/"), u))), item(F.lit(None), F.lit(" ")))
     return B.table(spark, d, "events").select("event_id", runs.first_link(ev).alias("link"))
+
+
+@query(
+    """with r as (select event_id, list_filter([case when user_id % 2 = 0 then 'rising_trend' end, case when user_id % 3 = 0 then 'coverage_rank' end, case when user_id % 5 = 0 then 'judge_high_importance' end, case when user_id % 7 = 0 then 'other' end, case when event_id % 11 = 0 then 'flash_repeated' end], lambda x: x is not null) x from events)
+    select event_id, coalesce(list_filter(['flash_multi_source', 'flash_repeated', 'flash_follow_up', 'flash_trusted_source', 'coverage_rank', 'rising_trend', 'judge_high_importance', 'reactivation', 'source_increase', 'rank_improvement', 'score_improvement', 'first_push'], lambda p: list_contains(x, p))[1], x[-1], 'eligible') reason from r"""
+)
+def i40_pick_reason(spark, d):
+    """The reason that is told: of highest priority, else the last, else none in particular."""
+    n, u = F.col("event_id"), F.col("user_id")
+    some = [(u % 2 == 0, "rising_trend"), (u % 3 == 0, "coverage_rank"), (u % 5 == 0, "judge_high_importance"), (u % 7 == 0, "other"), (n % 11 == 0, "flash_repeated")]
+    return B.table(spark, d, "events").select("event_id", S.pick_reason(F.array_compact(F.array(*[F.when(c, r) for c, r in some]))).alias("reason"))
+
+
+@query(
+    """with c as (select event_id::varchar id, case when event_id % 2 = 0 then ' T ' || event_id else 'T ' || event_id end title, case when event_id % 3 = 0 then 'feed ' || user_id when event_id % 3 = 1 then 'old' else null end summary,
+    case when event_id % 3 = 0 then 'SummaryText' else 'TitleOnly' end src, event_id % 4 asked from events)
+    select id, case when src = 'SummaryText' then summary when asked = 1 then 'page ' || id when asked = 2 then 'new ' || id else trim(title) end summary,
+    case when src = 'SummaryText' then src when asked in (1, 2) then 'Enrichment' else 'TitleOnly' end summary_source, case when asked = 2 then 'N ' || id else title end title,
+    case when asked in (1, 2) then 'Succeeded' when asked = 3 then 'Failed' else 'Skipped' end enrichment_status, asked > 0 tried from c"""
+)
+def l13_enrichment_states(spark, d):
+    """What a run makes of its enrichment candidates: fetched, failed, or not asked for."""
+    e, n = B.table(spark, d, "events"), F.col("event_id")
+    key = _text("event_id")
+    todo = e.select(
+        key.alias("id"), F.when(n % 2 == 0, F.concat(F.lit(" T "), key)).otherwise(F.concat(F.lit("T "), key)).alias("title"), F.lit("u").alias("url"),
+        F.when(n % 3 == 0, F.concat(F.lit("feed "), _text("user_id"))).when(n % 3 == 1, "old").alias("summary"), F.when(n % 3 == 0, "SummaryText").otherwise("TitleOnly").alias("summary_source"), F.lit(None).cast("timestamp_ntz").alias("enrichment_tried_at"),
+    )
+    body = F.when(n % 4 == 1, F.concat(F.lit("page "), key)).when(n % 4 == 2, F.to_json(F.struct(F.struct(F.concat(F.lit("new "), key).alias("summary"), F.concat(F.lit("N "), key).alias("title")).alias("data"))))
+    replies = e.where(n % 4 > 0).select(key.alias("id"), body.alias("body"), body.isNotNull().alias("success"))
+    done, _ = digest.enrichment_outcome(todo, replies, _at())
+    return done.select("id", "summary", "summary_source", "title", "enrichment_status", F.col("enrichment_tried_at").isNotNull().alias("tried"))

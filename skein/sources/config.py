@@ -39,6 +39,11 @@ class Config:
     time_zone: str = "Asia/Shanghai"
     source_weights: dict[str, float] = field(default_factory=dict)
     blacklist: tuple[str, ...] = ()
+    embedding_model: str = "model"
+    embedding_version: str = "v1"
+    #: Model by stage, and its prices of a million tokens (input, output, cached).
+    models: dict[str, str] = field(default_factory=dict)
+    prices: dict[str, tuple[str, str, str]] = field(default_factory=dict)
 
     def validate(self) -> list[str]:
         """What is wrong, in words; empty if all is well."""

@@ -81,12 +81,13 @@ def clamped(number) -> Column:
 
 
 def cluster_reply(content, known_ids) -> Column:
-    """``decision, event_id, confidence`` of a clustering reply; unknown decisions or ids mean a new event."""
+    """``decision, event_id, confidence, title, summary, reason`` of a clustering reply; unknown decisions or ids mean a
+    new event."""
     r = F.from_json(unfence(content), "struct<decision:string,eventId:string,confidence:double,canonicalTitle:string,summary:string,reason:string>")
     fine = r["decision"].isin("same_event", "follow_up", "related_but_distinct", "unrelated")
     link = r["decision"].isin("same_event", "follow_up")
     good = fine & (~link | F.array_contains(known_ids, r["eventId"]))
     return F.struct(
         F.when(good, r["decision"]).otherwise(F.lit("unrelated")).alias("decision"), F.when(good & link, r["eventId"]).alias("event_id"),
-        clamped(r["confidence"]).alias("confidence"),
+        clamped(r["confidence"]).alias("confidence"), first_text(r["canonicalTitle"]).alias("title"), first_text(r["summary"]).alias("summary"), first_text(r["reason"]).alias("reason"),
     )

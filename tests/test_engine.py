@@ -341,7 +341,9 @@ def test_a_whole_run_twice(spark, tmp_path):
     def fetch(row):
         if row["external_id"] == "s3":
             raise OSError("down")
-        return j.dumps({"status": "success", "items": [{"id": f"q-{row['external_id']}", "title": "Quake Hits Japan Coast", "url": "http://x/1"}, {"id": f"m-{row['external_id']}", "title": f"Market {row['external_id']} Rally Ends Today", "url": "http://x/2"}]})
+        # Titles as near as "Market s0 Rally ..." and "Market s1 Rally ..." are one event by the rule.
+        other = {"s0": "Market Rally Ends Today", "s1": "New Telescope Finds Water", "s2": "Football Cup Final Postponed"}[row["external_id"]]
+        return j.dumps({"status": "success", "items": [{"id": f"q-{row['external_id']}", "title": "Quake Hits Japan Coast", "url": "http://x/1"}, {"id": f"m-{row['external_id']}", "title": other, "url": "http://x/2"}]})
 
     sent = []
     models = Models(
@@ -364,6 +366,73 @@ def test_a_whole_run_twice(spark, tmp_path):
     assert {r["id"]: r["status"] for r in store.read("fetch_run", RUN).collect()} == {"r1": "Partial", "r2": "Partial"} and store.read("push_log", PUSH).count() == 1
 
 
+def test_a_run_with_judge_blacklist_enrichment_and_a_retry(spark, tmp_path):
+    import json as j
+
+    from skein.operators import records
+    from skein.operators.runs import Source
+    from skein.plans import pipeline as P
+    from skein.sources.config import Config
+
+    titles = {"s0": "Harbour Fire Spreads Quickly Tonight", "s1": "Harbour Fire Spreads Quickly", "s2": "Harbour Fire Spreads Quickly Now"}
+    sources = [Source("p", "c", f"s{i}", display_name=f"Source {i}") for i in range(3)]
+    fail = {"extract": False}
+
+    def fetch(row):
+        x = row["external_id"]
+        items = [{"id": "f1", "title": titles[x], "url": "http://x/f"}, {"id": f"c-{x}", "title": f"Casino advert of {x}", "url": "http://x/c"}, {"id": "A1", "title": "?"}, {"id": "a1", "title": "!", "url": "http://x/last"}]
+        return j.dumps({"status": "success", "items": items})
+
+    def extract(row):
+        if fail["extract"]:
+            raise OSError("down")
+        return j.dumps({"summary": f"page {row['url']}", "insights": ["Fire Service"]})
+
+    asked = {"judge": [], "tag": [], "extract": 0}
+    tokens = {"usage": {"prompt_tokens": 1000, "completion_tokens": 100}}
+    models = P.Models(fetch=fetch, extract=extract, judge=lambda r: j.dumps({"importance": "high", "boostScore": 0.4, "stage": "escalating"} | tokens), tag=lambda r: "fire", push=lambda m: True)
+    cfg = Config(source_count=3, rank_threshold=0.5, blacklist=("casino",), enrichment_budget=1, models={"judge": "big"}, prices={"big": ("3", "15", "0")})
+    store = records.Store(spark, str(tmp_path / "store"))
+    for _ in range(2):  # the second one is a retry of the first
+        out = P.run_fetch(spark, store, sources, models, "2026-05-05 09:00:00", "r1", cfg)
+        assert [r["error"] for r in store.read("fetch_run_stage", P.STAGE).where("status = 'failed'").collect()] == []
+    assert asked["extract"] == 0 and out["status"] == "Succeeded" and out["updated"] == 9 and out["inserted"] == 0 and out["items"] == 12
+    snaps = store.read("snapshot", P.SNAPSHOT).collect()
+    assert len(snaps) == 12 and sorted(s["visual_order"] for s in snaps) == list(range(1, 13)) and all(s["id"].startswith(f"r1:snap:{s['visual_order']:05d}:c:p-c-s") for s in snaps)
+    content = {r["dedup_key"]: r for r in store.read("content", P.CONTENT).collect()}
+    # The last row of a key stands: "A1" and "a1" are one item, ranked 3 and 4.
+    assert len(content) == 9 and content["p:c:s0:a1"]["title"] in ("!",) and content["p:c:s0:f1"]["id"].startswith("ci:c:p-c-s0:")
+    states = {k: r["enrichment_status"] for k, r in content.items()}
+    assert set(states.values()) <= {"Succeeded", "Skipped"} and sum(v == "Succeeded" for v in states.values()) == 2  # one a try
+    assert all(r["summary_source"] == ("Enrichment" if r["enrichment_status"] == "Succeeded" else "TitleOnly") for r in content.values())
+    events = {r["event_id"]: r for r in store.read("event", P.EVENT).collect()}
+    fire = [e for e in events.values() if e["canonical_title"].startswith("Harbour")]
+    assert len(fire) == 1 and fire[0]["push_count"] == 1 and fire[0]["current_stage"] == "Escalating"
+    casino = [e for e in events.values() if "Casino" in e["canonical_title"]]
+    assert casino and all(e["is_blacklisted"] and not e["push_count"] for e in casino)
+    # Items without any term don't share an event.
+    assert sum(e["canonical_title"] in ("?", "!") for e in events.values()) == 3
+    scores = store.read("score", P.SCORE).where(F.col("event_id") == fire[0]["event_id"]).collect()
+    assert len(scores) == 1 and "judge_high_importance" in scores[0]["trigger_reasons"]
+    usage = store.read("llm_usage", records.USAGE).where("stage = 'judge'").collect()
+    assert usage and all(u["model"] == "big" and float(u["estimated_cost"]) == 0.0045 for u in usage)
+    run = store.read("fetch_run", records.RUN).first()
+    assert float(run["estimated_llm_cost"]) == round(0.0045 * len(usage), 8)
+    assert store.read("fetch_run_source", P.RUN_SOURCE).count() == 3 and store.read("source", P.SOURCE).count() == 3
+    tags = {(r["content_item_id"], r["source"]) for r in store.read("content_tag", P.CONTENT_TAG).collect()}
+    assert {s for _, s in tags} == {"web_extract", "llm"} and len({c for c, _ in tags}) == len(tags)
+    # A fetch that fails is tried again after the cooldown only.
+    fail["extract"] = True
+    P.run_fetch(spark, store, sources, models, "2026-05-05 10:00:00", "r2", cfg)
+    failed = store.read("content", P.CONTENT).where("enrichment_status = 'Failed'")
+    assert failed.count() > 0 and failed.where("summary_source <> 'TitleOnly' or enrichment_tried_at is null").count() == 0
+    before = {r["id"] for r in failed.collect()}
+    P.run_fetch(spark, store, sources, models, "2026-05-05 11:00:00", "r3", cfg)
+    again = store.read("content", P.CONTENT).where("enrichment_tried_at = timestamp_ntz'2026-05-05 11:00:00'")
+    assert not before & {r["id"] for r in again.collect()}
+    assert store.read("snapshot", P.SNAPSHOT).groupBy("run_id").count().where("count <> 12").count() == 0
+
+
 def test_ingest_is_idempotent(spark):
     empty = spark.createDataFrame([], "dedup_key string, id string, title string, url string, summary string, enrichment_status string, created_at timestamp, last_seen_at timestamp, last_seen_run_id string, last_seen_rank int")
     batch = spark.createDataFrame([(1, "k", "s", "1", "t", None, "sum", 1, True), (2, "k", "s", "1", "t2", None, None, 2, True)], "`order` int, dedup_key string, source string, source_item_id string, title string, url string, summary string, rank int, need_enrichment boolean")
