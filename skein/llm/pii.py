@@ -328,7 +328,7 @@ def sample(docs: DataFrame, most: int = TRAIN_DOCUMENTS, characters: int = 20_00
     some = docs.select(text.alias("text")).where(text.rlike(r"[0-9]@|@[a-z]|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|\+[0-9]"))
     # Only a share of about twice the bound, by hash, comes to the driver, however many partitions there are.
     share = min(1.0, 2 * most / max(some.count(), 1))
-    some = some.withColumn("h", F.xxhash64("text")).where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)))
+    some = some.withColumn("h", F.xxhash64("text")).where(F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64)))
     first = F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - F.lit(characters // 2), F.lit(1))
     piece = some.select("h", F.substring("text", first, F.lit(characters)).alias("text"))
     return [r["text"] for r in piece.orderBy("h", "text").limit(most).collect()]
