@@ -334,3 +334,43 @@ def l13_enrichment_states(spark, d):
     replies = e.where(n % 4 > 0).select(key.alias("id"), body.alias("body"), body.isNotNull().alias("success"))
     done, _ = digest.enrichment_outcome(todo, replies, _at())
     return done.select("id", "summary", "summary_source", "title", "enrichment_status", F.col("enrichment_tried_at").isNotNull().alias("tried"))
+
+
+@query(
+    """with s as (select distinct user_id e, ts t from events where event_id % 5 > 0), m as (select user_id e, min(ts) m from events where event_id % 95 = 0 group by 1), x as (select s.e, t, m from s left join m on s.e = m.e where m is null or t <= m),
+    w as (select e, t, lag(t) over (partition by e order by t) p, coalesce(lead(t) over (partition by e order by t), m, timestamp '2024-03-01') n from x)
+    select e::varchar event_id, 'Active' status, t::timestamp at_, 'first' reason from w where p is null union all select e::varchar, 'Active', t, 'reactivated' from w where p + interval 24 hours < t
+    union all select e::varchar, 'Stale', t + interval 24 hours, 'stale' from w where t + interval 24 hours < n union all select e::varchar, 'Merged', m, 'merged' from m"""
+)
+def j3_transitions(spark, d):
+    """The life of each event: first seen, stale after a silence, back again, merged."""
+    from ..streaming.lifecycle import transitions
+
+    e = B.table(spark, d, "events")
+    at = F.col("ts").cast("timestamp")
+    seen = e.where("event_id % 5 > 0").select(F.col("user_id").alias("event_id"), at.alias("seen_at"), F.lit("seen").alias("kind"))
+    gone = e.where("event_id % 95 = 0").select(F.col("user_id").alias("event_id"), at.alias("seen_at"), F.lit("merged").alias("kind"))
+    out = transitions(seen.unionByName(gone), 24, F.lit("2024-03-01").cast("timestamp"))
+    return out.select("event_id", "status", F.col("at").cast("timestamp_ntz").alias("at_"), "reason")
+
+
+@query(
+    """with x as (select event_id e, user_id u, event_id % 4 = 0 flash from events where event_id % 5 <> 4), i as (select *, unnest([1, 2, 3]) pos from x)
+    select 's' || e source_id, case when flash then 'flash_feed' else 'ranked_news' end content_kind, case when pos = 1 then 'a' || e else sha256('x' || (u % 7) || '|' || case when pos = 2 then 'https://h.example/' || u else 'only' || e end) end source_item_id,
+      case pos when 1 then 'title ' || e else '' end title, case when pos = 2 then 'https://h.example/' || u end url, case pos when 1 then 'told ' || u when 3 then 'only' || e end summary,
+      case when not flash then case pos when 3 then 4 else pos end end::int "rank", case when not flash then 4 end::int source_list_size,
+      case when flash and pos = 1 then make_timestamp((1700000000 + e) * 1000000) when flash and pos = 2 then make_timestamp((1700000000000 + e) * 1000) end published_at from i"""
+)
+def a2_second_shape(spark, d):
+    """Bodies of the second shape: a code instead of a status, summaries that alone make an entry, times in seconds and milliseconds."""
+    e, s = B.table(spark, d, "events"), _text
+    entries = F.concat(
+        F.lit('[{"id": "a'), s("event_id"), F.lit('", "title": " title '), s("event_id"), F.lit('", "desc": "told '), s("user_id"), F.lit('", "pubDate": "'), (F.col("event_id") + 1_700_000_000).cast("string"), F.lit('"}, {"mobileUrl": "https://h.example/'), s("user_id"),
+        F.lit('", "date": "'), (F.col("event_id") + 1_700_000_000_000).cast("string"), F.lit('"}, {"id": "none"}, {"summary": "only'), s("event_id"), F.lit('"}]'),
+    )
+    code = F.when(F.col("event_id") % 5 == 4, '"code": 500, ').when(F.col("event_id") % 5 == 3, '"code": 200, ').otherwise("")
+    body = F.concat(F.lit("{"), code, F.lit('"data": '), entries, F.lit("}"))
+    kind = F.when(F.col("event_id") % 4 == 0, "flash_feed").otherwise("ranked_news")
+    bodies = e.select(F.concat(F.lit("s"), s("event_id")).alias("source_id"), F.concat(F.lit("x"), (F.col("user_id") % 7).cast("string")).alias("external_id"), kind.alias("content_kind"), body.alias("body"))
+    out = feeds.list_items(bodies, 2)
+    return out.select("source_id", "content_kind", "source_item_id", "title", "url", "summary", "rank", "source_list_size", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
