@@ -228,7 +228,8 @@ def run_fetch(spark: SparkSession, store: records.Store, sources: list[runs.Sour
         content = store.read("content", CONTENT)
         todo = store.write("run_todo", digest.enrichment_candidates(content, run_id, now, cfg.retry_cooldown_hours, 2**31 - 1))
         ask = digest.enrichment_candidates(todo.where("trim(coalesce(url, '')) <> ''"), run_id, now, cfg.retry_cooldown_hours, cfg.enrichment_budget if models.extract else 0)
-        got = called("enrichment", ask.select("id", "title", "url"), "id", models.extract) if models.extract else None
+        # A call that failed was a try, too.
+        got = called("enrichment", ask.select("id", "title", "url"), "id", models.extract, failed=True) if models.extract else None
         done, tags = digest.enrichment_outcome(todo, got, now)
         done = store.write("run_extract", done)
         store.update("content", CONTENT, lambda t: records.updated(t, done, "id").select(*t.columns))
@@ -236,11 +237,11 @@ def run_fetch(spark: SparkSession, store: records.Store, sources: list[runs.Sour
         if tags is not None:
             add_tags(digest.assign_tags(tags.withColumnRenamed("id", "item_id"), "item_id", "tags", "web_extract"))
 
-    def called(stage: str, rows: DataFrame, key: str, send: Callable[[dict], str]) -> DataFrame:
+    def called(stage: str, rows: DataFrame, key: str, send: Callable[[dict], str], failed: bool = False) -> DataFrame:
         """A stage's model calls, whose usage and cost are kept."""
         got = store.write(f"run_call_{stage}", call_all(rows, key, send))
         store.put("llm_usage", records.USAGE, "call_set", records.usage_rows(got, key, run_id, stage, cfg, now))
-        return got.where("success")
+        return got if failed else got.where("success")
 
     def add_tags(names: DataFrame) -> None:
         names = store.write("run_tag", names)
