@@ -385,24 +385,51 @@ def settle(order: DataFrame, pairs: DataFrame, cut: Callable[[str, DataFrame], D
 
     ``order(item_id, place)`` is the order of commits; ``pairs(item_id, other, score)``: an item could join the event that
     ``other``, of a smaller place, would found. As if committed one by one: an item joins the best founder before it, or
-    founds an event if there is none. It goes by rounds: open items without an open or founding item before them found;
-    items whose earlier partners are all decided join their best founder, if any is one, or found. The smallest open place
-    is always decided, and a round decides all that don't wait for each other.
+    founds an event if there is none. It goes by rounds: open items without an open one before them found, and open items
+    with a founder before them join, whatever else comes before them. Which founder is best is asked once, at the end.
+    A round's pairs are those between items that it leaves open, so items that are all alike take one round.
     """
     pairs = pairs.join(order.withColumnRenamed("place", "p"), "item_id").join(order.select(F.col("item_id").alias("other"), F.col("place").alias("q")), "other").where("q < p").select("item_id", "other", "score", "q")
     pairs = cut("settle_pairs", pairs)
-    done = cut("settled_0", order.join(pairs.select("item_id").distinct(), "item_id", "left_anti").select("item_id", F.col("item_id").alias("founder"), F.lit(1.0).alias("score")))
-    open_ = cut("open_0", order.join(done, "item_id", "left_anti").select("item_id"))
+    founders = cut("founders_0", order.join(pairs.select("item_id").distinct(), "item_id", "left_anti").select("item_id"))
+    fresh, edges = founders, pairs.select("item_id", "other")
     for n in range(1, most):
-        if open_.isEmpty():
-            return done
-        seen = pairs.join(open_, "item_id", "left_semi").join(done.select(F.col("item_id").alias("other"), (F.col("item_id") == F.col("founder")).alias("founds")), "other", "left")
-        best = F.min(F.when(F.col("founds"), F.struct((-F.col("score")).alias("s"), "q", "other")))
-        ready = seen.groupBy("item_id").agg(F.bool_and(F.col("founds").isNotNull()).alias("known"), best.alias("b")).where("known")
-        ready = ready.select("item_id", F.coalesce("b.other", "item_id").alias("founder"), F.coalesce(-F.col("b.s"), F.lit(1.0)).alias("score"))
-        done = cut(f"settled_{n}", done.unionByName(ready))
-        open_ = cut(f"open_{n}", open_.join(done, "item_id", "left_anti"))
-    raise RuntimeError("commits did not settle")
+        named = fresh.select(F.col("item_id").alias("other"))
+        joined = edges.join(named, "other", "left_semi").select("item_id").distinct()
+        # Whoever joins founds nothing, so its pairs with later items go, too; those of founders are done with.
+        left = cut(f"open_{n}", edges.select("item_id").distinct().join(joined, "item_id", "left_anti"))
+        if left.isEmpty():
+            break
+        edges = cut(f"edges_{n}", edges.join(left, "item_id", "left_semi").join(left.select(F.col("item_id").alias("other")), "other", "left_semi").select("item_id", "other"))
+        fresh = cut(f"founders_{n}", left.join(edges.select("item_id").distinct(), "item_id", "left_anti"))
+        founders = founders.unionByName(fresh)
+    else:
+        raise RuntimeError("commits did not settle")
+    best = F.min(F.struct((-F.col("score")).alias("s"), "q", "other"))
+    joins_ = pairs.join(founders, "item_id", "left_anti").join(founders.select(F.col("item_id").alias("other")), "other", "left_semi").groupBy("item_id").agg(best.alias("b"))
+    return founders.select("item_id", F.col("item_id").alias("founder"), F.lit(1.0).alias("score")).unionByName(joins_.select("item_id", F.col("b.other").alias("founder"), (-F.col("b.s")).alias("score")))
+
+
+def settle_alike(members: DataFrame, pairs: DataFrame, cut: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+    """``settle`` of items many of which are alike: ``members(item_id, place, first)`` names the first, by place, of the
+    items that are like an item, and ``pairs(item_id, other, score)`` are of firsts only, a first with itself included.
+
+    A founder rules out all later items that it is related to, so the first of a kind decides for its kind: if it joins,
+    all do; if it founds, the later ones join unless they are no match for it and nothing else was founded between. The
+    founders that a kind can join become one list of those that were the best when they came, from which each member
+    takes the last one before it; alike items are never paired with each other.
+    """
+    firsts = members.where(F.col("item_id") == F.col("first")).select("item_id", "place")
+    settled = cut("settled_firsts", settle(firsts, pairs.where("item_id <> other"), cut))
+    founds = settled.where(F.col("item_id") == F.col("founder")).select(F.col("item_id").alias("other")).join(firsts.select(F.col("item_id").alias("other"), F.col("place").alias("q")), "other")
+    met = pairs.join(founds, "other").select(F.col("item_id").alias("first"), "score", "q", "other")
+    so_far = Window.partitionBy("first").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+    record = met.withColumn("before", F.max("score").over(so_far)).where("before is null or score > before")
+    lists = record.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("q", "score", "other"))).alias("best"))
+    last = F.element_at(F.filter("best", lambda x: x["q"] < F.col("place")), -1)
+    # An empty list has no last element.
+    chosen = members.join(lists, "first", "left").withColumn("b", F.when(F.exists("best", lambda x: x["q"] < F.col("place")), last))
+    return chosen.select("item_id", F.coalesce("b.other", "item_id").alias("founder"), F.coalesce("b.score", F.lit(1.0)).alias("score"))
 
 
 def decide(items: DataFrame, candidates: DataFrame, cfg: Config, replies: DataFrame | None = None) -> DataFrame:

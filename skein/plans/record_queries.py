@@ -286,14 +286,18 @@ _GRAM = "list_distinct(list_concat(list_transform(range(1, length(l)), lambda i:
 )
 def j7_ordered_commit(spark, d):
     """A batch whose later items join the events that earlier ones found, as if they were committed one by one."""
+    cut = cut_in(spark, "commit")
     p = B.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.lit("").alias("title"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("summary"))
+    # Parts of the same words are scored once.
+    texts = cut("texts", p.groupBy("summary").agg(F.min("item_id").alias("first")))
+    one = texts.select(F.col("first").alias("item_id"), F.lit("").alias("title"), "summary")
     none = F.array().cast("array<string>")
-    born = p.select(
+    born = one.select(
         F.col("item_id").alias("event_id"), F.lit("").alias("canonical_title"), "summary", *[none.alias(c) for c in ("entities", "representative_titles", "key_terms", "aliases")], F.lit("Active").alias("status"), _at().alias("last_seen_at")
     )
     cfg = Config()
-    pairs = recall.joins(recall.rule_pairs(p, born, _at(), 0, cfg.rule_merge_threshold - 0.00005), cfg).select("item_id", F.col("event_id").alias("other"), "score")
-    return recall.settle(p.select("item_id", F.col("item_id").alias("place")), pairs.where("item_id <> other"), cut_in(spark, "commit"))
+    pairs = recall.joins(recall.rule_pairs(one, born, _at(), 0, cfg.rule_merge_threshold - 0.00005), cfg).select("item_id", F.col("event_id").alias("other"), "score")
+    return recall.settle_alike(p.join(texts, "summary").select("item_id", F.col("item_id").alias("place"), "first"), cut("pairs", pairs), cut)
 
 
 @query("""select event_id, case when event_id % 3 = 0 then 'https://m.example/' || user_id when event_id % 3 = 1 then 'http://w.example/' || user_id end link from events""")

@@ -653,3 +653,42 @@ def test_rule_recall_bounds_skip_pairs_and_stay_exact(spark):
     want = recall.top_per("item_id", every, 3, F.desc("score"), F.desc("last_seen_at"), F.asc("event_id")).select("item_id", "event_id", "score", "features").collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 60
     assert looked.value == 25 * 400 and scored.value < 0.5 * looked.value
+
+
+def _commit_one_by_one(place, related):
+    """Founder and score of each item, in the order of places; ``related(i, j)`` is the score of i with j's event or None."""
+    out, founders = {}, []
+    for i in sorted(place, key=place.get):
+        best = min(((-s, place[j], j) for j in founders if (s := related(i, j)) is not None), default=None)
+        out[i] = (i, 1.0) if best is None else (best[2], -best[0])
+        if best is None:
+            founders.append(i)
+    return out
+
+
+def test_settle_takes_few_rounds_for_items_that_are_all_related(spark, tmp_path):
+    from skein.operators.lineage import cut_in
+
+    order = spark.createDataFrame([(i, i) for i in range(12)], "item_id long, place long")
+    pairs = spark.createDataFrame([(i, j, 0.9 - 0.01 * j) for i in range(12) for j in range(12) if i != j], "item_id long, other long, score double")
+    got = recall.settle(order, pairs, cut_in(spark, "test"), 4).collect()
+    assert {(r["item_id"], r["founder"]) for r in got} == {(i, 0) for i in range(12)} and len(got) == 12
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_alike_items_settle_as_one_by_one(spark, seed):
+    """Kinds that match themselves and kinds that don't, against a plain loop over all items."""
+    import random
+
+    from skein.operators.lineage import cut_in
+
+    rng = random.Random(seed)
+    kinds, n = 9, 60
+    rel = {(a, b): round(rng.choice([0.6, 0.7, 0.8]), 4) for a in range(kinds) for b in range(kinds) if rng.random() < (0.6 if a == b else 0.25)}
+    kind, place = [rng.randrange(kinds) for _ in range(n)], dict(enumerate(rng.sample(range(1000), n)))
+    want = _commit_one_by_one(place, lambda i, j: rel.get((kind[i], kind[j])))
+    first = {k: min((i for i in range(n) if kind[i] == k), key=place.get) for k in set(kind)}
+    members = spark.createDataFrame([(i, place[i], first[kind[i]]) for i in range(n)], "item_id long, place long, first long")
+    pairs = spark.createDataFrame([(first[a], first[b], s) for (a, b), s in rel.items() if a in first and b in first], "item_id long, other long, score double")
+    got = {r["item_id"]: (r["founder"], r["score"]) for r in recall.settle_alike(members, pairs, cut_in(spark, "test")).collect()}
+    assert got == want
