@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ def tokenize(text, stop_words: list[str] = STOP_WORDS) -> Column:
 
 
 def letters_and_digits(text) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), r"[^\p{L}\p{Nd}]", "")
+    return F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), r"[^\p{L}\p{Nd}]+", "")
 
 
 def char_ngrams(text, sizes: tuple[int, ...] = (2, 3)) -> Column:
@@ -48,6 +48,31 @@ def char_ngrams(text, sizes: tuple[int, ...] = (2, 3)) -> Column:
     return F.get(F.transform(F.array(cut), lambda c: F.array_distinct(F.concat(*[grams(c, n) for n in sizes]))), F.lit(0))
 
 
+def with_ngram_count(df: DataFrame, letters: str, name: str) -> DataFrame:
+    """``df`` and the number of distinct 2- and 3-grams (``char_ngrams``) of a column of letters and digits, by their
+    code points as numbers: no n-gram is made as a string. Other sizes need ``char_ngrams``."""
+    at = df.columns.index(letters)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            counts = []
+            for t in batch.column(at):
+                u = np.frombuffer((t.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                two = u[:-1] << 21 | u[1:]
+                three = two[:-1] << 21 | u[2:]
+                counts.append(distinct(two) + distinct(three))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int32())], names=[*batch.schema.names, name])
+
+    def distinct(x):
+        x.sort()
+        return int((x[1:] != x[:-1]).sum()) + 1 if len(x) else 0
+
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(name, T.IntegerType())]))
+
+
 def jaccard(a, b) -> Column:
     """Of two sets; 0 if either is empty."""
     a, b = _col(a), _col(b)

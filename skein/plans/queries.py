@@ -275,7 +275,7 @@ _GRAMS = "list_distinct(list_concat(list_transform(range(1, length(l)), lambda i
 @query(f"with t as (select doc_id, coalesce(text, '') title from documents), l as (select doc_id, {_LETTERS} l from t) select doc_id, l normal, len({_GRAMS})::int n_grams from l")
 def i3_ngrams(spark, d):
     t = B.table(spark, d, "documents")
-    return t.select("doc_id", X.letters_and_digits("text").alias("normal"), F.size(X.char_ngrams("text")).alias("n_grams"))
+    return X.with_ngram_count(t.select("doc_id", X.letters_and_digits("text").alias("normal")), "normal", "n_grams")
 
 
 @query(

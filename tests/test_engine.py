@@ -1,5 +1,6 @@
 """Operators on small frames with values worked out by hand."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -692,3 +693,16 @@ def test_alike_items_settle_as_one_by_one(spark, seed):
     pairs = spark.createDataFrame([(first[a], first[b], s) for (a, b), s in rel.items() if a in first and b in first], "item_id long, other long, score double")
     got = {r["item_id"]: (r["founder"], r["score"]) for r in recall.settle_alike(members, pairs, cut_in(spark, "test")).collect()}
     assert got == want
+
+
+def test_ngram_counts_equal_the_sets_and_make_no_strings(spark):
+    from skein.plans import queries as Q
+
+    texts = [None, "", "!", "a", "ab", "aab aab", "地震 地震！", "𝒳𝒴𝒳𝒴 é", "abc" * 50, "x" * 1000, "Σίσυφος 123 Σίσυφος"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {r["doc_id"]: r["n"] for r in df.select("doc_id", F.size(X.char_ngrams("text")).alias("n")).collect()}
+    got = X.with_ngram_count(df.select("doc_id", X.letters_and_digits("text").alias("normal")), "normal", "n")
+    assert {r["doc_id"]: r["n"] for r in got.collect()} == want and got.columns == ["doc_id", "normal", "n"]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        plan = Q.QUERIES["q_i3_ngrams"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "array_distinct" not in plan and plan.count("regexp_replace") == 1
