@@ -244,6 +244,8 @@ def spread_pivots(units: DataFrame, n: int, most: int = 4096) -> list:
 
 #: Slack of an angle's bound, in radians: doubles are good to far less. Rings of equal width around a pivot.
 HAIR, RINGS = 1e-6, 64
+#: Groups of blocks on either side of a vector search, and bytes of a group of events that a task holds.
+TILES, TILE_BYTES = 8, 128 << 20
 
 
 def vector_topk(queries: DataFrame, events: DataFrame, k: int, least: float, rows: int = BLOCK, stats=None) -> DataFrame:
@@ -254,15 +256,21 @@ def vector_topk(queries: DataFrame, events: DataFrame, k: int, least: float, row
     ``rows``. A block knows the least and greatest angle to its pivot. For a query at angle q from that pivot no vector of the block is
     nearer than the gap between q and that range, so a block of queries skips blocks whose gap exceeds the angle of
     ``least`` for all of its queries; of a block that is looked at, queries out of reach, and those whose k-th neighbour so
-    far in the task is nearer than the gap, are left out of the product. Nothing is broadcast but the pivots, and no task
-    holds more than two blocks. ``stats`` is an accumulator's ``add`` for (pairs in looked-at blocks, pairs multiplied).
+    far in the task is nearer than the gap, are left out of the product.
+
+    Blocks are dealt to ``TILES`` groups on either side and every two groups are a task, so a vector is sent ``TILES`` times
+    at most, however many there are; only groups of more than ``TILE_BYTES`` of events are cut into more. A task holds its
+    events and one block of queries, and gives each query's best ``k`` in the final order, equals included, no more. Nothing
+    is broadcast but the pivots. ``stats`` is an accumulator's ``add`` for (pairs in looked-at blocks, pairs multiplied).
     """
     import numpy as np
 
     q = queries.select("query_id", S.unit("v").alias("v")).where("v is not null").withColumn("size", F.size("v"))
     e = events.select("event_id", "last_seen_at", S.unit("v").alias("v")).where("v is not null").withColumn("size", F.size("v"))
     kinds = dict(q.dtypes) | dict(e.dtypes)
-    count, sizes = e.agg(F.count("*"), F.collect_set("size")).first()
+    count, sizes, numbers = e.agg(F.count("*"), F.collect_set("size"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tiles = lambda n: int(max(1, min(TILES, -(-n // max(1, rows)))))
+    q_tiles, e_tiles = tiles(q.count()), max(tiles(count), -(-8 * numbers // TILE_BYTES))
     n_pivots = int(max(1, min(256, (count // max(1, rows)) + 1, round(count**0.5))))
     pivots = {s: spread_pivots(e.where(F.col("size") == s).select("v"), n_pivots) for s in sizes}
     reach = float(np.arccos(min(1.0, max(-1.0, least)))) + HAIR
@@ -287,8 +295,8 @@ def vector_topk(queries: DataFrame, events: DataFrame, k: int, least: float, row
 
     q, e = (df.select(i, *x, "v", "size").mapInArrow(*placed(i, x)) for df, i, x in ((q, "query_id", []), (e, "event_id", ["last_seen_at"])))
 
-    def in_blocks(df: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
-        """A ring's rows in blocks of about ``rows``."""
+    def in_blocks(df: DataFrame, key: str, columns: list[str], name: str, groups: int) -> DataFrame:
+        """A ring's rows in blocks of about ``rows``, each in one of ``groups``."""
         df = df.withColumn("ring", F.floor(F.col("angle") * (RINGS / np.pi)))
         counts = df.groupBy("size", "pivot", "ring").agg(F.count("*").alias("n")).collect()  # a few thousand rows at most
         lots, fill = [], {}
@@ -301,54 +309,136 @@ def vector_topk(queries: DataFrame, events: DataFrame, k: int, least: float, row
         lots = df.sparkSession.createDataFrame(lots, "size int, pivot int, ring long, block long, lots long")
         dealt = df.join(F.broadcast(lots), ["size", "pivot", "ring"]).withColumn("lot", F.pmod(F.xxhash64(F.col(key).cast("string")), F.col("lots")))
         out = dealt.groupBy("size", "pivot", "block", "lot").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.collect_list(F.struct(*columns)).alias("rows"))
-        return out.select("size", *[F.col(c).alias(f"{name}_{c}") for c in ("pivot", "low", "high", "rows")])
-
-    qb, eb = in_blocks(q, "query_id", ["query_id", "v"], "q"), in_blocks(e, "event_id", ["event_id", "last_seen_at", "v"], "e")
+        group = F.pmod(F.xxhash64("size", "pivot", "block", "lot"), F.lit(groups)).cast("int").alias(f"{name}_tile")
+        return out.select(group, "size", "pivot", "low", "high", F.col("rows").alias(f"{name}_rows"))
+
+    qb, eb = in_blocks(q, "query_id", ["query_id", "v"], "q", q_tiles), in_blocks(e, "event_id", ["event_id", "last_seen_at", "v"], "e", e_tiles)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = eb.withColumn("q_tile", every(q_tiles)).unionByName(qb.withColumn("e_tile", every(e_tiles)), allowMissingColumns=True)
+    # A tile's events come before its queries.
+    both = both.select("q_tile", "e_tile", F.col("q_rows").isNotNull().alias("asks"), "size", "pivot", "low", "high", "q_rows", "e_rows")
+    both = both.repartition(q_tiles * e_tiles, "q_tile", "e_tile").sortWithinPartitions("q_tile", "e_tile", "asks")
     # Angle of two pivots, less the block's own spreads: the least angle between their vectors (triangle inequality on the sphere).
-    cosines = {s: np.clip(np.array(p) @ np.array(p).T, -1, 1) for s, p in pivots.items() if p}
-    table = [(s, i, j, float(np.arccos(c[i, j])) if i != j else 0.0) for s, c in cosines.items() for i in range(len(c)) for j in range(len(c))]
-    between = queries.sparkSession.createDataFrame(table, "size int, q_pivot int, e_pivot int, apart double")
-    gap = F.greatest(F.col("apart") - F.col("q_high") - F.col("e_high"), F.col("e_low") - F.col("apart") - F.col("q_high"), F.col("q_low") - F.col("apart") - F.col("e_high"))
-    met = qb.join(F.broadcast(between), ["size", "q_pivot"]).join(eb.hint("shuffle_hash"), ["size", "e_pivot"]).where(gap <= reach)
-    pairs = met.select("size", "e_pivot", "e_low", "e_high", "q_rows", "e_rows")
+    apart = {s: np.arccos(np.clip(np.array(p) @ np.array(p).T, -1, 1)) * (1 - np.eye(len(p))) for s, p in pivots.items() if p}
+    k = max(1, k)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def matrix(x, size):
+            return x.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(x), size)
 
-        kth: dict = {}
+        tile, blocks_, held = None, [], None
         for batch in batches:
             for n in range(batch.num_rows):
-                size, pivot, low, high = (batch.column(c)[n].as_py() for c in range(4))
-                mine, theirs = batch.column(4)[n].values, batch.column(5)[n].values
-                a, b = (x.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(x), size) for x in (mine, theirs))
-                at = np.arccos(np.clip(a @ np.array(pivots[size][pivot]), -1, 1))
-                nearest = np.cos(np.clip(np.maximum(at - high, low - at) - HAIR, 0, np.pi))
-                ids = mine.field("query_id").to_pylist()
-                bar = np.array([kth.get(i, least) for i in ids])
-                use = np.flatnonzero((nearest >= bar - 1e-9) & (nearest >= least - 1e-9))
-                if stats:
-                    stats(len(a) * len(b), len(use) * len(b))
-                if not len(use):
+                at, size, pivot, low, high = (batch.column(0)[n].as_py(), batch.column(1)[n].as_py()), *(batch.column(c)[n].as_py() for c in range(3, 7))
+                if at != tile:
+                    tile, blocks_, held = at, [], None
+                if not batch.column(2)[n].as_py():
+                    # A copy, so that no batch stays alive for its sake.
+                    x = pa.concat_arrays([batch.column(8)[n].values, batch.column(8)[n].values.slice(0, 0)])
+                    blocks_.append((size, pivot, low, high, x))
+                    continue
+                if held is None:
+                    held = EventTile(blocks_, matrix)
+                mine = batch.column(7)[n].values
+                if size not in held.size or size not in apart:
                     continue
-                # A product's last bits depend on the blocks' shapes; equal vectors stay equal without them.
-                sim = np.round(a[use] @ b.T, 12)
-                keep = sim >= np.maximum(least, bar[use])[:, None]
-                if sim.shape[1] >= max(1, k):
-                    best = np.partition(sim, -max(1, k), axis=1)[:, -max(1, k)]
-                    keep &= sim >= best[:, None]
-                    for i, x in zip(use.tolist(), best.tolist(), strict=True):
-                        kth[ids[i]] = max(x, bar[i])
-                i, j = np.nonzero(keep)
-                i_at, j_at = pa.array(use[i]), pa.array(j)
-                yield pa.RecordBatch.from_arrays(
-                    [mine.field("query_id").take(i_at), theirs.field("event_id").take(j_at), theirs.field("last_seen_at").take(j_at), pa.array(sim[i, j].astype(np.float64))],
-                    names=["query_id", "event_id", "last_seen_at", "similarity"],
-                )
-
-    sim = pairs.mapInArrow(run, f"query_id {kinds['query_id']}, event_id {kinds['event_id']}, last_seen_at {kinds['last_seen_at']}, similarity double")
+                a, angles = matrix(mine, size), np.arccos(np.clip(matrix(mine, size) @ np.array(pivots[size]).T, -1, 1))
+                best = Best(len(a), k, least)
+                own = held.size[size]
+                gap = np.maximum.reduce((apart[size][pivot, own["pivot"]] - high - own["high"], own["low"] - apart[size][pivot, own["pivot"]] - high, low - apart[size][pivot, own["pivot"]] - own["high"]))
+                for i in np.argsort(gap, kind="stable").tolist():
+                    if gap[i] > reach:
+                        break
+                    b, place = own["v"][i], own["at"][i]
+                    t = angles[:, own["pivot"][i]]
+                    nearest = np.cos(np.clip(np.maximum(t - own["high"][i], own["low"][i] - t) - HAIR, 0, np.pi))
+                    use = np.flatnonzero(nearest >= best.bar - 1e-9)
+                    if stats:
+                        stats(len(a) * len(b), len(use) * len(b))
+                    if len(use):
+                        best.add(use, a[use] @ b.T, place, held.rank)
+                r, sim, place = best.rows()
+                if len(r):
+                    p = pa.array(place)
+                    yield pa.RecordBatch.from_arrays([mine.field("query_id").take(pa.array(r)), pc.take(held.ids, p), pc.take(held.seen, p), pa.array(sim, pa.float64())], names=["query_id", "event_id", "last_seen_at", "similarity"])
+
+    sim = both.mapInArrow(run, f"query_id {kinds['query_id']}, event_id {kinds['event_id']}, last_seen_at {kinds['last_seen_at']}, similarity double")
     return top_per("query_id", sim, k, F.desc("similarity"), F.desc("last_seen_at"), F.asc("event_id"))
 
 
+class EventTile:
+    """The events of a task: their blocks by number of dimensions, and each event's rank among equally similar ones."""
+
+    def __init__(self, blocks_: list[tuple], matrix):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self.size: dict = {}
+        ids, seen, start = [], [], 0
+        for size, pivot, low, high, x in blocks_:
+            own = self.size.setdefault(size, {"pivot": [], "low": [], "high": [], "v": [], "at": []})
+            for name, value in zip(("pivot", "low", "high", "v", "at"), (pivot, low, high, matrix(x, size), start), strict=True):
+                own[name].append(value)
+            ids.append(x.field("event_id"))
+            seen.append(x.field("last_seen_at"))
+            start += len(x)
+        for own in self.size.values():
+            own |= {c: np.array(own[c]) for c in ("pivot", "low", "high")}
+        self.ids, self.seen = (pa.concat_arrays(x) if x else pa.array([]) for x in (ids, seen))
+        order = pc.sort_indices(pa.table({"seen": self.seen, "id": self.ids}), sort_keys=[("seen", "descending"), ("id", "ascending")]).to_numpy()
+        self.rank = np.empty(start, np.int64)
+        self.rank[order] = np.arange(start)
+
+
+class Best:
+    """The best ``k`` events so far of each query of a block, by similarity and, of equals, by rank; ``bar`` is what a
+    further one must reach: the k-th similarity, or the least one that counts."""
+
+    def __init__(self, n: int, k: int, least: float):
+        import numpy as np
+
+        self.n, self.k, self.bar, self.last = n, k, np.full(n, least), np.full(n, np.iinfo(np.int64).max)
+        self.kept = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.more, self.size = [], 0
+
+    def add(self, use, product, start: int, rank):
+        """A block of products of the queries ``use`` with the events from place ``start`` on."""
+        import numpy as np
+
+        i, j = np.nonzero(product >= self.bar[use][:, None] - 1e-11)
+        # A product's last bits depend on the blocks' shapes; equal vectors stay equal without them.
+        sim, row, place = np.round(product[i, j], 12), use[i], start + j
+        good = (sim > self.bar[row]) | ((sim == self.bar[row]) & (rank[place] < self.last[row]))
+        if good.any():
+            self.more.append((row[good], sim[good], rank[place[good]], place[good]))
+            self.size += int(good.sum())
+            if self.size > self.n * self.k:
+                self.fold()
+
+    def fold(self):
+        import numpy as np
+
+        row, sim, rank, place = (np.concatenate(x) for x in zip(self.kept, *self.more, strict=True))
+        order = np.lexsort((rank, -sim, row))
+        row = row[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = order[nth < self.k]
+        full = order[nth == self.k - 1]
+        self.kept, self.more, self.size = (row[nth < self.k], sim[keep], rank[keep], place[keep]), [], 0
+        at = row[nth == self.k - 1]
+        self.bar[at], self.last[at] = sim[full], rank[full]
+
+    def rows(self):
+        """(query's row, similarity, event's place)."""
+        if self.more:
+            self.fold()
+        return self.kept[0], self.kept[1], self.kept[3]
+
+
 def composite(rule: DataFrame, vector: DataFrame) -> DataFrame:
     """Candidates of both recalls by item and event: the higher score, and all features, the rule's first."""
     v = vector.select("item_id", "event_id", F.bround("similarity", 4).alias("score"), F.array(F.lit("vector_cosine_similarity"), F.concat(F.lit("cosine_similarity:"), F.format_string("%.4f", "similarity"))).alias("features"), F.lit(1).alias("o"))

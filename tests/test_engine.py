@@ -706,3 +706,33 @@ def test_ngram_counts_equal_the_sets_and_make_no_strings(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
         plan = Q.QUERIES["q_i3_ngrams"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "array_distinct" not in plan and plan.count("regexp_replace") == 1
+
+
+@pytest.mark.parametrize("copies", [1, 400])
+def test_vector_search_sends_vectors_a_fixed_number_of_times_and_keeps_k_of_equals(spark, copies):
+    """Copies of vectors, so that most neighbours are equal: the order of equals holds, and tasks give k rows a query."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1200 // copies, 4))
+    v = np.tile(base, (copies, 1))
+    ev = spark.createDataFrame([(i, [float(x) for x in w], i % 3) for i, w in enumerate(v)], "event_id long, v array<double>, last_seen_at long")
+    df = recall.vector_topk(ev.select(F.col("event_id").alias("query_id"), "v"), ev, 3, 0.2, 50)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    sim = np.round(unit @ unit.T, 12)
+    want = {(i, int(j)) for i in range(len(v)) for j in np.lexsort((np.arange(len(v)), -(np.arange(len(v)) % 3), -sim[i]))[:3] if sim[i, j] >= 0.2}
+    assert {(r["query_id"], r["event_id"]) for r in df.collect()} == want
+    nodes = str(df._jdf.queryExecution().executedPlan().toString())
+    assert "Join" not in nodes.replace("BroadcastHashJoin", ""), "blocks meet in tiles, not pair by pair"
+
+
+def test_tiles_hold_no_more_than_the_best_of_equals():
+    import numpy as np
+
+    best = recall.Best(4, 2, 0.5)
+    rank = np.arange(3000)[::-1].copy()
+    for start in (0, 1000, 2000):
+        best.add(np.arange(4), np.ones((4, 1000)), start, rank)
+        assert len(best.kept[0]) <= 8 and best.size <= 8
+    row, sim, place = best.rows()
+    assert sorted(zip(row.tolist(), place.tolist())) == [(r, p) for r in range(4) for p in (2998, 2999)] and (sim == 1).all()
