@@ -22,6 +22,8 @@ def recallable(events: DataFrame, at: Column, cfg: Config, skip_blacklisted: boo
     return out.where(~F.col("is_blacklisted")) if skip_blacklisted else out
 
 
+#: Tasks that a search over blocks of texts is dealt to at least, where there are as many blocks.
+TASKS = 128
 #: Rows of a block of vectors, and bytes of a block of texts; two blocks are what a task holds at a time.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 
@@ -32,11 +34,6 @@ def blocks(df: DataFrame, key: str, columns: list[str], name: str, n: int, *by:
     return dealt.groupBy(name, *by).agg(F.collect_list(F.struct(*columns)).alias(f"{name}_rows"))
 
 
-def against(a: DataFrame, b: DataFrame, name: str, n: int) -> DataFrame:
-    """Every block of ``b`` with every one of the ``n`` blocks of ``a`` (called ``name``): a set of queries in blocks."""
-    return b.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(a.hint("shuffle_hash"), name)
-
-
 class ItemIndex:
     """Postings of a block of items: word or n-gram to the items that hold it, and each item's k-th best score so far.
 
@@ -150,7 +147,8 @@ def shared_text(items: DataFrame, events: DataFrame, ni: int, ne: int, k: int, f
 
     ``items(item_id, tok, letters)``; ``events(event_id, last_seen_at, rec, tok, letters, titles, keys)``. Both are dealt
     into ``ni`` and ``ne`` blocks; every block of events meets every index of a block of items (``ItemIndex``), which
-    a task keeps, with its k-th scores, from one block of events to the next. ``stats`` is an accumulator's ``add`` for
+    a task keeps, with its k-th scores, from one block of events to the next. A block of items goes to several tasks,
+    each with a group of the events, so that few items with many events aren't one task. ``stats`` is an accumulator's ``add`` for
     (pairs looked at, pairs scored in full).
     """
     ib, eb = blocks(items, "item_id", ["item_id", "tok", "letters"], "ib", ni), blocks(events, "event_id", ["event_id", "last_seen_at", "rec", "tok", "letters", "titles", "keys"], "eb", ne)
@@ -163,10 +161,13 @@ def shared_text(items: DataFrame, events: DataFrame, ni: int, ne: int, k: int, f
         known, at = None, None
         for batch in batches:
             for b in range(batch.num_rows):
-                # Pairs of a partition come by the item block's number, so one index is alive at a time.
-                if batch.column(0)[b].as_py() != at:
-                    at, known = batch.column(0)[b].as_py(), ItemIndex(batch.column(1)[b].values, k, floor)
-                theirs = batch.column(2)[b].values
+                # A group comes with its items first, so one index is alive at a time.
+                if batch.column(2)[b].as_py() is not None:
+                    at, known = (batch.column(0)[b].as_py(), batch.column(1)[b].as_py()), ItemIndex(batch.column(2)[b].values, k, floor)
+                    continue
+                if at != (batch.column(0)[b].as_py(), batch.column(1)[b].as_py()):
+                    continue  # no items
+                theirs = batch.column(3)[b].values
                 found: list[list] = [[], [], [], [], [], []]
                 facts = zip(*(theirs.field(c).to_pylist() for c in ("tok", "letters", "titles", "keys", "rec")), strict=True)
                 for e, (tok, letters, titles, keys, rec) in enumerate(facts):
@@ -188,7 +189,11 @@ def shared_text(items: DataFrame, events: DataFrame, ni: int, ne: int, k: int, f
                         names=["item_id", "event_id", "last_seen_at", "tok", "gram", "rep", "key", "rec"],
                     )
 
-    pairs = against(ib, eb, "ib", ni).select("ib", "ib_rows", "eb_rows").sortWithinPartitions("ib")
+    groups = min(ne, -(-TASKS // ni))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    both = ib.withColumn("group", every(groups)).unionByName(eb.select((F.col("eb") % groups).alias("group"), "eb_rows").withColumn("ib", every(ni)), allowMissingColumns=True)
+    # A number of its own, which isn't brought down for small partitions: they are small in bytes and long in work.
+    pairs = both.select("ib", "group", "ib_rows", "eb_rows").repartition(ni * groups, "ib", "group").sortWithinPartitions("ib", "group", F.col("eb_rows").isNotNull())
     out = f"item_id {kinds['item_id']}, event_id {kinds['event_id']}, last_seen_at {kinds['last_seen_at']}, tok double, gram double, rep double, key double, rec double"
     return pairs.mapInArrow(run, out)
 

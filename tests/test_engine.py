@@ -736,3 +736,20 @@ def test_tiles_hold_no_more_than_the_best_of_equals():
         assert len(best.kept[0]) <= 8 and best.size <= 8
     row, sim, place = best.rows()
     assert sorted(zip(row.tolist(), place.tolist())) == [(r, p) for r in range(4) for p in (2998, 2999)] and (sim == 1).all()
+
+
+def test_rule_recall_deals_the_events_of_few_items_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(recall, "BLOCK_BYTES", 4096)
+    items = spark.createDataFrame([("i1", "quick brown fox", "jumps"), ("i2", "lazy dog", None)], "item_id string, title string, summary string")
+    rows = [(f"e{k:03}", f"quick fox {k} {'pad ' * 30}", datetime(2026, 5, 1)) for k in range(300)]
+    none = F.array().cast("array<string>")
+    ev = spark.createDataFrame(rows, "event_id string, summary string, last_seen_at timestamp").select("*", F.lit("").alias("canonical_title"), F.lit("Active").alias("status"), *[none.alias(c) for c in ("entities", "representative_titles", "key_terms", "aliases")])
+    parts = spark.sparkContext.accumulator(0)
+    pairs = recall.rule_pairs(items, ev, at(), 0, 0.0)
+
+    def count(rows):
+        if any(True for _ in rows):
+            parts.add(1)
+
+    pairs.foreachPartition(count)
+    assert pairs.select("event_id").distinct().count() == 300 and parts.value > 4
