@@ -753,3 +753,14 @@ def test_rule_recall_deals_the_events_of_few_items_to_many_tasks(spark, monkeypa
 
     pairs.foreachPartition(count)
     assert pairs.select("event_id").distinct().count() == 300 and parts.value > 4
+
+
+def test_vector_search_orders_equals_of_string_ids_and_missing_times(spark):
+    seen = {"b": datetime(2026, 5, 2), "a": datetime(2026, 5, 2), "é": datetime(2026, 5, 3), "z": None, "𝒳": None, "c": datetime(2026, 5, 1)}
+    ev = spark.createDataFrame([(i, [1.0, 2.0], t) for i, t in seen.items()], "event_id string, v array<double>, last_seen_at timestamp")
+    for k in range(1, 7):
+        got = recall.vector_topk(ev.where("event_id = 'a'").select(F.col("event_id").alias("query_id"), "v"), ev, k, 0.5, 2).collect()
+        assert {r["event_id"] for r in got} == set(["é", "a", "b", "c", "z", "𝒳"][:k])
+    none = ev.where("false")
+    assert recall.vector_topk(none.select(F.col("event_id").alias("query_id"), "v"), ev, 2, 0.5).count() == 0
+    assert recall.vector_topk(ev.select(F.col("event_id").alias("query_id"), "v"), none, 2, 0.5).count() == 0
