@@ -25,6 +25,7 @@ one segment.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import json
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import clean_columns, read, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
-#: White-space chunks, and words, remembered by a worker, in each of two generations.
-MEMO = 120_000
+#: White-space chunks, and words, remembered by a worker, in each of two generations (about 100 MB in all).
+MEMO = 60_000
 #: Characters of a segment of a text, and of a window of segments.
 SEGMENT, WINDOW = 1 << 16, 1 << 21
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -565,7 +566,12 @@ class WordBpe:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+    out = WordBpe(path)
+    # What reading the file took goes back to the system, with what an earlier stage left in a reused worker.
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    return out
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -687,6 +687,18 @@ def test_bpe_rows(docs, library, spark):
     assert rows_of(bpe.bpe_encode(spark.createDataFrame([], SCHEMA))) == []
 
 
+def test_what_a_worker_remembers_of_texts_is_bounded():
+    """Beside the heap of an executor that earlier stages have filled, two workers must fit."""
+    import sys
+
+    own, rng = bpe.WordBpe(bpe.default_path()), random.Random(10)
+    for _ in range(6):
+        own.encode_many([" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(25_000))])
+        tables = (own.memo, own.old, own.word_memo, own.word_old)
+        held = {id(x): sys.getsizeof(x) for m in tables for k, v in m.items() for x in (k, v, *v[1:])}
+        assert sum(held.values()) + sum(map(sys.getsizeof, tables)) < 64 << 20
+
+
 # 10 sharding ----------------------------------------------------------------------------------------------------------
 
 
